@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -59,34 +60,43 @@ def alert_id() -> Column:
     return F.concat_ws("|", *parts)
 
 
+def settled(value: Column, digits: int) -> Column:
+    """Rounded the same way whatever order the parts of a sum arrived in."""
+    return F.round(F.round(value, 9), digits)
+
+
 # --- numbers as text -------------------------------------------------------
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_decimal(value: Column) -> Column:
     """``value`` with one decimal, rounded from its exact binary value, ties to even.
 
     ``20 * value`` splits into a rounded product and its exact error; the error
     decides the cases where the product alone looks like a tie.
     """
-    size = F.abs(value.cast("double"))
-    split = size * F.lit(134217729.0)
-    high = split - (split - size)
-    twentieths = size * F.lit(20.0)
-    error = (high * F.lit(20.0) - twentieths) + (size - high) * F.lit(20.0)
-    tenths = F.floor(twentieths / F.lit(2.0))
-    rest = twentieths - tenths * F.lit(2)
-    up = (
-        (rest > 1)
-        | ((rest == 1) & (error > 0))
-        | ((rest == 1) & (error == 0) & (tenths % 2 == 1))
-    )
-    rounded = tenths + F.when(up, 1).otherwise(0)
-    whole = F.floor(rounded / F.lit(10))
-    text = F.concat(whole.cast("string"), F.lit("."), (rounded - whole * 10).cast("string"))
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    def tenths(size: Column) -> Column:
+        split = size * F.lit(134217729.0)
+        high = split - (split - size)
+        product = size * F.lit(20.0)
+        error = (high * F.lit(20.0) - product) + (size - high) * F.lit(20.0)
+        below = F.floor(product / F.lit(2.0))
+        rest = product - below * F.lit(2)
+        tie_up = F.when(error == 0, below % 2 == 1).otherwise(error > 0)
+        return below + F.when(rest == 1, tie_up).otherwise(rest > 1).cast("long")
+
+    def text(n: Column) -> Column:
+        return F.concat(F.floor(n / F.lit(10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, _bound(_bound(F.abs(value.cast("double")), tenths), text))
 
 
 def signed_one_decimal(value: Column) -> Column:
-    return F.when(value < 0, one_decimal(value)).otherwise(F.concat(F.lit("+"), one_decimal(value)))
+    return F.concat(F.when(value < 0, "").otherwise("+"), one_decimal(value))
 
 
 def general_number(value: Column) -> Column:
@@ -102,49 +112,43 @@ def grouped_number(value: Column, digits: int = 0) -> Column:
     return F.coalesce(F.format_number(F.round(value.cast("double"), digits), digits), F.lit(DASH))
 
 
-def _scaled_bytes(value: Column, units: list[str], small, large) -> Column:
-    """Byte count in the first unit below 1024, the last unit being open-ended."""
-    number = value.cast("double")
-    text = F.when(number < 1024, small(number))
-    for power, unit in enumerate(units, start=1):
-        scaled = number / F.lit(float(1024**power))
-        shown = F.concat(large(scaled), F.lit(f" {unit}"))
-        text = text.when(scaled < 1024, shown)
-    return text
+def _unit_steps(number: Column, units: list[str]) -> tuple[Column, Column]:
+    """The number in the first unit that brings it below 1024 (the last unit takes any), and that unit."""
+    scaled, unit = number / F.lit(float(1024 ** len(units))), F.lit(units[-1])
+    for power in range(len(units) - 1, 0, -1):
+        part = number / F.lit(float(1024**power))
+        scaled = F.when(part < 1024, part).otherwise(scaled)
+        unit = F.when(part < 1024, units[power - 1]).otherwise(unit)
+    return F.when(number < 1024, number).otherwise(scaled), F.when(number < 1024, "B").otherwise(unit)
+
+
+def _report_number(metric_is_percent: Column, metric_is_bytes: Column, value: Column) -> Column:
+    scaled, unit = _unit_steps(value, ["KB", "MB", "GB"])
+    number = F.when(metric_is_bytes, scaled).otherwise(value)
+    # Byte counts drop the fraction from 10 on, and below 1 KB; past the last unit they keep it.
+    whole = metric_is_bytes & ((value < 1024) | ((scaled >= 10) & (scaled < 1024)))
+    suffix = F.when(metric_is_percent, "%").when(metric_is_bytes, F.concat(F.lit(" "), unit)).otherwise("")
+    digits = _bound(number, lambda n: F.when(whole, n.cast("long").cast("string")).otherwise(one_decimal(n)))
+    return F.concat(digits, suffix)
 
 
 def report_bytes(value: Column) -> Column:
-    units = ["KB", "MB", "GB"]
-    text = _scaled_bytes(
-        value,
-        units,
-        small=lambda n: F.concat(n.cast("long").cast("string"), F.lit(" B")),
-        large=lambda n: F.when(n < 10, one_decimal(n)).otherwise(n.cast("long").cast("string")),
-    )
-    return text.otherwise(F.concat(one_decimal(value.cast("double") / F.lit(float(1024**3))), F.lit(" GB")))
+    return _bound(value.cast("double"), lambda v: _report_number(F.lit(False), F.lit(True), v))
 
 
 def format_bytes(value: Column) -> Column:
     """Byte count for display, up to TB, rounded."""
-    def shown(n: Column) -> Column:
-        return F.when(n < 10, grouped_number(n, 1)).otherwise(grouped_number(n, 0))
-
-    text = _scaled_bytes(
-        value, ["KB", "MB", "GB"], small=lambda n: F.concat(grouped_number(n), F.lit(" B")), large=shown
-    )
-    terabytes = value.cast("double") / F.lit(float(1024**4))
-    return F.when(value.isNull(), DASH).otherwise(text.otherwise(F.concat(shown(terabytes), F.lit(" TB"))))
+    scaled, unit = _unit_steps(value.cast("double"), ["KB", "MB", "GB", "TB"])
+    digits = F.when((scaled < 10) & (unit != "B"), grouped_number(scaled, 1)).otherwise(grouped_number(scaled, 0))
+    return F.when(value.isNull(), DASH).otherwise(F.concat(digits, F.lit(" "), unit))
 
 
 def format_value(metric: Column, value: Column) -> Column:
     """Metric value as it reads in incident reports."""
-    percent = F.concat(one_decimal(value), F.lit("%"))
-    return (
-        F.when(value.isNull(), DASH)
-        .when(metric.isin("cpu_percent", "memory_percent"), percent)
-        .when(metric.isin("memory_rss", "read_bytes", "write_bytes"), report_bytes(value))
-        .otherwise(one_decimal(value))
-    )
+    percent = metric.isin("cpu_percent", "memory_percent")
+    counted = metric.isin("memory_rss", "read_bytes", "write_bytes")
+    text = _bound(value.cast("double"), lambda v: _report_number(percent, counted, v))
+    return F.when(value.isNull(), DASH).otherwise(text)
 
 
 def display_value(metric: Column, value: Column) -> Column:

@@ -280,7 +280,7 @@ def alert_transitions(samples: DataFrame, rules: DataFrame, slice_seconds: float
         *[c.alias(n) for n, c in instance_parts().items()],
         F.col("fired_at").alias("triggered_at"),
         kind.alias("transition"),
-        F.col("timestamp").alias("at"),
+        F.col("timestamp").alias("seen_at"),
         "value",
         "process_name",
         "username",
@@ -289,11 +289,11 @@ def alert_transitions(samples: DataFrame, rules: DataFrame, slice_seconds: float
 
 def alerts_from_transitions(log: DataFrame, rules: DataFrame) -> DataFrame:
     """Alert rows as the newest transition of each alert leaves them."""
-    matched = F.when(F.col("transition") != "resolved", F.struct("at", "process_name", "username"))
+    matched = F.when(F.col("transition") != "resolved", F.struct("seen_at", "process_name", "username"))
     folded = log.groupBy(*ALERT_KEY).agg(
         F.max(matched).alias("who"),
-        F.max(F.struct("at", "value")).alias("last"),
-        F.max(F.when(F.col("transition") == "resolved", F.col("at"))).alias("resolved_at"),
+        F.max(F.struct("seen_at", "value")).alias("last"),
+        F.max(F.when(F.col("transition") == "resolved", F.col("seen_at"))).alias("resolved_at"),
     )
     described = rules.select(
         "rule_id", F.col("name").alias("rule_name"), "metric", "operator", "threshold", "severity", "action"
@@ -305,7 +305,7 @@ def alerts_from_transitions(log: DataFrame, rules: DataFrame) -> DataFrame:
                 "process_name": F.col("who.process_name"),
                 "username": F.col("who.username"),
                 "current_value": F.col("last.value"),
-                "last_seen": F.col("last.at"),
+                "last_seen": F.col("last.seen_at"),
                 "status": F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved"),
             }
         )

@@ -114,30 +114,28 @@ def _facts(alerts: DataFrame, samples: DataFrame, window: int, cap: int) -> Data
     )
 
 
-def incident_summary(
-    alerts: DataFrame, samples: DataFrame, window: int = WINDOW, cap: int = SAMPLE_CAP
-) -> DataFrame:
-    return _facts(alerts, samples, window, cap).select(
-        *ALERT_KEY,
-        "metric",
-        "operator",
-        "threshold",
-        "window_seconds",
-        "window_start",
-        "window_end",
-        "sample_count",
-        "total_samples_in_window",
+def _summary_columns() -> list[Column]:
+    return [
+        *[F.col(c) for c in ("metric", "operator", "threshold", "window_seconds", "window_start", "window_end")],
+        F.col("sample_count"),
+        F.col("total_samples_in_window"),
         F.col("value_before").alias("previous_value"),
         F.col("value_now").alias("current_value"),
-        "peak_value",
-        "peak_timestamp",
-        "delta",
-        "memory_delta_bytes",
-        "duration_seconds",
+        F.col("peak_value"),
+        F.col("peak_timestamp"),
+        F.col("delta"),
+        F.col("memory_delta_bytes"),
+        F.col("duration_seconds"),
         (F.col("sample_count") < 2).alias("is_insufficient"),
         F.col("previous.timestamp").alias("previous_timestamp"),
         F.coalesce("current.timestamp", "triggered_at").alias("current_timestamp"),
-    )
+    ]
+
+
+def incident_summary(
+    alerts: DataFrame, samples: DataFrame, window: int = WINDOW, cap: int = SAMPLE_CAP
+) -> DataFrame:
+    return _facts(alerts, samples, window, cap).select(*ALERT_KEY, *_summary_columns())
 
 
 def incident_header(alerts: DataFrame) -> DataFrame:
@@ -190,14 +188,27 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _with_shown(facts: DataFrame) -> DataFrame:
+    """Adds the formatted values the sentences use, each formatted once."""
+    metric, percent = F.col("metric"), F.lit("memory_percent")
+    return facts.withColumns(
+        {
+            "shown_now": format_value(metric, F.col("value_now")),
+            "shown_before": format_value(metric, F.col("value_before")),
+            "shown_peak": format_value(metric, F.col("peak_value")),
+            "shown_memory_before": format_value(percent, F.col("previous.memory_percent")),
+            "shown_memory_now": format_value(percent, F.col("current.memory_percent")),
+        }
+    )
+
+
 def _evidence_texts() -> Column:
     # The wording of the evidence sentences.
     metric, count = F.col("metric"), F.col("sample_count")
     now, before, peak = F.col("value_now"), F.col("value_before"), F.col("peak_value")
     label = metric_label(metric)
 
-    def shown(value: Column) -> Column:
-        return format_value(metric, value)
+    shown_now, shown_before, shown_peak = (F.col(f"shown_{n}") for n in ("now", "before", "peak"))
 
     def whole(value: Column) -> Column:
         return value.cast("long").cast("string")
@@ -209,7 +220,7 @@ def _evidence_texts() -> Column:
     few, enough = count < 2, count >= 2
     delta = F.col("delta")
     bound = _text("(", general_number(F.col("threshold")), " ", F.col("operator"), ")")
-    peak_at = _text("Peak ", label, " reached ", shown(peak), " at ", fmt_time(F.col("peak_timestamp")), " during the incident window.")
+    peak_at = _text("Peak ", label, " reached ", shown_peak, " at ", fmt_time(F.col("peak_timestamp")), " during the incident window.")
     peak_moved = F.abs(F.col("peak_timestamp") - F.col("current.timestamp")) > 1
     memory, percent = F.col("memory_delta_bytes"), F.col("memory_delta_percent")
     memory_moved = F.coalesce(F.abs(memory) > 1024, F.lit(False))
@@ -220,20 +231,20 @@ def _evidence_texts() -> Column:
         F.when(few, _text("Insufficient telemetry to determine the cause. Only ", count.cast("string"),
                           " sample(s) available in the ", window, " second window.")),
         F.when((count == 1) & now.isNotNull(), _text("Single observation for this process instance: ", label, " at ",
-                                                     shown(now), " at ", fmt_time(F.col("current.timestamp")), ".")),
+                                                     shown_now, " at ", fmt_time(F.col("current.timestamp")), ".")),
         F.when(count == 0, F.lit("No samples were recorded for this process instance in the incident window.")),
-        F.when(few & now.isNotNull(), _text("Current ", label, " was ", shown(now), " at alert time.")),
+        F.when(few & now.isNotNull(), _text("Current ", label, " was ", shown_now, " at alert time.")),
         F.when(enough & now.isNotNull() & before.isNotNull(),
                F.when(F.abs(delta) > 0.01,
-                      _text(label, " usage ", up_or_down(delta), " from ", shown(before), " to ", shown(now),
+                      _text(label, " usage ", up_or_down(delta), " from ", shown_before, " to ", shown_now,
                             " before the alert (change of ", signed_one_decimal(delta), " points)."))
-               .otherwise(_text(label, " remained at ", shown(now), " (previous ", shown(before), ")."))),
+               .otherwise(_text(label, " remained at ", shown_now, " (previous ", shown_before, ")."))),
         F.when(enough & now.isNotNull() & before.isNull(),
-               _text("Current ", label, " was ", shown(now),
+               _text("Current ", label, " was ", shown_now,
                      " at alert time; previous reading was unavailable (None).")),
         F.when(enough & peak.isNotNull(),
                F.when(before.isNotNull() & ~peak.eqNullSafe(now), peak_at)
-               .when(before.isNull(), _text("Peak ", label, " reached ", shown(peak), " during the incident window."))
+               .when(before.isNull(), _text("Peak ", label, " reached ", shown_peak, " during the incident window."))
                .when((peak == now) & peak_moved, peak_at)),
         F.when(enough & (F.col("duration_seconds") > 0),
                _text(label, " remained above the configured threshold ", bound, " for approximately ",
@@ -247,8 +258,7 @@ def _evidence_texts() -> Column:
                      F.col("current.memory_rss").cast("string"), " bytes).")),
         F.when(enough & ~memory_moved & (F.abs(percent) > 0.5),
                _text("Memory usage ", up_or_down(percent), " from ",
-                     format_value(F.lit("memory_percent"), F.col("previous.memory_percent")), " to ",
-                     format_value(F.lit("memory_percent"), F.col("current.memory_percent")), " during the same period.")),
+                     F.col("shown_memory_before"), " to ", F.col("shown_memory_now"), " during the same period.")),
         F.when(enough & born_inside,
                _text("The process started at ", fmt_time(born), " within the incident window; only ", whole(fired - born),
                      " seconds of history were available before the alert.")),
@@ -266,7 +276,7 @@ def incident_evidence(
     alerts: DataFrame, samples: DataFrame, window: int = WINDOW, cap: int = SAMPLE_CAP
 ) -> DataFrame:
     """Evidence sentences in order, one row each."""
-    facts = _facts(alerts, samples, window, cap)
+    facts = _with_shown(_facts(alerts, samples, window, cap))
     return facts.select(*ALERT_KEY, F.posexplode(_evidence_texts()).alias("position", "text"))
 
 
@@ -274,21 +284,15 @@ def incident_documents(
     alerts: DataFrame, samples: DataFrame, window: int = WINDOW, cap: int = SAMPLE_CAP
 ) -> DataFrame:
     """One nested document per alert: incident, process, summary, timeline, evidence, window."""
-    window = clamp_incident_window(window)
-    header = incident_header(alerts).withColumn("alert_id", alert_id())
-    summary = incident_summary(alerts, samples, window, cap)
-    described = [c for c in summary.columns if c not in ALERT_KEY]
-    summaries = summary.select(alert_id().alias("alert_id"), F.struct(*described).alias("summary"))
-    lines = _facts(alerts, samples, window, cap).select("alert_id", _evidence_texts().alias("evidence"))
+    facts = _with_shown(_facts(incident_header(alerts), samples, window, cap))
+    texts = facts.withColumn("summary", F.struct(*_summary_columns())).withColumn("evidence", _evidence_texts())
     timeline = incident_timeline(alerts, samples, window, cap)
     entry = [c for c in timeline.columns if c != "alert_id"]
     timelines = timeline.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("timeline"))
     process = ["host", "pid", "create_time", "process_name", "username", "started_at", "started_time", "age_seconds_at_alert"]
     incident = [c for c in alerts.columns if c != "alert_id"]
     return (
-        header.join(summaries, "alert_id")
-        .join(lines, "alert_id")
-        .join(timelines, "alert_id", "left")
+        texts.join(timelines, "alert_id", "left")
         .select(
             "alert_id",
             F.struct(*incident).alias("incident"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.exprs import freshness
+from hostlens.functions.exprs import freshness, settled
 from hostlens.operators.hosts import cpu_total, memory_total, reading_age
 from hostlens.operators.snapshot import latest_samples
 from hostlens.params import Params
@@ -36,8 +36,8 @@ def kpi_summary(
     load = latest.filter(F.lit(float(now)) - F.col("received_at") <= params.offline_after).agg(
         F.struct(
             F.count_if(F.lower("state") == "running").alias("running"),
-            F.round(cpu_total(), 2).alias("cpu"),
-            F.round(memory_total(), 2).alias("memory"),
+            settled(cpu_total(), 2).alias("cpu"),
+            settled(memory_total(), 2).alias("memory"),
         )
     )
     received = samples.filter(F.col("received_at") >= now - lookback).agg(F.count("*"))

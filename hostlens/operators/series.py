@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.exprs import bucket
+from hostlens.functions.exprs import bucket, settled
 from hostlens.params import series_bucket
 
 
@@ -15,8 +15,8 @@ def metric_series(samples: DataFrame, now: float, lookback: int = 3600, host: st
     if host:
         rows = rows.filter(F.col("host") == host)
     return rows.groupBy(bucket(F.col("timestamp"), series_bucket(lookback)).alias("bucket")).agg(
-        F.round(F.coalesce(F.avg("cpu_percent"), F.lit(0.0)), 3).alias("cpu"),
-        F.round(F.coalesce(F.avg("memory_percent"), F.lit(0.0)), 3).alias("memory"),
+        settled(F.coalesce(F.avg("cpu_percent"), F.lit(0.0)), 3).alias("cpu"),
+        settled(F.coalesce(F.avg("memory_percent"), F.lit(0.0)), 3).alias("memory"),
         F.count("*").alias("activity"),
     )
 

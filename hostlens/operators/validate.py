@@ -28,31 +28,33 @@ def positive_time(value: Column) -> Column:
     return value.isNotNull() & (value > 0) & (value <= MAX_EPOCH)
 
 
-def clean_sample(raw: Callable[[str], Column], absent: Callable[[str], Column]) -> tuple[dict[str, Column], Column]:
-    """Typed, stripped fields of one sample, and the names of the fields that break a rule."""
-    def number(name: str) -> Column:
-        return raw(name).try_cast("double")
-
-    fields = {
+def clean_fields(raw: Callable[[str], Column], absent: Callable[[str], Column]) -> dict[str, Column]:
+    """Typed and stripped fields of one sample; ``cpu_given`` tells an unreadable CPU from none."""
+    return {
         "pid": whole_number(raw("pid")),
         "process_name": stripped(raw("process_name")),
         "username": stripped(raw("username")),
-        **{n: number(n) for n in ("create_time", "timestamp", "cpu_percent", "memory_percent")},
+        **{n: raw(n).try_cast("double") for n in ("create_time", "timestamp", "cpu_percent", "memory_percent")},
         **{n: whole_number(raw(n)) for n in ("memory_rss", "read_bytes", "write_bytes")},
         "state": F.when(absent("state"), "running").otherwise(stripped(raw("state"))),
+        "cpu_given": raw("cpu_percent").isNotNull(),
     }
+
+
+def field_errors(field: Callable[[str], Column]) -> Column:
+    """Names of the cleaned fields that break a rule."""
     good = {
-        "pid": number_in(fields["pid"], 0, MAX_PID),
-        "process_name": text_in(fields["process_name"], 1, 512) & no_control(fields["process_name"]),
-        "username": raw("username").isNull() | (F.length(fields["username"]) <= 512),
-        "create_time": positive_time(fields["create_time"]),
-        "timestamp": positive_time(fields["timestamp"]),
-        "cpu_percent": raw("cpu_percent").isNull() | number_in(fields["cpu_percent"], 0, MAX_CPU),
-        "memory_percent": number_in(fields["memory_percent"], 0, 100),
-        **{n: number_in(fields[n], 0, MAX_LONG) for n in ("memory_rss", "read_bytes", "write_bytes")},
-        "state": fields["state"].isNotNull() & (F.length(fields["state"]) <= 32),
+        "pid": number_in(field("pid"), 0, MAX_PID),
+        "process_name": text_in(field("process_name"), 1, 512) & no_control(field("process_name")),
+        "username": field("username").isNull() | (F.length(field("username")) <= 512),
+        "create_time": positive_time(field("create_time")),
+        "timestamp": positive_time(field("timestamp")),
+        "cpu_percent": ~field("cpu_given") | number_in(field("cpu_percent"), 0, MAX_CPU),
+        "memory_percent": number_in(field("memory_percent"), 0, 100),
+        **{n: number_in(field(n), 0, MAX_LONG) for n in ("memory_rss", "read_bytes", "write_bytes")},
+        "state": field("state").isNotNull() & (F.length(field("state")) <= 32),
     }
-    return fields, errors_of(good)
+    return errors_of(good)
 
 
 def valid_host(host: Column) -> Column:
@@ -61,8 +63,8 @@ def valid_host(host: Column) -> Column:
 
 def validate_samples(df: DataFrame) -> DataFrame:
     """Flat samples with cleaned fields, ``errors`` (names of bad fields) and ``valid``."""
-    fields, errors = clean_sample(F.col, lambda name: F.col(name).isNull())
-    host = stripped(F.col("host"))
-    found = F.concat(errors, F.when(valid_host(host), F.array().cast("array<string>")).otherwise(F.array(F.lit("host"))))
-    rows = df.withColumn("errors", found).withColumn("valid", F.size("errors") == 0)
-    return rows.withColumns({"host": host, **fields})
+    fields = clean_fields(F.col, lambda name: F.col(name).isNull())
+    rows = df.withColumns({**fields, "host": stripped(F.col("host"))})
+    bad_host = F.when(valid_host(F.col("host")), F.array().cast("array<string>")).otherwise(F.array(F.lit("host")))
+    rows = rows.withColumn("errors", F.concat(field_errors(F.col), bad_host)).drop("cpu_given")
+    return rows.withColumn("valid", F.size("errors") == 0)

@@ -1,0 +1 @@
+"""Registered queries over the sample feed and their SQL counterparts."""

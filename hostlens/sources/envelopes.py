@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.checks import stripped
 from hostlens.operators.ingest import batch_verdict
-from hostlens.operators.validate import SAMPLE_FIELDS, clean_sample, valid_host
+from hostlens.operators.validate import SAMPLE_FIELDS, clean_fields, field_errors, valid_host
 
 # Older field names that are still read.
 SAMPLE_ALIASES = {"process_name": "name", "username": "user"}
@@ -33,23 +33,29 @@ def resolve_aliases(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"host": first_present(["host", HOST_ALIAS]), "body": first_present(BODY_NAMES)})
 
 
-def _parsed(item: Column) -> Column:
-    """One sample object as a struct of typed fields and ``errors``."""
+def _texts(item: Column) -> Column:
+    """The fields of one sample object as texts, with the names present in it."""
     keys = F.coalesce(F.json_object_keys(item), F.array().cast("array<string>"))
-    texts = F.from_json(item, _TEXT_SCHEMA)
+    return F.struct(F.from_json(item, _TEXT_SCHEMA).alias("texts"), keys.alias("keys"))
+
+
+def _typed(item: Column) -> Column:
+    texts, keys = item["texts"], item["keys"]
 
     def absent(name: str) -> Column:
-        names = [name, SAMPLE_ALIASES[name]] if name in SAMPLE_ALIASES else [name]
-        return ~F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
+        return ~F.array_contains(keys, name)
 
     def raw(name: str) -> Column:
         if name in SAMPLE_ALIASES:
-            return F.when(F.array_contains(keys, name), texts[name]).otherwise(texts[SAMPLE_ALIASES[name]])
+            return F.when(absent(name), texts[SAMPLE_ALIASES[name]]).otherwise(texts[name])
         return texts[name]
 
-    fields, errors = clean_sample(raw, absent)
     replay = [texts[n].try_cast(kind).alias(n) for n, kind in REPLAY_FIELDS.items()]
-    return F.struct(*[c.alias(n) for n, c in fields.items()], *replay, errors.alias("errors"))
+    return F.struct(*[c.alias(n) for n, c in clean_fields(raw, absent).items()], *replay)
+
+
+def _checked(item: Column) -> Column:
+    return F.struct(item.alias("sample"), field_errors(lambda name: item[name]).alias("errors"))
 
 
 def parse_envelopes(lines: DataFrame, max_samples: int = 500) -> DataFrame:
@@ -58,14 +64,14 @@ def parse_envelopes(lines: DataFrame, max_samples: int = 500) -> DataFrame:
     A batch is judged inside its own row, so admission needs no shuffle. ``batch_id`` is
     the digest of the text: a retried payload is the same batch.
     """
-    rows = resolve_aliases(lines).withColumn("items", F.from_json("body", "array<string>"))
-    rows = rows.withColumns(
-        {
-            "batch_id": F.sha2("value", 256),
-            "host": stripped(F.col("host")),
-            "samples": F.transform(F.coalesce("items", F.array().cast("array<string>")), _parsed),
-        }
+    # Each step reads the one before once, so a sample is parsed and typed a single time.
+    no_items = F.array().cast("array<string>")
+    rows = resolve_aliases(lines).select(
+        "value", stripped(F.col("host")).alias("host"), F.coalesce(F.from_json("body", "array<string>"), no_items).alias("items")
     )
+    rows = rows.withColumn("samples", F.transform("items", _texts))
+    rows = rows.withColumn("samples", F.transform("samples", _typed))
+    rows = rows.withColumn("samples", F.transform("samples", _checked)).withColumn("batch_id", F.sha2("value", 256))
     all_valid = F.forall("samples", lambda s: F.size(s["errors"]) == 0) & valid_host(F.col("host"))
     reason = batch_verdict(F.size("samples"), all_valid, max_samples)
     return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value")
@@ -75,7 +81,7 @@ def envelope_samples(envelopes: DataFrame) -> DataFrame:
     """One row per sample of the admitted envelopes, with its batch and arrival order."""
     now = F.unix_micros(F.current_timestamp()) / F.lit(1e6)
     rows = envelopes.filter(F.col("reason").isNull()).select(
-        "batch_id", "host", F.posexplode("samples").alias("position", "sample")
+        "batch_id", "host", F.posexplode("samples.sample").alias("position", "sample")
     )
     return rows.select(
         "batch_id",

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Workers get this module with the processor; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_OUTPUT = (
     "rule_id string, host string, pid bigint, create_time double, triggered_at double,"
-    " transition string, at double, value double, process_name string, username string"
+    " transition string, seen_at double, value double, process_name string, username string"
 )
 STATE_SCHEMA = "true_since double, run bigint, last_at double, quiet_until double, triggered_at double"
 
@@ -29,9 +34,9 @@ class AlertProcessor(StatefulProcessor):
     is removed when the instance next reports; disabled rules keep theirs untouched.
     """
 
-    def __init__(self, rules: list[dict], known_ids: list[str] | None = None):
+    def __init__(self, rules: list[dict], known_ids: list[str]):
         self.rules = rules
-        self.known_ids = set(known_ids) if known_ids is not None else None
+        self.known_ids = set(known_ids)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.states = handle.getMapState("states", "rule_id string", STATE_SCHEMA)
@@ -39,10 +44,9 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Rows of one trigger come unordered.
         ordered = sorted(rows, key=lambda r: (r.received_at, r.seq))
-        if self.known_ids is not None:
-            for (rule_id,) in list(self.states.keys()):
-                if rule_id not in self.known_ids:
-                    self.states.removeKey((rule_id,))
+        for (rule_id,) in list(self.states.keys()):
+            if rule_id not in self.known_ids:
+                self.states.removeKey((rule_id,))
         for rule in self.rules:
             yield from self._follow(rule, ordered)
 
@@ -69,7 +73,7 @@ class AlertProcessor(StatefulProcessor):
             if kind:
                 yield Row(
                     rule_id=rule["rule_id"], host=row.host, pid=row.pid, create_time=row.create_time,
-                    triggered_at=alert, transition=kind, at=at, value=float(value),
+                    triggered_at=alert, transition=kind, seen_at=at, value=float(value),
                     process_name=row.process_name, username=row.username,
                 )
         if touched:

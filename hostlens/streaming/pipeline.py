@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hostlens.functions.exprs import event_time
+from hostlens.functions.exprs import event_time, settled
 from hostlens.operators.alerts import alerts_from_transitions
 from hostlens.operators.ingest import accept_samples, event_date, ingest_receipts, write_samples
 from hostlens.operators.keys import first_per_key, instance_key
 from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, SAMPLE
 from hostlens.sources.envelopes import envelope_samples, stream_envelopes
-from hostlens.streaming.alerting import AlertProcessor, STATE_OUTPUT
-from hostlens.operators.rules import enabled_rules
+from hostlens.streaming.alerting import STATE_OUTPUT, AlertProcessor
 
+# Rules are shipped to every task with the processor.
+MAX_RULES = 10_000
 RETENTION = "30 days"
 TABLE_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SAMPLE.fields)
 PARTITIONS = "ingest_batch bigint, date date"
@@ -87,12 +88,16 @@ def stream_dedup(samples: DataFrame, horizon: str = RETENTION) -> DataFrame:
 
 def stream_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Alert transitions as samples arrive; state per instance holds one entry per rule."""
-    known = [row.asDict() for row in enabled_rules(rules).collect()]
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: run one query per part of the rules")
+    active = [row.asDict() for row in rows if row.enabled]
+    processor = AlertProcessor(active, [row.rule_id for row in rows])
     columns = [f.name for f in SAMPLE.fields]
     return (
         samples.select(instance_key().alias("inst"), *columns)
         .groupBy("inst")
-        .transformWithState(AlertProcessor(known), STATE_OUTPUT, outputMode="Update", timeMode="None")
+        .transformWithState(processor, STATE_OUTPUT, outputMode="Update", timeMode="None")
     )
 
 
@@ -110,8 +115,8 @@ def stream_metric_series(samples: DataFrame, width: int, horizon: str = RETENTIO
     return (
         timed.groupBy(F.window("event_time", f"{width} seconds").alias("w"))
         .agg(
-            F.round(F.coalesce(F.avg("cpu_percent"), F.lit(0.0)), 3).alias("cpu"),
-            F.round(F.coalesce(F.avg("memory_percent"), F.lit(0.0)), 3).alias("memory"),
+            settled(F.coalesce(F.avg("cpu_percent"), F.lit(0.0)), 3).alias("cpu"),
+            settled(F.coalesce(F.avg("memory_percent"), F.lit(0.0)), 3).alias("memory"),
             F.count("*").alias("activity"),
         )
         .select(F.col("w.start").cast("long").cast("double").alias("bucket"), "cpu", "memory", "activity")
