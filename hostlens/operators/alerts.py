@@ -10,11 +10,13 @@ The work is cut so that no task holds the samples of a whole instance:
 1. Samples are shuffled by (instance, receipt-time slice); order-dependent steps run
    inside a slice (``preceding_max`` carries the newest time seen across slices).
 2. Each slice emits *fragments*: its pieces of islands. Pieces that lie inside the
-   slice and cannot fire are dropped, so few rows per slice go on.
-3. Fragments are joined into islands per (rule, instance). An island keeps the firing
-   candidates that fall into the cooldown of the alert before it, and the first one
-   after. Islands with a candidate after it fire whatever came before, so the
-   cooldown is folded only over the islands between two of those.
+   slice and cannot fire are dropped. An island whose first candidate comes after the
+   cooldown that the clear before it could have started is *settled*: it fires whatever
+   came before. Runs from one settled island to the next inside a slice depend on
+   nothing else and form groups of their own (``route``), spread over all tasks.
+3. What is left, a few rows per slice unless a rule flaps faster than its cooldown, is
+   grouped per (rule, instance) and joined into islands across slices. The cooldown is
+   folded only over the islands between two settled ones.
 """
 
 from __future__ import annotations
@@ -25,83 +27,96 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import alert_id, matches
 from hostlens.operators.ingest import ARRIVAL
-from hostlens.operators.keys import first_per_key, instance_key, instance_parts, preceding_max, with_instance
+from hostlens.operators.keys import first_per_key, instance_parts, preceding_max, with_instance
 from hostlens.operators.rules import enabled_rules, inline_rules, rule_array, rules_frame
 from hostlens.params import Params
 from hostlens.schemas import ALERT_COLUMNS, ALERT_KEY, ALERT_STATUSES, INSTANCE, METRICS, SEVERITIES
 
 GATES = ["rule_id", "metric", "operator", "threshold", "duration", "consecutive_samples", "cooldown"]
 KEY = ["inst", "rule_id"]
+GROUP = [*KEY, "route"]
 
 
-def _metric_rows(samples: DataFrame, rules: DataFrame, slice_seconds: float) -> DataFrame:
+class _Rules:
+    """The enabled rules, read once: as rows when few, as a frame in any case."""
+
+    def __init__(self, rules: DataFrame):
+        self.inlined = inline_rules(rules)
+        few = self.inlined is not None and self.inlined
+        self.frame = rules_frame(rules.sparkSession, self.inlined) if few else enabled_rules(rules)
+
+
+    def expand(self, rows: DataFrame, kept: list[str], readings: dict[str, Column]) -> DataFrame:
+        """Each row once per rule whose metric has a reading in it, with the gates of the rule."""
+        if self.inlined:
+            rows = rows.select(*kept, *[c.alias(m) for m, c in readings.items()], F.inline(rule_array(self.inlined, GATES)))
+            value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in readings])
+            return rows.withColumn("value", value).filter(F.col("value").isNotNull()).drop(*readings)
+        # No rules, or too many to carry in the plan: one row per metric, joined to the rules by metric.
+        points = F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in readings.items()])
+        long = rows.select(*kept, F.inline(points)).filter(F.col("value").isNotNull())
+        return long.join(self.frame.select(*GATES), "metric")
+
+    @property
+    def metrics(self) -> list[str]:
+        return sorted({r["metric"] for r in self.inlined}) if self.inlined else list(METRICS)
+
+
+def _metric_rows(samples: DataFrame, rules: _Rules, slice_seconds: float) -> DataFrame:
     """One row per sample and enabled rule that looks at it: value, time and whether it matches."""
-    inlined = inline_rules(rules)
-    used = METRICS if inlined is None else sorted({r["metric"] for r in inlined})
-    stamp = F.col("timestamp")
+    used, stamp = rules.metrics, F.col("timestamp")
     rows = with_instance(samples).select(
         "inst", *ARRIVAL, "timestamp", "process_name", "username", *used,
         F.floor(F.col("received_at") / F.lit(float(slice_seconds))).alias("slice"),
     )
     seen = {f"__seen_{m}": F.when(F.col(m).isNotNull(), stamp) for m in used}
     rows = preceding_max(rows, ["inst"], "slice", ARRIVAL, seen)
-    in_order = {
-        m: F.when(F.col(f"__seen_{m}").isNull() | (stamp > F.col(f"__seen_{m}")), F.col(m).cast("double")) for m in used
-    }
+
+    def in_order(metric: str) -> Column:
+        newest = F.col(f"__seen_{metric}")
+        return F.when(newest.isNull() | (stamp > newest), F.col(metric).cast("double"))
+
     kept = ["inst", "slice", "timestamp", "process_name", "username"]
-    if inlined is None:
-        # Too many rules to carry in the plan: one row per metric, joined to the rules by metric.
-        points = rows.select(
-            *kept,
-            F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), in_order[m].alias("value")) for m in used])),
-        )
-        expanded = points.filter(F.col("value").isNotNull()).join(enabled_rules(rules).select(*GATES), "metric")
-    elif not inlined:
-        expanded = rows.select(*kept, F.lit(0.0).alias("value"), F.explode(F.array().cast("array<string>")).alias("rule_id"))
-        for name, kind in zip(GATES[1:], ["string", "string", "double", "double", "int", "double"]):
-            expanded = expanded.withColumn(name, F.lit(None).cast(kind))
-    else:
-        expanded = rows.select(*kept, *[in_order[m].alias(m) for m in used], F.inline(rule_array(inlined, GATES)))
-        value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in used])
-        expanded = expanded.withColumn("value", value).filter(F.col("value").isNotNull())
-    return expanded.select(
-        *KEY, "slice", "timestamp", "value", "process_name", "username", "duration", "consecutive_samples", "cooldown",
-        matches(F.col("operator"), F.col("value"), F.col("threshold")).alias("hit"),
-    )
+    expanded = rules.expand(rows, kept, {m: in_order(m) for m in used})
+    hit = matches(F.col("operator"), F.col("value"), F.col("threshold"))
+    return expanded.withColumn("hit", hit).drop("metric", "operator", "threshold")
 
 
 def _with_piece(rows: DataFrame) -> DataFrame:
-    """Numbers the island pieces inside each slice: the clearing sample closes a piece."""
-    earlier = W.partitionBy("inst", "slice", "rule_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, -1)
-    closed = F.coalesce(F.count_if(~F.col("hit")).over(earlier), F.lit(0))
-    return rows.withColumn("piece", closed)
+    """Numbers the island pieces inside each slice: the clearing sample closes a piece.
+
+    Of several non-matching samples in a row only the first closes anything; the rest go.
+    """
+    in_slice = W.partitionBy("inst", "slice", "rule_id").orderBy("timestamp")
+    closed = F.coalesce(F.count_if(~F.col("hit")).over(in_slice.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"piece": closed, "__hit_before": F.lag("hit").over(in_slice)})
+    return rows.filter(F.col("hit") | F.coalesce("__hit_before", F.lit(True))).drop("__hit_before")
 
 
 def _fragments(rows: DataFrame) -> DataFrame:
     """One row per island piece, joined up across slices by ``island``."""
     hit, stamp = F.col("hit"), F.col("timestamp")
-    pieces = rows.groupBy("inst", "slice", "rule_id", "piece").agg(
+    gates = ["duration", "consecutive_samples", "cooldown"]
+    pieces = rows.groupBy("inst", "slice", "rule_id", "piece", *gates).agg(
         F.sort_array(F.collect_list(F.when(hit, stamp))).alias("hits"),
         F.max(F.when(~hit, stamp)).alias("cleared"),
-        F.max(stamp).alias("last_at"),
-        F.max_by("value", "timestamp").alias("last_value"),
-        F.max(F.when(hit, F.struct(stamp.alias("at"), "process_name", "username"))).alias("who"),
-        F.first("duration").alias("duration"),
-        F.first("consecutive_samples").alias("needed"),
-        F.first("cooldown").alias("cooldown"),
+        F.max(F.struct(stamp.alias("seen_at"), "value")).alias("last"),
+        F.max(F.when(hit, F.struct(stamp.alias("seen_at"), "process_name", "username"))).alias("who"),
     )
     hits = F.col("hits")
-    can_fire = (F.size(hits) >= F.col("needed")) & (F.get(hits, F.size(hits) - 1) - F.get(hits, F.lit(0)) >= F.col("duration"))
+    held = F.get(hits, F.size(hits) - 1) - F.get(hits, F.lit(0))
+    can_fire = (F.size(hits) >= F.col("consecutive_samples")) & (held >= F.col("duration"))
     # The first piece of a slice may go on from the slice before, an unclosed one into the slice after.
     pieces = pieces.filter((F.col("piece") == 0) | F.col("cleared").isNull() | can_fire)
-    earlier = W.partitionBy(*KEY).orderBy("slice", "piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = _with_route(pieces)
+    earlier = W.partitionBy(*GROUP).orderBy("slice", "piece").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.withColumns(
         {
             "island": F.coalesce(F.count("cleared").over(earlier), F.lit(0)),
             "previous_clear": F.max("cleared").over(earlier),
         }
     )
-    within = W.partitionBy(*KEY, "island").orderBy("slice", "piece")
+    within = W.partitionBy(*GROUP, "island").orderBy("slice", "piece")
     return pieces.withColumns(
         {
             "hits_before": F.coalesce(
@@ -112,13 +127,30 @@ def _fragments(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_route(pieces: DataFrame) -> DataFrame:
+    """Names the runs of pieces inside a slice that depend on nothing outside of it."""
+    in_slice = W.partitionBy("inst", "slice", "rule_id").orderBy("piece")
+    since, needed, duration = F.get("hits", F.lit(0)), F.col("consecutive_samples"), F.col("duration")
+    candidate = F.get(F.filter("hits", lambda at, i: (i + 1 >= needed) & (at - since >= duration)), F.lit(0))
+    clear_before = F.max("cleared").over(in_slice.rowsBetween(W.unboundedPreceding, -1))
+    inner = (F.col("piece") > 0) & F.col("cleared").isNotNull()
+    settled = inner & F.coalesce(candidate >= clear_before + F.col("cooldown"), F.lit(False))
+    rows = pieces.withColumn("__settled", settled)
+    rows = rows.withColumn("__run", F.count_if("__settled").over(in_slice.rowsBetween(W.unboundedPreceding, 0)))
+    last_run = F.max("__run").over(W.partitionBy("inst", "slice", "rule_id"))
+    # The last run of a slice hands its cooldown to the next slice, if there is one to hand over.
+    alone = inner & (F.col("__run") > 0) & ((F.col("__run") < last_run) | (F.col("cooldown") == 0))
+    name = F.concat_ws(":", F.col("slice").cast("string"), F.col("__run").cast("string"))
+    return rows.withColumn("route", F.when(alone, name).otherwise("")).drop("__settled", "__run")
+
+
 def _islands(fragments: DataFrame) -> DataFrame:
     """One row per island that may fire, with its firing candidates.
 
     ``near`` holds the candidates inside the cooldown that the clear before the island
     could have started; ``beyond`` is the first candidate after it.
     """
-    needed, since, before = F.col("needed"), F.col("since"), F.col("hits_before")
+    needed, since, before = F.col("consecutive_samples"), F.col("since"), F.col("hits_before")
     duration, limit = F.col("duration"), F.col("previous_clear") + F.col("cooldown")
     gated = F.filter(
         "hits", lambda at, i: (before + i + 1 >= needed) & (at - since >= duration)
@@ -131,13 +163,12 @@ def _islands(fragments: DataFrame) -> DataFrame:
         }
     )
     return (
-        rows.groupBy(*KEY, "island")
+        rows.groupBy(*GROUP, "island")
         .agg(
             F.array_sort(F.flatten(F.collect_list("near"))).alias("near"),
             F.min("beyond").alias("beyond"),
             F.max("cleared").alias("cleared"),
-            F.max("last_at").alias("last_at"),
-            F.max_by("last_value", "last_at").alias("last_value"),
+            F.max("last").alias("last"),
             F.max("who").alias("who"),
             F.first("cooldown").alias("cooldown"),
         )
@@ -147,11 +178,11 @@ def _islands(fragments: DataFrame) -> DataFrame:
 
 def _fired(islands: DataFrame) -> DataFrame:
     """Islands that fire, with ``fired_at``."""
-    chain = F.count("beyond").over(W.partitionBy(*KEY).orderBy("island").rowsBetween(W.unboundedPreceding, 0))
-    body = ["island", "near", "beyond", "cleared", "last_at", "last_value", "who", "cooldown"]
+    chain = F.count("beyond").over(W.partitionBy(*GROUP).orderBy("island").rowsBetween(W.unboundedPreceding, 0))
+    body = ["island", "near", "beyond", "cleared", "last", "who", "cooldown"]
     chains = (
         islands.withColumn("chain", chain)
-        .groupBy(*KEY, "chain")
+        .groupBy(*GROUP, "chain")
         .agg(F.array_sort(F.collect_list(F.struct(*body))).alias("run"))
     )
     kind = chains.schema["run"].dataType.elementType.simpleString()
@@ -173,18 +204,16 @@ def _fired(islands: DataFrame) -> DataFrame:
 
     folded = chains.withColumn("state", F.aggregate("run", start, step))
     entering = F.coalesce(
-        F.lag("state.quiet_until").over(W.partitionBy(*KEY).orderBy("chain")), F.lit(0.0)
+        F.lag("state.quiet_until").over(W.partitionBy(*GROUP).orderBy("chain")), F.lit(0.0)
     )
-    rows = folded.select(*KEY, entering.alias("quiet_until"), F.col("state.fired").alias("fired"))
-    rows = rows.select(*KEY, "quiet_until", F.inline("fired")).select(*KEY, "quiet_until", "at", "row.*")
+    rows = folded.select(*GROUP, entering.alias("quiet_until"), F.col("state.fired").alias("fired"))
+    rows = rows.select(*GROUP, "quiet_until", F.inline("fired")).select(*GROUP, "quiet_until", "at", "row.*")
     in_cooldown = F.get(F.filter("near", lambda t: t >= F.col("quiet_until")), F.lit(0))
     return rows.withColumn("fired_at", F.coalesce("at", in_cooldown, "beyond"))
 
 
-def _alert_columns(fired: DataFrame, rules: DataFrame) -> DataFrame:
-    inlined = inline_rules(rules)
-    known = enabled_rules(rules) if inlined is None else rules_frame(fired.sparkSession, inlined)
-    rows = fired.join(known.drop("cooldown"), "rule_id")
+def _alert_columns(fired: DataFrame, rules: _Rules) -> DataFrame:
+    rows = fired.join(rules.frame.drop("cooldown"), "rule_id")
     return rows.select(
         "rule_id",
         F.col("name").alias("rule_name"),
@@ -194,11 +223,11 @@ def _alert_columns(fired: DataFrame, rules: DataFrame) -> DataFrame:
         "metric",
         "operator",
         "threshold",
-        F.col("last_value").alias("current_value"),
+        F.col("last.value").alias("current_value"),
         "severity",
         F.when(F.col("cleared").isNull(), "active").otherwise("resolved").alias("status"),
         F.col("fired_at").alias("triggered_at"),
-        F.col("last_at").alias("last_seen"),
+        F.col("last.seen_at").alias("last_seen"),
         F.col("cleared").alias("resolved_at"),
         "action",
     ).select(*ALERT_COLUMNS)
@@ -208,22 +237,15 @@ def evaluate_alerts(
     samples: DataFrame, rules: DataFrame, slice_seconds: float = Params.slice_seconds
 ) -> DataFrame:
     """The complete alert history of accepted samples under one rule set."""
-    if inline_rules(rules) == []:
-        return samples.sparkSession.createDataFrame([], _alert_schema())
-    rows = _with_piece(_metric_rows(samples, rules, slice_seconds))
-    return _alert_columns(_fired(_islands(_fragments(rows))), rules)
-
-
-def _alert_schema():
-    from hostlens.schemas import ALERT
-
-    return ALERT
+    known = _Rules(rules)
+    rows = _with_piece(_metric_rows(samples, known, slice_seconds))
+    return _alert_columns(_fired(_islands(_fragments(rows))), known)
 
 
 def alert_states(samples: DataFrame, rules: DataFrame, slice_seconds: float = Params.slice_seconds) -> DataFrame:
     """State after the last sample, per rule and instance."""
-    rows = _with_piece(_metric_rows(samples, rules, slice_seconds))
-    fragments = _fragments(rows)
+    known = _Rules(rules)
+    fragments = _fragments(_with_piece(_metric_rows(samples, known, slice_seconds)))
     newest = fragments.groupBy(*KEY).agg(
         F.max(
             F.struct(
@@ -235,14 +257,15 @@ def alert_states(samples: DataFrame, rules: DataFrame, slice_seconds: float = Pa
             )
         ).alias("last")
     )
-    seen = rows.groupBy(*KEY).agg(F.max("timestamp").alias("last_sample_at"))
+    times = {m: F.max(F.when(F.col(m).isNotNull(), F.col("timestamp"))).alias(m) for m in known.metrics}
+    seen = with_instance(samples).groupBy("inst").agg(*times.values())
+    seen = known.expand(seen, ["inst"], {m: F.col(m) for m in times}).select(*KEY, F.col("value").alias("last_sample_at"))
     alerts = (
-        evaluate_alerts(samples, rules, slice_seconds)
-        .join(rules.select("rule_id", "cooldown"), "rule_id")
-        .groupBy(instance_key().alias("inst"), "rule_id")
+        _fired(_islands(fragments))
+        .groupBy(*KEY)
         .agg(
-            F.max(F.col("resolved_at") + F.col("cooldown")).alias("cooldown_until"),
-            F.max(F.when(F.col("status") == "active", F.col("triggered_at"))).alias("active_triggered_at"),
+            F.max(F.col("cleared") + F.col("cooldown")).alias("cooldown_until"),
+            F.max(F.when(F.col("cleared").isNull(), F.col("fired_at"))).alias("active_triggered_at"),
         )
     )
     is_open = F.col("last.open") & (F.col("last.run") > 0)
@@ -266,11 +289,11 @@ def alert_transitions(samples: DataFrame, rules: DataFrame, slice_seconds: float
 
     Samples meet the alert of their island by an equi-join on the island piece.
     """
-    rows = _with_piece(_metric_rows(samples, rules, slice_seconds))
+    rows = _with_piece(_metric_rows(samples, _Rules(rules), slice_seconds))
     fragments = _fragments(rows)
-    fired = _fired(_islands(fragments)).select(*KEY, "island", "fired_at")
+    fired = _fired(_islands(fragments)).select(*GROUP, "island", "fired_at")
     piece = ["inst", "slice", "rule_id", "piece"]
-    alerting = fragments.select(*piece, "island").join(fired, [*KEY, "island"]).select(*piece, "fired_at")
+    alerting = fragments.select(*piece, "route", "island").join(fired, [*GROUP, "island"]).select(*piece, "fired_at")
     events = rows.join(alerting, piece).filter(F.col("timestamp") >= F.col("fired_at"))
     kind = (
         F.when(~F.col("hit"), "resolved").when(F.col("timestamp") == F.col("fired_at"), "triggered").otherwise("updated")

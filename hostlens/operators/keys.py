@@ -73,10 +73,10 @@ def preceding_max(df: DataFrame, keys: list[str], slice_col: str, order: list, m
     )
     earlier_rows = W.partitionBy(*scope).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.select("*", *[F.max(m).over(earlier_rows).alias(f"__local_{name}") for name, m in measures.items()])
-    joined = local.join(carried, scope)
-    kept = [c for c in df.columns]
+    # The window left the rows partitioned and sorted by the join keys.
+    joined = local.join(carried.hint("merge"), scope)
     return joined.select(
-        *kept, *[F.greatest(f"__local_{name}", f"__carried_{name}").alias(name) for name in measures]
+        *df.columns, *[F.greatest(f"__local_{name}", f"__carried_{name}").alias(name) for name in measures]
     )
 
 
@@ -93,7 +93,7 @@ def numbered(df: DataFrame, keys: list[str], part: Column, order: list, name: st
     shifts = sizes.select(*scope, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__shift"))
     local = rows.withColumn("__local", F.row_number().over(W.partitionBy(*scope).orderBy(*order)))
     return (
-        local.join(shifts, scope)
+        local.join(shifts.hint("merge"), scope)
         .withColumn(name, F.col("__shift") + F.col("__local"))
         .select(*df.columns, name)
     )

@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Alert and incident stages do much work per byte: small partitions are worth a task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Aggregations over rows that a window left sorted need no hash table.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     # "First k per key" filters are applied before the shuffle for every k up to this
     # one; the longest list kept per key is the 5000-row instance history.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
