@@ -31,10 +31,10 @@ RULES = [
 ]
 
 
-def raw_samples(events: DataFrame) -> DataFrame:
+def raw_samples(events: DataFrame, squeezed: bool = True) -> DataFrame:
     """One sample per event, plus a late copy of every twentieth with a changed CPU reading."""
     offset = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(BASE * 1_000_000)).cast("double") / F.lit(1e9)
-    squeeze = (F.lit(SPAN) - F.col("user_id") % 12 * 100).cast("double") / F.lit(float(SPAN))
+    squeeze = (F.lit(SPAN) - F.col("user_id") % 12 * 100).cast("double") / F.lit(float(SPAN)) if squeezed else F.lit(1.0)
     kind, late = F.col("event_type"), F.col("event_id") % 50 == 0
     first = (
         events.withColumn("__o", offset * squeeze)
