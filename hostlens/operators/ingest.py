@@ -49,10 +49,13 @@ def append_samples(new: DataFrame, table: str, batch: int, stored: DataFrame | N
 
 
 def write_samples(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Date partitions, sorted by instance and time so that row groups prune."""
+    """Date partitions, sorted by instance and time so that row groups prune.
+
+    The rebalance gathers an instance's day but splits what is too large for one task.
+    """
     (
         df.withColumn("date", event_date())
-        .repartition("date", *IDENTITY[:3])
+        .hint("rebalance", "date", *IDENTITY[:3])
         .sortWithinPartitions("date", *IDENTITY)
         .write.mode(mode)
         .partitionBy("date")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.operators.ingest import dedup_samples
+from hostlens.operators.keys import in_time
 from hostlens.schemas import SAMPLE
 
 
@@ -22,11 +23,8 @@ def prune_samples(samples: DataFrame, now: float, days: float = 30) -> Pruned:
     On a table partitioned by ``date`` only the day that holds the cutoff is read twice.
     """
     cutoff = now - days * 86_400
-    expired, rows = samples.filter(F.col("timestamp") < cutoff), samples.filter(F.col("timestamp") >= cutoff)
-    if "date" in samples.columns:
-        day = F.to_date(F.timestamp_seconds(F.floor(F.lit(float(cutoff)))))
-        expired, rows = expired.filter(F.col("date") <= day), rows.filter(F.col("date") >= day)
-    return Pruned(rows, expired.agg(F.count("*").alias("deleted_count")))
+    expired = in_time(samples, end=cutoff).filter(F.col("timestamp") < cutoff)
+    return Pruned(in_time(samples, cutoff), expired.agg(F.count("*").alias("deleted_count")))
 
 
 def with_compat_fields(df: DataFrame) -> DataFrame:

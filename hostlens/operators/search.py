@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import alert_search, sample_search
 from hostlens.operators.alerts import newest_alerts_first
+from hostlens.operators.keys import in_time
 from hostlens.operators.snapshot import Page, list_processes, newest_first
 from hostlens.schemas import ALERT_STATUSES, SEVERITIES
 
@@ -28,17 +29,13 @@ def history(
     offset: int = 0,
 ) -> Page:
     """Stored samples, newest first; time bounds are inclusive."""
-    rows = samples
+    rows = in_time(samples, start, end)
     if host:
         rows = rows.filter(F.col("host") == host)
     if pid is not None:
         rows = rows.filter(F.col("pid") == pid)
     if create_time is not None:
         rows = rows.filter(F.col("create_time") == create_time)
-    if start is not None:
-        rows = rows.filter(F.col("timestamp") >= start)
-    if end is not None:
-        rows = rows.filter(F.col("timestamp") <= end)
     if search:
         rows = rows.filter(sample_search(search))
     return _page(rows, newest_first(), limit, offset)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import bucket, settled
+from hostlens.operators.keys import in_time
 from hostlens.params import series_bucket
 
 
 def metric_series(samples: DataFrame, now: float, lookback: int = 3600, host: str | None = None) -> DataFrame:
     """Average CPU and memory and sample count per time bucket."""
-    rows = samples.filter(F.col("timestamp") >= now - lookback)
+    rows = in_time(samples, now - lookback)
     if host:
         rows = rows.filter(F.col("host") == host)
     return rows.groupBy(bucket(F.col("timestamp"), series_bucket(lookback)).alias("bucket")).agg(

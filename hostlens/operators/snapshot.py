@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import instance_id, sample_search
-from hostlens.operators.keys import first_per_key, oldest_per_key, with_instance
+from hostlens.operators.keys import first_per_key, in_time, oldest_per_key, with_instance
 from hostlens.params import Params
 
 
@@ -60,7 +60,7 @@ def instance_history(
     slice_seconds: float = Params.slice_seconds,
 ) -> DataFrame:
     """The oldest ``limit`` samples of each instance within the lookback, numbered in time order."""
-    recent = with_instance(samples.filter(F.col("timestamp") >= now - lookback))
+    recent = with_instance(in_time(samples, now - lookback))
     return oldest_per_key(recent, "inst", ["timestamp", "seq"], limit, slice_seconds, "position").drop("inst")
 
 

@@ -45,6 +45,14 @@ def _alerts(spark: SparkSession, folder: str) -> DataFrame:
     return al.evaluate_alerts(fd.samples(spark, folder), fd.rules(spark), SLICE)
 
 
+def _alert_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The alerts as a stored table, for reports that read them more than once."""
+    path = work_folder(spark, "alerts")
+    alerts = _alerts(spark, folder)
+    alerts.write.parquet(path)
+    return spark.read.schema(alerts.schema).parquet(path)
+
+
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
     return ho.host_registry(fd.samples(spark, folder))
 
@@ -231,13 +239,13 @@ def latest_samples(spark, folder):
 @query
 def list_processes(spark, folder):
     rows = fd.samples(spark, folder)
-    return _with_total(sn.list_processes(rows, _alerts(spark, folder), NOW, page=2, page_size=20))
+    return _with_total(sn.list_processes(rows, _alert_table(spark, folder), NOW, page=2, page_size=20))
 
 
 @query
 def list_processes_search(spark, folder):
     page = sn.list_processes(
-        fd.samples(spark, folder), _alerts(spark, folder), NOW,
+        fd.samples(spark, folder), _alert_table(spark, folder), NOW,
         search="PROC-1%.exe", state="RUNNING", sort="process_name", order="asc", page_size=250,
     )
     return _with_total(page)
@@ -246,7 +254,7 @@ def list_processes_search(spark, folder):
 @query
 def list_processes_alerting(spark, folder):
     page = sn.list_processes(
-        fd.samples(spark, folder), _alerts(spark, folder), NOW,
+        fd.samples(spark, folder), _alert_table(spark, folder), NOW,
         cpu_min=10, memory_min=5, alert_only=True, sort="memory_rss", page_size=250,
     )
     return _with_total(page)
@@ -335,7 +343,7 @@ def search_hosts(spark, folder):
 @query
 def global_search(spark, folder):
     rows = fd.samples(spark, folder)
-    return search.global_search(rows, ho.host_registry(rows), _alerts(spark, folder), " host-0 ", NOW)
+    return search.global_search(rows, ho.host_registry(rows), _alert_table(spark, folder), " host-0 ", NOW)
 
 
 @query
@@ -451,7 +459,7 @@ def alerts_from_transitions(spark, folder):
 @query
 def list_alerts(spark, folder):
     page = search.list_alerts(
-        _alerts(spark, folder), status="resolved", severity="warning", since=fd.BASE + 300.0, search="PROC-2", limit=50, offset=10
+        _alert_table(spark, folder), status="resolved", severity="warning", since=fd.BASE + 300.0, search="PROC-2", limit=50, offset=10
     )
     return _with_total(page)
 
@@ -459,7 +467,7 @@ def list_alerts(spark, folder):
 @query
 def list_alerts_active(spark, folder):
     """The six newest active alerts."""
-    return _with_total(search.list_alerts(_alerts(spark, folder), status="active", limit=6))
+    return _with_total(search.list_alerts(_alert_table(spark, folder), status="active", limit=6))
 
 
 @query
@@ -485,7 +493,7 @@ def active_alert_for(spark, folder):
 
 @query
 def notification_outbox(spark, folder):
-    messages = outbox.notification_outbox(_alerts(spark, folder), email_configured=False)
+    messages = outbox.notification_outbox(_alert_table(spark, folder), email_configured=False)
     body = F.when(F.col("action") == "webhook", F.get_json_object("body", "$.alert")).otherwise(F.col("body"))
     return messages.select(
         "delivery_seq", *ALERT_KEY, "action", "delivery", "subject",
@@ -500,7 +508,7 @@ def notification_outbox(spark, folder):
 
 @query
 def incident_samples(spark, folder):
-    rows = inc.incident_samples(_alerts(spark, folder), fd.samples(spark, folder), 600, cap=15)
+    rows = inc.incident_samples(_alert_table(spark, folder), fd.samples(spark, folder), 600, cap=15)
     return rows.select(
         F.substring_index("alert_id", "|", 1).alias("rule_id"), "seq", "triggered_at", "timestamp", "newest", "value"
     )
@@ -508,12 +516,12 @@ def incident_samples(spark, folder):
 
 @query
 def incident_summary(spark, folder):
-    return inc.incident_summary(_alerts(spark, folder), fd.samples(spark, folder))
+    return inc.incident_summary(_alert_table(spark, folder), fd.samples(spark, folder))
 
 
 @query
 def incident_summary_hour(spark, folder):
-    return inc.incident_summary(_alerts(spark, folder), fd.samples(spark, folder), 3600, cap=20)
+    return inc.incident_summary(_alert_table(spark, folder), fd.samples(spark, folder), 3600, cap=20)
 
 
 @query
@@ -525,7 +533,7 @@ def incident_header(spark, folder):
 
 @query
 def incident_timeline(spark, folder):
-    rows = inc.incident_timeline(_alerts(spark, folder), fd.samples(spark, folder), 3600)
+    rows = inc.incident_timeline(_alert_table(spark, folder), fd.samples(spark, folder), 3600)
     key = F.split("alert_id", r"\|")
     return rows.select(
         key.getItem(0).alias("rule_id"),
@@ -538,18 +546,18 @@ def incident_timeline(spark, folder):
 
 @query
 def incident_evidence(spark, folder):
-    return inc.incident_evidence(_alerts(spark, folder), fd.samples(spark, folder))
+    return inc.incident_evidence(_alert_table(spark, folder), fd.samples(spark, folder))
 
 
 @query
 def incident_evidence_hour(spark, folder):
-    return inc.incident_evidence(_alerts(spark, folder), fd.samples(spark, folder), 3600)
+    return inc.incident_evidence(_alert_table(spark, folder), fd.samples(spark, folder), 3600)
 
 
 @query
 def incident_documents(spark, folder):
     """The nested documents, with a few of their parts laid open."""
-    docs = inc.incident_documents(_alerts(spark, folder), fd.samples(spark, folder))
+    docs = inc.incident_documents(_alert_table(spark, folder), fd.samples(spark, folder))
     last = F.element_at("timeline", -1)
     return docs.select(
         *[F.col(f"incident.{c}").alias(c) for c in ALERT_KEY],
