@@ -11,11 +11,10 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from hostlens.plans.queries import QUERIES  # noqa: E402
+from hostlens.session import session_builder  # noqa: E402
 
 HEADLINE = [
     "dedup_samples",
@@ -46,8 +45,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("hostlens-bench")
+        session_builder("hostlens-bench")
+        .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
