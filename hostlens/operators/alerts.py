@@ -351,6 +351,15 @@ def get_alert(alerts: DataFrame, identifier: str) -> DataFrame:
     return with_alert_id(alerts).filter(F.col("alert_id") == identifier)
 
 
+def get_alert_state(states: DataFrame, rule_id: str, host: str, pid: int, create_time: float) -> DataFrame:
+    return states.filter(
+        (F.col("rule_id") == rule_id)
+        & (F.col("host") == host)
+        & (F.col("pid") == pid)
+        & (F.col("create_time") == create_time)
+    )
+
+
 def active_alert_for(alerts: DataFrame, rule_id: str, host: str, pid: int, create_time: float) -> DataFrame:
     return (
         alerts.filter((F.col("rule_id") == rule_id) & (F.col("host") == host) & (F.col("pid") == pid))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.functions.exprs import alert_search, sample_search
+from hostlens.functions.exprs import alert_search, contains_like, sample_search
 from hostlens.operators.alerts import newest_alerts_first
 from hostlens.operators.keys import in_time
 from hostlens.operators.snapshot import Page, list_processes, newest_first
@@ -68,9 +68,10 @@ def list_alerts(alerts: DataFrame, *, limit: int = 100, offset: int = 0, **filte
     return _page(matching_alerts(alerts, **filters), newest_alerts_first(), limit, offset)
 
 
-def search_hosts(hosts: DataFrame, needle: str) -> DataFrame:
-    """Hosts whose name contains the needle, ignoring case; no wildcards."""
-    return hosts.filter(F.lower("host").contains(needle.lower())).orderBy(F.lower("host"), "host")
+def search_hosts(hosts: DataFrame, needle: str, wildcards: bool = False) -> DataFrame:
+    """Hosts whose name contains the needle, ignoring case; ``%`` and ``_`` count only on request."""
+    plain = F.lower("host").contains(needle.lower())
+    return hosts.filter(contains_like(needle, "host") if wildcards else plain).orderBy(F.lower("host"), "host")
 
 
 def global_search(samples: DataFrame, hosts: DataFrame, alerts: DataFrame, query: str, now: float) -> DataFrame:

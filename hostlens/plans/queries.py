@@ -12,7 +12,7 @@ from hostlens.operators import alerts as al
 from hostlens.operators import hosts as ho
 from hostlens.operators import incidents as inc
 from hostlens.operators import ingest as ing
-from hostlens.operators import kpis, outbox, retention, search, series
+from hostlens.operators import details, kpis, outbox, retention, search, series
 from hostlens.operators import rules as ru
 from hostlens.operators import snapshot as sn
 from hostlens.operators import validate as va
@@ -23,6 +23,7 @@ from hostlens.session import configure, work_folder
 from hostlens.sources import feed as fd
 from hostlens.sources import spool as sp
 from hostlens.sources.envelopes import envelope_samples, read_envelopes
+from hostlens.sources.rule_files import read_rules
 from hostlens.streaming import pipeline as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +222,16 @@ def compact_spool(spark, folder):
     return sp.read_spool(spark, path, 6).select(*_spool_line(), "newest")
 
 
+@query
+def append_spool(spark, folder):
+    """Spools of five batches with one new batch each, kept to the newest four."""
+    pending = _spooled(spark, folder, 5)
+    lines = envelopes(fd.feed(spark, folder), size=10).withColumn("host", F.get_json_object("value", "$.host"))
+    spools = pending.select("spool", F.get_json_object("value", "$.host").alias("host")).distinct()
+    fresh = lines.filter(F.col("chunk") == 0).join(spools, "host").select("spool", F.col("chunk").alias("position"), "value")
+    return sp.append_spool(pending, fresh, 4).select(*_spool_line(), "newest")
+
+
 @query
 def replay_order(spark, folder):
     pending = _spooled(spark, folder, 5)
@@ -352,6 +363,50 @@ def page_info(spark, folder):
     return search.page_info(page.total, 2, 20)
 
 
+@query
+def search_hosts_like(spark, folder):
+    return search.search_hosts(_registry(spark, folder), "ST_0%5", wildcards=True).select("host", "sample_count")
+
+
+@query
+def overview(spark, folder):
+    view = details.overview(fd.samples(spark, folder), _alert_table(spark, folder), NOW, window=1200)
+    busy = view.activity.groupBy("host").agg(F.sum("value").alias("received"), F.max("height").alias("height"))
+    rows = view.hosts.select("host", "status", "process_count", "active_alert_count").join(busy, "host")
+    return rows.withColumn("live_hosts", view.kpis.select("live_hosts").scalar())
+
+
+@query
+def host_detail(spark, folder):
+    """The parts of one host's page as labelled rows."""
+    view = details.host_detail(fd.samples(spark, folder), _alert_table(spark, folder), "host-02", NOW)
+
+    def part(name: str, frame: DataFrame, place: Column, value: Column) -> DataFrame:
+        return frame.select(F.lit(name).alias("part"), place.cast("string").alias("place"), value.cast("double").alias("value"))
+
+    parts = [
+        part("summary", view.summary, F.col("status"), F.col("sample_count")),
+        part("top_cpu", view.top_cpu, F.col("rank"), F.col("cpu_percent")),
+        part("top_memory", view.top_memory, F.col("rank"), F.col("memory_percent")),
+        part("recent_alerts", view.recent_alerts, F.col("rank"), F.col("triggered_at")),
+        part("series", view.series.groupBy("series").agg(F.count("*").alias("n")), F.col("series"), F.col("n")),
+    ]
+    rows = parts[0]
+    for frame in parts[1:]:
+        rows = rows.unionByName(frame)
+    return rows
+
+
+@query
+def process_detail(spark, folder):
+    """The newest instance of one pid: its history with its alerts counted along."""
+    view = details.process_detail(fd.samples(spark, folder), _alert_table(spark, folder), "host-01", 13, None, NOW)
+    rows = view.history.select("create_time", "timestamp", "position", "cpu_percent")
+    return rows.withColumn("alerts", view.alerts.agg(F.count("*")).scalar()).withColumn(
+        "current_at", view.current.select("timestamp").scalar()
+    )
+
+
 @query
 def metric_series(spark, folder):
     return series.metric_series(fd.samples(spark, folder), NOW, 2400, host="host-01")
@@ -414,6 +469,18 @@ def validate_rules(spark, folder):
     return rows.select("change_seq", "rule_id", "name", "severity", "cooldown", "valid", F.array_join("errors", ",").alias("errors"))
 
 
+@query
+def read_rule_files(spark, folder):
+    """Rules written as JSON lines, every second with the old id name, read back and checked."""
+    log = fd.rule_log(fd.read_events(spark, folder))
+    fields = ["name", "metric", "operator", "threshold", "consecutive_samples", "enabled"]
+    old = F.to_json(F.struct(F.col("rule_id").alias("id"), *fields))
+    path = work_folder(spark, "rules")
+    lines = log.select(F.when(F.col("change_seq") % 2 == 0, old).otherwise(F.to_json(F.struct("rule_id", *fields))).alias("value"))
+    lines.write.text(path)
+    return ru.validate_rules(read_rules(spark, path)).drop("errors")
+
+
 @query
 def rule_texts(spark, folder):
     log = fd.rule_log(fd.read_events(spark, folder))
@@ -445,6 +512,21 @@ def alert_states(spark, folder):
     return al.alert_states(fd.samples(spark, folder), fd.rules(spark), SLICE)
 
 
+@query
+def get_alert_state(spark, folder):
+    states = al.alert_states(fd.samples(spark, folder), fd.rules(spark), SLICE)
+    return al.get_alert_state(states, "cpu-any", "host-01", 13, fd.BASE + 1296.0)
+
+
+@query
+def get_alert(spark, folder):
+    """The newest alert of host-01, looked up by its id."""
+    alerts = _alert_table(spark, folder)
+    newest = search.list_alerts(alerts, host="host-01", limit=1).rows
+    wanted = al.with_alert_id(newest).select("alert_id")
+    return al.with_alert_id(alerts).join(wanted, "alert_id", "left_semi").drop("alert_id")
+
+
 @query
 def alert_transitions(spark, folder):
     return al.alert_transitions(fd.samples(spark, folder), fd.rules(spark), SLICE)

@@ -27,6 +27,14 @@ def read_spool(spark: SparkSession, path: str, last_n: int = Params.spool_batche
     return first_per_key(kept, ["spool"], order, last_n, "newest").select("spool", "newest", "value")
 
 
+def append_spool(spool: DataFrame, new: DataFrame, last_n: int = Params.spool_batches) -> DataFrame:
+    """The spools with new envelopes (``spool, position, value``) behind them, cut to the newest ``last_n``."""
+    pending = spool.select("spool", F.lit(0).alias("late"), (-F.col("newest")).alias("position"), "value")
+    fresh = new.select("spool", F.lit(1).alias("late"), F.col("position").cast("int").alias("position"), "value")
+    order = [F.desc("late"), F.desc("position")]
+    return first_per_key(pending.unionByName(fresh), ["spool"], order, last_n, "newest").select("spool", "newest", "value")
+
+
 def compact_spool(spool: DataFrame, path: str) -> None:
     """Writes the kept envelopes, oldest first, one folder per spool; nothing kept leaves none."""
     (
