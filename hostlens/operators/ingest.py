@@ -33,10 +33,11 @@ def accept_samples(new: DataFrame, stored: DataFrame | None = None) -> DataFrame
         return first
     keys = IDENTITY
     if "date" in stored.columns:
+        dates = new.agg(F.collect_set(event_date()).alias("dates")).scalar()
+        stored = stored.filter(F.array_contains(dates, F.col("date")))
         first = first.withColumn("date", event_date())
         keys = ["date", *IDENTITY]
-    kept = first.join(stored.select(*keys), keys, "left_anti")
-    return kept.select(*new.columns)
+    return first.join(stored.select(*keys), keys, "left_anti").select(*new.columns)
 
 
 def append_samples(new: DataFrame, table: str, batch: int, stored: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostlens.functions.exprs import event_time, settled
 from hostlens.operators.alerts import alerts_from_transitions
-from hostlens.operators.ingest import accept_samples, event_date, ingest_receipts, write_samples
+from hostlens.operators.ingest import accept_samples, ingest_receipts, write_samples
 from hostlens.operators.keys import first_per_key, instance_key
 from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, SAMPLE
@@ -44,15 +44,11 @@ def _ingest_batch(table: str):
         folder = f"{table}/samples"
         envelopes = envelopes.persist()
         try:
-            new = envelope_samples(envelopes).withColumn("date", event_date())
+            new = envelope_samples(envelopes)
             stored = None
             if number > 0:
-                # Only the dates of this batch can hold its identities.
-                dates = [r[0] for r in new.select("date").distinct().collect()]
-                stored = read_table(spark, folder).filter(
-                    (F.col("ingest_batch") < number) & F.col("date").isin(dates)
-                )
-            write_samples(accept_samples(new.drop("date"), stored), f"{folder}/ingest_batch={number}", "overwrite")
+                stored = read_table(spark, folder).filter(F.col("ingest_batch") < number)
+            write_samples(accept_samples(new, stored), f"{folder}/ingest_batch={number}", "overwrite")
             accepted = read_table(spark, folder).filter(F.col("ingest_batch") == number)
             ingest_receipts(new, accepted).write.mode("overwrite").parquet(f"{table}/receipts/ingest_batch={number}")
             rejected = envelopes.filter(F.col("reason").isNotNull()).select("batch_id", "host", "reason", "value")

@@ -33,7 +33,9 @@ def test_acceptance_reads_the_stored_keys_only(spark, tmp_path):
     new = samples(spark, [sample(2), sample(3, pid=5)])
     taken = accept_samples(new, spark.read.parquet(path))
     assert [r.seq for r in taken.collect()] == [3]
-    assert "ReadSchema: struct<host:string,pid:bigint,create_time:double,timestamp:double>" in plan_of(taken)
+    plan = plan_of(taken)
+    assert "PartitionFilters: [isnotnull(date" in plan and "array_contains(Subquery" in plan
+    assert "ReadSchema: struct<host:string,pid:bigint,create_time:double,timestamp:double>" in plan
 
 
 def test_first_per_key_is_limited_before_the_shuffle(spark):
