@@ -9,6 +9,10 @@ from hostlens.operators.alerts import with_alert_id
 from hostlens.operators.keys import numbered
 from hostlens.schemas import ALERT_COLUMNS, ALERT_KEY
 
+# Subject line and event name of the messages.
+SUBJECT = "Process monitor alert: "
+EVENT = "alert.triggered"
+
 DELIVERY_ORDER = ["triggered_at", "rule_id", "host", "pid", "create_time"]
 
 
@@ -31,7 +35,7 @@ def notification_outbox(
         .when(F.col("action") == "email", F.lit(email_configured))
         .otherwise(F.lit(False))
     )
-    event = F.struct(F.lit("alert.triggered").alias("event"), alert.alias("alert"))
+    event = F.struct(F.lit(EVENT).alias("event"), alert.alias("alert"))
     mail = F.col("action") == "email"
     return rows.select(
         "delivery_seq",
@@ -39,7 +43,7 @@ def notification_outbox(
         *ALERT_KEY,
         "action",
         F.when(configured, "ready").otherwise("not_configured").alias("delivery"),
-        F.when(mail, F.concat(F.lit("Process monitor alert: "), F.coalesce("rule_name", "rule_id"))).alias("subject"),
+        F.when(mail, F.concat(F.lit(SUBJECT), F.coalesce("rule_name", "rule_id"))).alias("subject"),
         F.when(mail, F.to_json(alert, keep_nulls)).otherwise(F.to_json(event, keep_nulls)).alias("body"),
     )
 

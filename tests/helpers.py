@@ -1,4 +1,4 @@
-"""Small hand-made tables and a sequential reference for the alert rules."""
+"""Small hand-made tables and a sequential walk of the alert rules."""
 
 from __future__ import annotations
 
