@@ -12,7 +12,7 @@ Two sets link when 100 * |a and b| >= 75 * |a or b|. An n-gram stands for its 64
    only neighbours are taken at first, and their entries are put aside.
 4. Skipping by answers. Each class is first verified against the partner with which it shares most entries. What
    lies in one component then needs no further answer. Of the other pairs, those put aside included, only the
-   pairs of partners are computed; a pair's own overlap lies within the partners' overlap plus and minus the
+   pairs of partners are computed, those first whose parity sketches leave a link possible; a pair's own overlap lies within the partners' overlap plus and minus the
    known differences, and only where these bounds leave it open the pair itself is verified.
 5. Components of all links give each document its group.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,24 @@ HOT_COUNT, HOT_MOST = 12, 200_000
 #: Prefix entries of a bucket, and bits of the filter for the rows that verification needs.
 BUCKET_ENTRIES, FILTER_BITS = 500_000, 1 << 23
 
-_ENTRY = np.dtype([("token", "<u8"), ("cid", "<i8"), ("pos", "<u4"), ("n", "<u4")])
+#: An index entry: n-gram, class, n-grams from its position on, set size. In a bucket 32 bits of the n-gram's
+#: hash tell the lists apart; lists that fall together only add candidates.
+_ENTRY = np.dtype([("token", "<u4"), ("cid", "<i8"), ("rest", "<u4"), ("n", "<u4")])
+
+
+def _packed(entries: np.ndarray) -> bytes:
+    """Entries field by field and byte by byte, which Spark's compression shrinks well."""
+    return b"".join(np.ascontiguousarray(entries[f]).view(np.uint8).reshape(len(entries), -1).T.tobytes() for f in _ENTRY.names)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    out, at = np.empty(len(raw) // _ENTRY.itemsize, _ENTRY), 0
+    for f in _ENTRY.names:
+        width = _ENTRY[f].itemsize
+        part = raw[at : at + width * len(out)].reshape(width, len(out))
+        out[f], at = np.ascontiguousarray(part.T).view(_ENTRY[f])[:, 0], at + part.size
+    return out
 
 
 class _Hashes(dict):
@@ -83,6 +100,23 @@ def needed(n, m):
     return -(-3 * (n + m) // 7)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the number of n-grams at each of at least n places (a power of two)."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_common(a: bytes, n: int, b: bytes, m: int) -> int:
+    """No less than the overlap of two sets: each place where their parities differ has an n-gram of one only."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return min(n, m, (n + m - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
@@ -121,7 +155,7 @@ def hot_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, sig, prefix of every row; sig is null for a row without words."""
+    """doc_id, n, sig, sketch, prefix of every row; all but the first two are null for a row without words."""
     order = np.argsort(hot)
     shared = rows.sparkSession.sparkContext.broadcast((hot[order], order))
 
@@ -132,43 +166,43 @@ def signatures(rows: DataFrame, hot: np.ndarray) -> DataFrame:
         def emit() -> pa.RecordBatch:
             columns = list(zip(*lot, strict=True))
             lot.clear()
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "sig", "prefix"])
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            names = ["doc_id", "n", "sig", "sketch", "prefix"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for doc_id, text in _texts(batches):
             found = shingles(text)
             n = len(found)
             if not n:
-                lot.append((doc_id, 0, None, None))
+                lot.append((doc_id, 0, None, None, None))
             else:
-                sig = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                sig, parities = hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sketch(found)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     is_hot = known[at] == found
                     places = np.argsort(rank[at[is_hot]], kind="stable")
                     found = np.concatenate([found[~is_hot], found[is_hot][places]])
-                lot.append((doc_id, n, sig, found[: prefix_length(n)].tobytes()))
+                lot.append((doc_id, n, sig, parities, found[: prefix_length(n)].tobytes()))
             if len(lot) >= 1000:
                 yield emit()
         if lot:
             yield emit()
 
-    return rows.mapInArrow(run, "doc_id long, n long, sig binary, prefix binary")
+    return rows.mapInArrow(run, "doc_id long, n long, sig binary, sketch binary, prefix binary")
 
 
 def _entries(rows: DataFrame, buckets: int) -> DataFrame:
     """bucket, entries: the prefixes of rows (cid, n, prefix) as packed index entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit() -> pa.RecordBatch:
-            every = np.concatenate(held)
+            every, bucket = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            bucket = (every["token"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, starts = np.unique(bucket[order], return_index=True)
-            blobs = [p.tobytes() for p in np.split(every[order], starts[1:])]
+            blobs = [_packed(p) for p in np.split(every[order], starts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
         size = 0
@@ -176,8 +210,8 @@ def _entries(rows: DataFrame, buckets: int) -> DataFrame:
             for cid, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "prefix")), strict=True):
                 tokens = np.frombuffer(prefix, "<u8")
                 own = np.empty(len(tokens), _ENTRY)
-                own["token"], own["cid"], own["pos"], own["n"] = tokens, cid, np.arange(len(tokens)), n
-                held.append(own)
+                own["token"], own["cid"], own["rest"], own["n"] = tokens >> np.uint64(32), cid, n - np.arange(len(tokens)), n
+                held.append((own, (tokens % np.uint64(buckets)).astype(np.int64)))
                 size += len(own)
                 if size > 2_000_000:
                     yield emit()
@@ -191,23 +225,24 @@ def _entries(rows: DataFrame, buckets: int) -> DataFrame:
 def _reach(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether entries i and j (n[i] <= n[j]) of one list can be a linked pair's first common n-gram."""
     n, m = e["n"][i].astype(np.int64), e["n"][j].astype(np.int64)
-    rest = np.minimum(n - e["pos"][i], m - e["pos"][j])
+    rest = np.minimum(e["rest"][i], e["rest"][j])
     return (4 * n >= 3 * m) & (rest >= needed(n, m)) & (e["cid"][i] != e["cid"][j])
 
 
-_FOUND = "kind int, a long, b long, token long, pos long, n long"
+_FOUND = "kind int, a long, b long, token long, rest long, n long"
 
 
 def _found(kind: int, **columns: np.ndarray) -> pa.Table:
     size = len(next(iter(columns.values())))
     none = pa.nulls(size, pa.int64())
     values = {k: pa.array(v.astype(np.int64)) for k, v in columns.items()}
-    return pa.table({"kind": pa.array(np.full(size, kind, np.int32)), **{k: values.get(k, none) for k in ("a", "b", "token", "pos", "n")}})
+    return pa.table({"kind": pa.array(np.full(size, kind, np.int32)), **{k: values.get(k, none) for k in ("a", "b", "token", "rest", "n")}})
 
 
 def _pairs_of_bucket(table: pa.Table) -> pa.Table:
     """Pairs of a bucket's lists (kind 0), and the entries of its long lists (kind 1)."""
-    e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table.column("entries")])
+    e = np.concatenate([_unpacked(b.as_py()) for b in table.column("entries")])
+    bucket = np.int64(table.column("bucket")[0].as_py())
     e = e[np.lexsort((e["cid"], e["n"], e["token"]))]
     same = np.ones(len(e), bool)
     same[1:] = (e["token"][1:] != e["token"][:-1]) | (e["cid"][1:] != e["cid"][:-1])
@@ -222,7 +257,7 @@ def _pairs_of_bucket(table: pa.Table) -> pa.Table:
         a, b = e["cid"][i], e["cid"][i + gap]
         out.append(_found(0, a=np.minimum(a, b), b=np.maximum(a, b)))
     far = e[length > SHORT]
-    out.append(_found(1, a=far["cid"], token=far["token"].view(np.int64), pos=far["pos"], n=far["n"]))
+    out.append(_found(1, a=far["cid"], token=bucket << 32 | far["token"].astype(np.int64), rest=far["rest"], n=far["n"]))
     return pa.concat_tables(out)
 
 
@@ -272,22 +307,31 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+@F.arrow_udf(T.LongType())
+def _most_common(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
+    return pa.array([most_common(*x) for x in zip(a.to_pylist(), n.to_pylist(), b.to_pylist(), m.to_pylist(), strict=True)], pa.int64())
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, common of pairs (a, b)."""
+    """a, b, their sizes a_n and b_n, and bounds low and high of their overlap. For pairs whose sketches leave a link
+    possible both are the overlap itself; the others' sets are not looked at."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    bounded = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    bounded = bounded.select("a", "b", "a_n", "b_n", _most_common("a_sketch", "a_n", "b_sketch", "b_n").alias("high"))
+    bounded = kept(bounded, "sketched")
+    possible = F.col("high") * 7 >= (F.col("a_n") + F.col("b_n")) * 3
+    out = bounded.filter(~possible).withColumn("low", F.lit(0).cast("long"))
+    pairs = bounded.filter(possible)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = kept(_sets(documents, classes, wanted), "sets")
     side = lambda c: sets.select(F.col("cid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return kept(both.select("a", "b", _overlap("a_tokens", "b_tokens").alias("common")), "overlaps")
-
-
-def _with_sizes(overlaps: DataFrame, classes: DataFrame) -> DataFrame:
-    size = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"))
-    return overlaps.join(size("a"), "a").join(size("b"), "b")
+    both = pairs.drop("high").join(side("a"), "a").join(side("b"), "b")
+    exact = both.select("a", "b", "a_n", "b_n", _overlap("a_tokens", "b_tokens").alias("high"))
+    return kept(out.unionByName(exact.withColumn("low", F.col("high"))), "overlaps")
 
 
-def _linked() -> F.Column:
-    return F.col("common") * 7 >= (F.col("a_n") + F.col("b_n")) * 3
+def _linked() -> Column:
+    return F.col("low") * 7 >= (F.col("a_n") + F.col("b_n")) * 3
 
 
 def _marked(df: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
@@ -300,11 +344,11 @@ def _marked(df: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
 
 def _crossing(found: DataFrame, label: DataFrame) -> DataFrame:
     """a, b: pairs of the long lists within reach whose ends lie in different components."""
-    far = kept(_marked(found.filter("kind = 1").select("token", "a", "pos", "n"), label, "a"), "far")
+    far = kept(_marked(found.filter("kind = 1").select("token", "a", "rest", "n"), label, "a"), "far")
     several = far.groupBy("token").agg(F.min("a_label").alias("low"), F.max("a_label").alias("high")).filter("low < high")
     far = far.join(several.select("token"), "token", "left_semi")
-    left, right = (far.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("a", "a_label", "pos", "n")]) for s in "lr")
-    rest = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
+    left, right = (far.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("a", "a_label", "rest", "n")]) for s in "lr")
+    rest = F.least("lrest", "rrest")
     return left.join(right, "token").filter(
         (F.col("la") < F.col("ra")) & (F.col("la_label") != F.col("ra_label"))
         & (F.col("ln") * 4 >= F.col("rn") * 3) & (F.col("rn") * 4 >= F.col("ln") * 3)
@@ -316,27 +360,28 @@ def _settled(open_: DataFrame, first: DataFrame, documents: DataFrame, classes:
     """The links among the pairs open_, by their partners' answers where those suffice."""
     # A class's verified partner answers for it, up to the n-grams in which the two differ.
     near = first.filter("linked").select(
-        F.col("b").alias("own"), F.col("a").alias("lead"), (F.col("b_n") - F.col("common")).alias("more"), (F.col("a_n") - F.col("common")).alias("less")
+        F.col("b").alias("own"), F.col("a").alias("lead"), (F.col("b_n") - F.col("low")).alias("more"), (F.col("a_n") - F.col("low")).alias("less")
     )
     for c in ("a", "b"):
         own = near.select(*[F.col(x).alias(c if x == "own" else f"{c}_{x}") for x in near.columns])
         open_ = open_.join(own, c, "left").withColumns({
             f"{c}_lead": F.coalesce(f"{c}_lead", c), f"{c}_more": F.coalesce(f"{c}_more", F.lit(0)), f"{c}_less": F.coalesce(f"{c}_less", F.lit(0)),
         })
-    lifted = kept(_with_sizes(open_, classes), "lifted")
+    size = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"))
+    lifted = kept(open_.join(size("a"), "a").join(size("b"), "b"), "lifted")
     ends = [F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b")]
     leaders = kept(lifted.select(*ends).distinct(), "leaders")
-    answers = _verified(leaders, documents, classes).select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
+    answers = _verified(leaders, documents, classes).select(F.col("a").alias("x"), F.col("b").alias("y"), "low", "high")
     bounded = lifted.withColumns({"x": ends[0], "y": ends[1]}).join(answers, ["x", "y"]).withColumns({
-        "low": F.col("common") - F.col("a_less") - F.col("b_less"),
-        "high": F.col("common") + F.col("a_more") + F.col("b_more"),
+        "low": F.col("low") - F.col("a_less") - F.col("b_less"),
+        "high": F.col("high") + F.col("a_more") + F.col("b_more"),
     })
     need = (F.col("a_n") + F.col("b_n")) * 3
     decided = kept(bounded.withColumn("answer", F.when(F.col("low") * 7 >= need, 1).when(F.col("high") * 7 < need, 0)), "bounded")
     links = decided.filter("answer = 1").select("a", "b")
     undecided = kept(decided.filter("answer is null").select("a", "b"), "undecided")
     if not undecided.isEmpty():
-        checked = _with_sizes(_verified(undecided, documents, classes), classes)
+        checked = _verified(undecided, documents, classes)
         links = links.unionByName(checked.filter(_linked()).select("a", "b"))
     return links
 
@@ -346,7 +391,7 @@ def class_links(documents: DataFrame, classes: DataFrame, found: DataFrame) -> D
     pairs = kept(found.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     # Each class with its best partner of smaller number.
     best = kept(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    first = kept(_with_sizes(_verified(best, documents, classes), classes).withColumn("linked", _linked()), "first")
+    first = _verified(best, documents, classes).withColumn("linked", _linked())
     links = first.filter("linked").select("a", "b")
     label = components(links)
     # The other pairs of short lists and of neighbours, then those of the long lists: each time only
@@ -366,7 +411,9 @@ def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; class_size counts the rows with an equal set."""
     rows = chosen(documents, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     signed = kept(signatures(rows, hot_shingles(rows)), "signed")
-    grouped = signed.filter("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
+    grouped = signed.filter("n > 0").groupBy("n", "sig").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("sketch").alias("sketch")
+    )
     classes = kept(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     total = signed.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     same = signed.doc_id.eqNullSafe(classes.rep) & (signed.sig == classes.sig)
