@@ -181,7 +181,7 @@ class Net:
             h, states, _, _ = self._forward(h[: target.shape[1]], inputs, keep)
             valid = target >= 0
             log_p, _ = self._output(states[valid], target[valid])
-            np.add.at(out, owner[valid], log_p)
+            out += np.bincount(owner[valid], log_p, len(documents))
         return out
 
     def _gradient(self, h, target, inputs, keep):

@@ -268,5 +268,6 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
         })
 
     left = blocks.withColumn("held_out", held_out).groupBy("block")
-    right = own.select("block", "word").distinct().join(counts, "word").groupBy("block")
+    # A word that a task has emitted twice for a block is looked up alike.
+    right = own.select("block", "word").join(counts, "word").groupBy("block")
     return left.cogroup(right).applyInArrow(run, SCHEMA)
