@@ -9,8 +9,8 @@ from hostlens.operators.alerts import with_alert_id
 from hostlens.operators.keys import numbered
 from hostlens.schemas import ALERT_COLUMNS, ALERT_KEY
 
-# Subject line and event name of the messages.
-SUBJECT = "Process monitor alert: "
+# Begin of a mail's subject, unless the caller gives another; event name of the messages (a fixed value).
+SUBJECT = "Alert: "
 EVENT = "alert.triggered"
 
 DELIVERY_ORDER = ["triggered_at", "rule_id", "host", "pid", "create_time"]

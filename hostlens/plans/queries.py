@@ -183,7 +183,7 @@ def envelope_ingest(spark, folder):
     """Written envelopes read back: old names resolved, torn lines turned away."""
     path = work_folder(spark, "envelopes")
     _legacy_lines(spark, folder).select("value").write.text(path)
-    return envelope_samples(read_envelopes(spark, path)).drop("batch_id")
+    return envelope_samples(read_envelopes(spark, path, replay=True)).drop("batch_id")
 
 
 def _spooled(spark, folder, keep: int) -> DataFrame:

@@ -59,11 +59,12 @@ def replay(
     run = Replay(spark, work_folder(spark, "replay"))
     raw = feed.feed(spark, folder)
     width = (feed.SPAN + 125) / slices
-    number = F.floor((F.col("received_at") - feed.BASE) / F.lit(width))
+    # The first and the last slice are open: rows outside the span are replayed too.
+    number = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor((F.col("received_at") - feed.BASE) / F.lit(width))))
     for index in range(slices):
         lines = envelopes(raw.filter(number == index)).select("value")
         lines.write.text(f"{run.root}/incoming/slice={index}")
-        stream_ingest(spark, f"{run.root}/incoming", run.table, f"{run.root}/checkpoint-ingest", max_files=10_000).awaitTermination()
+        stream_ingest(spark, f"{run.root}/incoming", run.table, f"{run.root}/checkpoint-ingest", max_files=10_000, replay=True).awaitTermination()
         if follow is not None:
             follow(stream_table(spark, f"{run.table}/samples"), run).awaitTermination()
     return run

@@ -13,7 +13,8 @@ from hostlens.operators.validate import SAMPLE_FIELDS, clean_fields, field_error
 SAMPLE_ALIASES = {"process_name": "name", "username": "user"}
 HOST_ALIAS = "hostname"
 BODY_NAMES = ["samples", "processes", "metrics"]
-# Fields of our own for replays: receipt time and arrival number of a sample.
+# Fields of our own for replays: receipt time and arrival number of a sample. They count only where the reader asks
+# for a replay; an agent's payload cannot set the server's clock or order.
 REPLAY_FIELDS = {"received_at": "double", "seq": "bigint"}
 
 _TEXT_FIELDS = [*SAMPLE_FIELDS, *SAMPLE_ALIASES.values(), *REPLAY_FIELDS]
@@ -39,7 +40,7 @@ def _texts(item: Column) -> Column:
     return F.struct(F.from_json(item, _TEXT_SCHEMA).alias("texts"), keys.alias("keys"))
 
 
-def _typed(item: Column) -> Column:
+def _typed(item: Column, replay: bool) -> Column:
     texts, keys = item["texts"], item["keys"]
 
     def absent(name: str) -> Column:
@@ -50,38 +51,40 @@ def _typed(item: Column) -> Column:
             return F.when(absent(name), texts[SAMPLE_ALIASES[name]]).otherwise(texts[name])
         return texts[name]
 
-    replay = [texts[n].try_cast(kind).alias(n) for n, kind in REPLAY_FIELDS.items()]
-    return F.struct(*[c.alias(n) for n, c in clean_fields(raw, absent).items()], *replay)
+    given = [(texts[n] if replay else F.lit(None)).try_cast(kind).alias(n) for n, kind in REPLAY_FIELDS.items()]
+    return F.struct(*[c.alias(n) for n, c in clean_fields(raw, absent).items()], *given)
 
 
 def _checked(item: Column) -> Column:
     return F.struct(item.alias("sample"), field_errors(lambda name: item[name]).alias("errors"))
 
 
-def parse_envelopes(lines: DataFrame, max_samples: int = 500) -> DataFrame:
+def parse_envelopes(lines: DataFrame, max_samples: int = 500, replay: bool = False) -> DataFrame:
     """One row per envelope with its parsed samples and, if it is turned away, the ``reason``.
 
     A batch is judged inside its own row, so admission needs no shuffle. ``batch_id`` is
-    the digest of the text: a retried payload is the same batch.
+    the digest of the text: a retried payload is the same batch. ``line`` grows with the envelope's
+    place in its file.
     """
+    lines = lines.withColumn("line", F.monotonically_increasing_id())
     # Each step reads the one before once, so a sample is parsed and typed a single time.
     no_items = F.array().cast("array<string>")
     rows = resolve_aliases(lines).select(
-        "value", stripped(F.col("host")).alias("host"), F.coalesce(F.from_json("body", "array<string>"), no_items).alias("items")
+        "line", "value", stripped(F.col("host")).alias("host"), F.coalesce(F.from_json("body", "array<string>"), no_items).alias("items")
     )
     rows = rows.withColumn("samples", F.transform("items", _texts))
-    rows = rows.withColumn("samples", F.transform("samples", _typed))
+    rows = rows.withColumn("samples", F.transform("samples", lambda item: _typed(item, replay)))
     rows = rows.withColumn("samples", F.transform("samples", _checked)).withColumn("batch_id", F.sha2("value", 256))
     all_valid = F.forall("samples", lambda s: F.size(s["errors"]) == 0) & valid_host(F.col("host"))
     reason = batch_verdict(F.size("samples"), all_valid, max_samples)
-    return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value")
+    return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value", "line")
 
 
 def envelope_samples(envelopes: DataFrame) -> DataFrame:
     """One row per sample of the admitted envelopes, with its batch and arrival order."""
     now = F.unix_micros(F.current_timestamp()) / F.lit(1e6)
     rows = envelopes.filter(F.col("reason").isNull()).select(
-        "batch_id", "host", F.posexplode("samples.sample").alias("position", "sample")
+        "batch_id", "host", "line", F.posexplode("samples.sample").alias("position", "sample")
     )
     return rows.select(
         "batch_id",
@@ -89,17 +92,18 @@ def envelope_samples(envelopes: DataFrame) -> DataFrame:
         *[F.col(f"sample.{n}").alias(n) for n in SAMPLE_FIELDS if n != "state"],
         F.coalesce(F.nullif(F.col("sample.state"), F.lit("")), F.lit("running")).alias("state"),
         F.coalesce("sample.received_at", now).alias("received_at"),
-        F.coalesce("sample.seq", F.col("position").cast("long")).alias("seq"),
+        # Envelopes after one another, samples in their order: a batch has at most 10,000.
+        F.coalesce("sample.seq", F.col("line") * 16384 + F.col("position")).alias("seq"),
     )
 
 
-def read_envelopes(spark: SparkSession, path: str, max_samples: int = 500) -> DataFrame:
-    return parse_envelopes(spark.read.text(path), max_samples)
+def read_envelopes(spark: SparkSession, path: str, max_samples: int = 500, replay: bool = False) -> DataFrame:
+    return parse_envelopes(spark.read.text(path), max_samples, replay)
 
 
-def stream_envelopes(spark: SparkSession, path: str, max_files: int = 1, max_samples: int = 500) -> DataFrame:
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path)
-    return parse_envelopes(lines, max_samples)
+def stream_lines(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Envelope lines as a stream; they are parsed trigger by trigger, where a line's place is known."""
+    return spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path)
 
 
 def to_envelopes(samples: DataFrame, group: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from hostlens.operators.ingest import accept_samples, ingest_receipts, write_sam
 from hostlens.operators.keys import first_per_key, instance_key
 from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, SAMPLE
-from hostlens.sources.envelopes import envelope_samples, stream_envelopes
+from hostlens.sources.envelopes import envelope_samples, parse_envelopes, stream_lines
 from hostlens.streaming.alerting import STATE_OUTPUT, AlertProcessor
 
 # Rules are shipped to every task with the processor.
@@ -38,11 +38,11 @@ def stream_table(spark: SparkSession, folder: str, max_files: int | None = None)
     return reader.parquet(folder)
 
 
-def _ingest_batch(table: str):
-    def ingest(envelopes: DataFrame, number: int) -> None:
-        spark = envelopes.sparkSession
+def _ingest_batch(table: str, max_samples: int, replay: bool):
+    def ingest(lines: DataFrame, number: int) -> None:
+        spark = lines.sparkSession
         folder = f"{table}/samples"
-        envelopes = envelopes.persist()
+        envelopes = parse_envelopes(lines, max_samples, replay).persist()
         try:
             new = envelope_samples(envelopes)
             stored = None
@@ -60,12 +60,12 @@ def _ingest_batch(table: str):
 
 
 def stream_ingest(
-    spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1, max_samples: int = 500
+    spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1, max_samples: int = 500, replay: bool = False
 ) -> StreamingQuery:
     """Reads all envelope files present under ``source`` into ``table`` and stops."""
     return (
-        stream_envelopes(spark, source, max_files, max_samples)
-        .writeStream.foreachBatch(_ingest_batch(table))
+        stream_lines(spark, source, max_files)
+        .writeStream.foreachBatch(_ingest_batch(table, max_samples, replay))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -155,3 +155,15 @@ def test_upgrade_keeps_the_lowest_arrival(spark):
     assert [(r.seq, r.username, r.user, r.state, r.received_at) for r in rows] == [
         (1, "operator", "operator", "running", CREATED + 10)
     ]
+
+
+def test_payload_cannot_set_clock_or_order(spark, tmp_path):
+    def line(name, **extra):
+        return json.dumps({"host": "h", "samples": [{"pid": 1, "create_time": CREATED, "timestamp": CREATED + 9, "process_name": name, "cpu_percent": 1.0, "memory_percent": 1.0, "memory_rss": 1, "read_bytes": 1, "write_bytes": 1, **extra}] * 2})
+
+    (tmp_path / "a.jsonl").write_text("\n".join([line("first", received_at="NaN", seq=10**12), line("second", received_at=5.0, seq=-4)]))
+    rows = en.envelope_samples(en.read_envelopes(spark, str(tmp_path))).orderBy("seq").collect()
+    assert [r.process_name for r in rows] == ["first", "first", "second", "second"]
+    assert len({r.seq for r in rows}) == 4 and all(r.received_at > 1.7e9 and r.received_at < 1e11 for r in rows)
+    again = en.envelope_samples(en.read_envelopes(spark, str(tmp_path), replay=True)).collect()
+    assert {r.seq for r in again} == {10**12, -4}

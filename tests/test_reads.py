@@ -130,7 +130,7 @@ def test_delivery_order(spark):
     alerts = alerts.unionByName(alert_at(spark, CREATED + 200, action="email")).unionByName(alert_at(spark, CREATED + 1, rule_id="q", action="webhook"))
     rows = ob.notification_outbox(alerts, email_configured=False).orderBy("delivery_seq").collect()
     assert [(r.delivery_seq, r.rule_id, r.delivery, r.subject) for r in rows] == [
-        (1, "q", "ready", None), (2, "r1", "ready", None), (3, "r1", "not_configured", "Process monitor alert: High CPU")
+        (1, "q", "ready", None), (2, "r1", "ready", None), (3, "r1", "not_configured", "Alert: High CPU")
     ]
     assert rows[0].body.startswith('{"event":"alert.triggered","alert":{"alert_id":"q|h1|101|')
 
