@@ -14,10 +14,11 @@ Two sets link when 100 * |a and b| >= 75 * |a or b|. An n-gram stands for its 64
    lies in one component then needs no further answer. Of the other pairs, those put aside included, only the
    pairs of partners are computed, those first whose parity sketches leave a link possible; a pair's own overlap lies within the partners' overlap plus and minus the
    known differences, and only where these bounds leave it open the pair itself is verified.
+   Before the entries put aside are paired, those of other components are verified against their list's lead.
 5. Components of all links give each document its group.
 
-Step 3's second part replaces all pairs of a large group of near copies by a chain; no link between components is lost,
-because every pair of a long list whose ends lie in different components is looked at in step 4.
+Steps 3 and 4 replace all pairs of a large group of near copies by a chain and by stars; no link between components is
+lost, because every pair of a long list whose ends still lie in different components is looked at in step 4.
 
 Defined cases: a null, empty or blank text has no set, links with nothing and is its own component; texts of fewer
 than five words are one n-gram; repeated rows each get their row; a null id counts as larger than all others and a
@@ -342,17 +343,38 @@ def _marked(df: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def _crossing(found: DataFrame, label: DataFrame) -> DataFrame:
+def _several(far: DataFrame) -> DataFrame:
+    """The entries of those long lists whose classes lie in more than one component."""
+    lists = far.groupBy("token").agg(F.min("a_label").alias("low"), F.max("a_label").alias("high")).filter("low < high")
+    return kept(far.join(lists.select("token"), "token", "left_semi"), "several")
+
+
+def _within_reach(n: str, m: str, rest: Column) -> Column:
+    """Whether two entries of one list, with sizes n and m, can be a linked pair's first common n-gram."""
+    n, m = F.col(n), F.col(m)
+    return (n * 4 >= m * 3) & (m * 4 >= n * 3) & (rest * 7 >= (n + m) * 3)
+
+
+def _to_leads(far: DataFrame) -> DataFrame:
+    """a, b: a lead of each long list with the list's entries of other components.
+
+    The lead is of the component that has most entries in the list, and of those the one whose position leaves most.
+    """
+    parts = far.groupBy("token", "a_label").agg(
+        F.count("*").alias("many"), F.max_by(F.struct("a", "rest", "n"), F.struct("rest", -F.col("a"))).alias("lead")
+    )
+    leads = parts.groupBy("token").agg(F.max_by(F.struct("lead.*", "a_label"), F.struct("many", -F.col("a_label"))).alias("lead"))
+    leads = leads.select("token", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("a", "a_label", "rest", "n")])
+    return far.join(leads, "token").filter(
+        (F.col("a_label") != F.col("lead_a_label")) & _within_reach("n", "lead_n", F.least("rest", "lead_rest"))
+    ).select(F.least("a", "lead_a").alias("a"), F.greatest("a", "lead_a").alias("b")).distinct()
+
+
+def _crossing(far: DataFrame) -> DataFrame:
     """a, b: pairs of the long lists within reach whose ends lie in different components."""
-    far = kept(_marked(found.filter("kind = 1").select("token", "a", "rest", "n"), label, "a"), "far")
-    several = far.groupBy("token").agg(F.min("a_label").alias("low"), F.max("a_label").alias("high")).filter("low < high")
-    far = far.join(several.select("token"), "token", "left_semi")
     left, right = (far.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("a", "a_label", "rest", "n")]) for s in "lr")
-    rest = F.least("lrest", "rrest")
     return left.join(right, "token").filter(
-        (F.col("la") < F.col("ra")) & (F.col("la_label") != F.col("ra_label"))
-        & (F.col("ln") * 4 >= F.col("rn") * 3) & (F.col("rn") * 4 >= F.col("ln") * 3)
-        & (rest * 7 >= (F.col("ln") + F.col("rn")) * 3)
+        (F.col("la") < F.col("ra")) & (F.col("la_label") != F.col("ra_label")) & _within_reach("ln", "rn", F.least("lrest", "rrest"))
     ).select(F.col("la").alias("a"), F.col("ra").alias("b")).distinct()
 
 
@@ -401,7 +423,18 @@ def class_links(documents: DataFrame, classes: DataFrame, found: DataFrame) -> D
     if not open_.isEmpty():
         links = kept(links.unionByName(_settled(open_, first, documents, classes)), "links")
         label = components(links)
-    open_ = kept(_crossing(found, label).join(pairs, ["a", "b"], "left_anti"), "open")
+    far = _several(kept(_marked(found.filter("kind = 1").select("token", "a", "rest", "n"), label, "a"), "far"))
+    # Entries meet their list's lead before they meet each other, as long as that joins at least half of those tried:
+    # a large group of near copies then is one component, and nothing inside it is left to pair.
+    joining = not far.isEmpty()
+    while joining:
+        tried = _verified(_to_leads(far), documents, classes).withColumn("linked", _linked())
+        met, joined = tried.agg(F.count("*"), F.count_if("linked")).first()
+        if joined:
+            links = kept(links.unionByName(tried.filter("linked").select("a", "b")), "links")
+            far = _several(_marked(far.drop("a_label"), components(links), "a"))
+        joining = joined > 0 and 2 * joined >= met and not far.isEmpty()
+    open_ = kept(_crossing(far).join(pairs, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         links = links.unionByName(_settled(open_, first, documents, classes))
     return links

@@ -156,6 +156,22 @@ def test_jaccard(spark, odd, none):
     assert jaccard.groups(none).count() == 0 and jaccard.one_of_each(odd).columns == odd.columns
 
 
+def test_jaccard_large_group(spark, monkeypatch):
+    """One base with few to many words replaced: some links, a large component, and many texts that fall short."""
+    r, texts = random.Random(4), []
+    base = [f"w{i}" for i in range(70)]
+    for _ in range(400):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            own[r.randrange(len(own))] = f"e{r.randint(0, 10**6)}"
+        texts.append((len(texts), " ".join(own)))
+    tried, crossing = [], jaccard._crossing
+    monkeypatch.setattr(jaccard, "_crossing", lambda far: tried.append(out := crossing(far)) or out)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, jaccard.groups(docs).drop("class_size").collect())) == _groups(texts)
+    assert tried[0].count() < 10 * len(texts)
+
+
 def test_sketch_bounds_overlap():
     r = np.random.default_rng(1)
     for n, m in ((5, 9), (100, 130), (700, 64)):
