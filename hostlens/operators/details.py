@@ -37,12 +37,21 @@ class ProcessDetail(NamedTuple):
 
 
 def overview(
-    samples: DataFrame, alerts: DataFrame, now: float, params: Params = Params(), window: int | None = None
+    samples: DataFrame,
+    alerts: DataFrame,
+    now: float,
+    params: Params = Params(),
+    window: int | None = None,
+    registry: DataFrame | None = None,
 ) -> Overview:
-    """KPIs, host summaries and host activity; load looks back at least to the offline limit."""
+    """KPIs, host summaries and host activity; load looks back at least to the offline limit.
+
+    ``registry`` is the kept host table: with it, hosts whose samples have all been pruned still
+    appear and no read of all samples is needed. Without it the hosts of ``samples`` count.
+    """
     lookback = clamp_window(window, params.window)
     reach = int(max(params.offline_after, lookback))
-    registry = host_registry(samples)
+    registry = host_registry(samples) if registry is None else registry
     return Overview(
         kpi_summary(samples, registry, alerts, now, params, lookback),
         host_summary(registry, latest_samples(samples, now, reach), alerts, now, params),
@@ -57,14 +66,19 @@ def host_detail(
     now: float,
     params: Params = Params(),
     window: int | None = None,
+    registry: DataFrame | None = None,
 ) -> HostDetail:
-    """One host: summary, top processes, newest alerts and its series; empty for an unknown host."""
+    """One host: summary, top processes, newest alerts and its series; empty for an unknown host.
+
+    ``registry`` is the kept host table, as in ``overview``.
+    """
     lookback = clamp_window(window, max(params.window, int(params.offline_after)))
     own = samples.filter(F.col("host") == host)
     warned = alerts.filter(F.col("host") == host)
     latest = latest_samples(own, now, lookback)
+    known = host_registry(own) if registry is None else registry.filter(F.col("host") == host)
     return HostDetail(
-        host_summary(host_registry(own), latest, warned, now, params),
+        host_summary(known, latest, warned, now, params),
         top_processes(latest, "cpu_percent"),
         top_processes(latest, "memory_percent"),
         recent_alerts(warned),

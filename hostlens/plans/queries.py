@@ -89,7 +89,7 @@ def ingest_receipts(spark, folder):
 
 
 def _dirty(spark, folder) -> DataFrame:
-    raw = fd.feed(spark, folder).filter(F.col("seq") < 1_000_000_000)
+    raw = fd.feed(spark, folder).filter(F.col("seq") >= 0)
     return raw.withColumns(
         {
             "pid": F.when(F.col("seq") % 97 == 0, -1).otherwise(F.col("pid")),

@@ -71,7 +71,7 @@ def raw_samples(events: DataFrame, squeezed: bool = True) -> DataFrame:
     is_copy = F.col("__copy") == 1
     return (
         first.withColumn("__copy", F.explode(copies))
-        .withColumn("seq", F.col("seq") + F.when(is_copy, 1_000_000_000).otherwise(0))
+        .withColumn("seq", F.when(is_copy, -1 - F.col("seq")).otherwise(F.col("seq")))
         .withColumn("received_at", F.col("received_at") + F.when(is_copy, 5.0).otherwise(0.0))
         .withColumn(
             "cpu_percent",

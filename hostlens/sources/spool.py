@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from hostlens.operators.keys import first_per_key
 from hostlens.params import Params
 
+#: Column that names the folders of compacted spools.
+ID_FOLDER = "spool_id"
+
 
 def read_spool(spark: SparkSession, path: str, last_n: int = Params.spool_batches) -> DataFrame:
     """The newest ``last_n`` readable envelopes of each spool file; ``newest`` counts from the end.
 
     Lines keep their order by file block and by position inside the block, so a spool
-    may be read in pieces.
+    may be read in pieces. ``spool`` is a short id: that of its folder for a compacted spool, so
+    it stays the same however often a spool is compacted, else one made from the file's path.
     """
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, f"/{ID_FOLDER}=([0-9a-f]{{32}})/[^/]*$", 1)
     lines = spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("spool"),
+        F.coalesce(F.nullif(folder, F.lit("")), F.left(F.sha2(file, 256), F.lit(32))).alias("spool"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"),
     )
@@ -40,9 +46,9 @@ def compact_spool(spool: DataFrame, path: str) -> None:
     (
         spool.repartition("spool")
         .sortWithinPartitions("spool", F.desc("newest"))
-        .select("spool", "value")
+        .select(F.col("spool").alias(ID_FOLDER), "value")
         .write.mode("overwrite")
-        .partitionBy("spool")
+        .partitionBy(ID_FOLDER)
         .text(path)
     )
 

@@ -1,11 +1,14 @@
 """Continuous ingest and the streams that read the accepted samples.
 
-Envelopes are admitted, de-duplicated against the table and written by batch number, so
-a repeated batch replaces itself. Everything else streams from that table.
+Envelopes are admitted, de-duplicated against the table and written once by batch number: a
+repeated batch leaves what is complete as it is, so streams that follow the table see no row
+twice. Everything else streams from that table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,6 +41,18 @@ def stream_table(spark: SparkSession, folder: str, max_files: int | None = None)
     return reader.parquet(folder)
 
 
+def _write_once(rows: DataFrame, folder: str, write: Callable[[DataFrame, str, str], None]) -> None:
+    """Writes rows to folder unless a write there was completed before; an unfinished one is replaced."""
+    spark = rows.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        write(rows, folder, "overwrite")
+
+
+def _as_parquet(rows: DataFrame, folder: str, mode: str) -> None:
+    rows.write.mode(mode).parquet(folder)
+
+
 def _ingest_batch(table: str, max_samples: int, replay: bool):
     def ingest(lines: DataFrame, number: int) -> None:
         spark = lines.sparkSession
@@ -48,11 +63,11 @@ def _ingest_batch(table: str, max_samples: int, replay: bool):
             stored = None
             if number > 0:
                 stored = read_table(spark, folder).filter(F.col("ingest_batch") < number)
-            write_samples(accept_samples(new, stored), f"{folder}/ingest_batch={number}", "overwrite")
+            _write_once(accept_samples(new, stored), f"{folder}/ingest_batch={number}", write_samples)
             accepted = read_table(spark, folder).filter(F.col("ingest_batch") == number)
-            ingest_receipts(new, accepted).write.mode("overwrite").parquet(f"{table}/receipts/ingest_batch={number}")
+            _write_once(ingest_receipts(new, accepted), f"{table}/receipts/ingest_batch={number}", _as_parquet)
             rejected = envelopes.filter(F.col("reason").isNotNull()).select("batch_id", "host", "reason", "value")
-            rejected.write.mode("overwrite").parquet(f"{table}/rejected/ingest_batch={number}")
+            _write_once(rejected, f"{table}/rejected/ingest_batch={number}", _as_parquet)
         finally:
             envelopes.unpersist()
 

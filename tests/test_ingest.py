@@ -120,7 +120,33 @@ def test_spool_keeps_the_newest_readable_lines(spark, tmp_path):
     new = spark.createDataFrame([(0, line(9))], "position int, value string")
     assert [r.value for r in sp.replay_order(kept, new).collect()] == [line(3), line(4), line(9)]
     sp.compact_spool(kept.filter("false"), str(tmp_path / "out"))
-    assert list((tmp_path / "out").glob("spool=*")) == []
+    assert list((tmp_path / "out").glob("spool_id=*")) == []
+
+
+def test_spools_keep_their_id_over_many_compactions(spark, tmp_path):
+    (tmp_path / "a 100%+b").mkdir()
+    for name in ("one", "two"):
+        lines = [json.dumps({"host": name, "samples": [{"n": n}]}) for n in range(4)]
+        (tmp_path / "a 100%+b" / f"{name} =.jsonl").write_text("\n".join(lines) + "\n")
+    kept = sp.read_spool(spark, str(tmp_path / "a 100%+b"))
+    first = {tuple(r) for r in kept.collect()}
+    assert len({r[0] for r in first}) == 2 and len(first) == 8
+    for turn in range(20):
+        path = str(tmp_path / f"turn{turn}")
+        sp.compact_spool(kept, path)
+        kept = sp.read_spool(spark, path)
+    assert {tuple(r) for r in kept.collect()} == first
+
+
+def test_event_ids_beyond_a_billion_stay_apart_from_copies(spark):
+    from hostlens.sources import feed as fd
+
+    at = "timestamp_micros(1704067200000000 + id * 1000000)"
+    columns = ["id + 1000000000 * (id % 3) AS event_id", f"{at} AS ts", "id AS user_id", "'view' AS event_type", "1D AS value", """'{"k": 1}' AS props"""]
+    events = spark.range(400).selectExpr(*columns).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = fd.raw_samples(events)
+    assert rows.filter("seq >= 0").count() == 400
+    assert rows.count() > 400 and rows.select("seq").distinct().count() == rows.count()
 
 
 def test_chunks_follow_pid_order(spark):

@@ -42,3 +42,20 @@ def test_deleted_rules_lose_their_state_and_disabled_rules_keep_it(spark, tmp_pa
         st.start_changes(stream, changes, checkpoint).awaitTermination()
     fired = {r.rule_id: r.triggered_at for r in spark.read.parquet(changes).collect()}
     assert fired == {"kept": CREATED + 2}
+
+
+def test_a_repeated_batch_leaves_the_table_as_it_is(spark, tmp_path):
+    from helpers import CREATED, sample
+    from hostlens.sources.envelopes import to_envelopes
+
+    configure(spark, streaming=True)
+    rows = samples(spark, [sample(n, timestamp=CREATED + n) for n in range(3)])
+    lines = to_envelopes(rows.selectExpr("0 AS chunk", "*"), ["chunk"]).select("value")
+    lines.write.text(str(tmp_path / "in"))
+    table, files = str(tmp_path / "table"), lambda: sorted(str(p) for p in (tmp_path / "table").rglob("*.parquet"))
+    for again in ("first", "second"):  # another checkpoint: the same batch number once more
+        st.stream_ingest(spark, str(tmp_path / "in"), table, str(tmp_path / again), replay=True).awaitTermination()
+        known = files() if again == "first" else known
+    assert files() == known and st.read_table(spark, f"{table}/samples").count() == 3
+    hosts = st.stream_hosts(st.read_table(spark, f"{table}/samples")).collect()
+    assert [r.sample_count for r in hosts] == [3]
