@@ -77,7 +77,10 @@ def _ingest_batch(table: str, max_samples: int, replay: bool):
 def stream_ingest(
     spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1, max_samples: int = 500, replay: bool = False
 ) -> StreamingQuery:
-    """Reads all envelope files present under ``source`` into ``table`` and stops."""
+    """Reads all envelope files present under ``source`` into ``table`` and stops.
+
+    Table and checkpoint belong together: a batch number that is complete in the table is not written again.
+    """
     return (
         stream_lines(spark, source, max_files)
         .writeStream.foreachBatch(_ingest_batch(table, max_samples, replay))
