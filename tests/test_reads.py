@@ -193,3 +193,15 @@ def test_sliced_helpers_equal_plain_windows(spark):
     oldest = keys.oldest_per_key(frame.withColumn("timestamp", F.col("t").cast("double")), "k", ["t"], 20, 11.0, "n")
     full = {(r.k, r.t) for r in frame.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("t"))).filter("n <= 20").collect()}
     assert {(r.k, r.t) for r in oldest.collect()} == full
+
+
+def test_overview_keeps_hosts_whose_samples_were_pruned(spark):
+    from hostlens.operators import details
+
+    rows = samples(spark, [sample(0, host="old", received_at=CREATED), sample(1, host="new", received_at=CREATED + 5000)])
+    registry, left = ho.host_registry(rows), rows.filter("host = 'new'")
+    alerts = spark.createDataFrame([], ALERT)
+    hosts = details.overview(left, alerts, CREATED + 5001, registry=registry).hosts
+    assert {r.host for r in hosts.collect()} == {"old", "new"}
+    one = details.host_detail(left, alerts, "old", CREATED + 5001, registry=registry).summary
+    assert [r.host for r in one.collect()] == ["old"]
