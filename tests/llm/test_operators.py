@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hostlens.llm import exact_dedup, html_text, jaccard, language, lm_scores, packing, pieces, quality, token_counts, top_k
+from hostlens.llm import components, exact_dedup, html_text, jaccard, language, lm_scores, packing, pieces, quality, token_counts, top_k
 from hostlens.llm.common import fold
 from hostlens.llm.gated_net import Layout, Net
 from hostlens.llm.oracle import LLM_ORACLE
@@ -172,6 +172,22 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert tried[0].count() < 10 * len(texts)
 
 
+@pytest.mark.parametrize("at_once", [0, 30, 1000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "TASK_EDGES", at_once)
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(60)
+    edges = [*zip(chain[:-1], chain[1:], strict=True), *((100 + i, 99) for i in range(1, 20)), *rng.integers(200, 300, (50, 2)), (7, 7)]
+    edges = [(int(a), int(b)) for a, b in edges]
+    smallest = {x: x for e in edges for x in e}
+    while any(smallest[a] != smallest[b] for a, b in edges):
+        for a, b in edges:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {x: found.get(x, x) for x in smallest} == smallest
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sketch_bounds_overlap():
     r = np.random.default_rng(1)
     for n, m in ((5, 9), (100, 130), (700, 64)):
