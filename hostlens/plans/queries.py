@@ -76,10 +76,10 @@ def dedup_samples(spark, folder):
 
 @query
 def append_samples(spark, folder):
-    """The second half of the feed against a table that holds the first."""
-    raw = fd.feed(spark, folder)
-    stored = ing.dedup_samples(raw.filter(F.col("received_at") < HALF))
-    return ing.accept_samples(raw.filter(F.col("received_at") >= HALF), stored)
+    """The second half of the feed, written to a table that holds the first."""
+    raw, path = fd.feed(spark, folder), work_folder(spark, "append")
+    stored = ing.append_samples(raw.filter(F.col("received_at") < HALF), path, 0)
+    return ing.append_samples(raw.filter(F.col("received_at") >= HALF), path, 1, stored).drop("date")
 
 
 @query
@@ -523,8 +523,8 @@ def get_alert(spark, folder):
     """The newest alert of host-01, looked up by its id."""
     alerts = _alert_table(spark, folder)
     newest = search.list_alerts(alerts, host="host-01", limit=1).rows
-    wanted = al.with_alert_id(newest).select("alert_id")
-    return al.with_alert_id(alerts).join(wanted, "alert_id", "left_semi").drop("alert_id")
+    wanted = al.with_alert_id(newest).first()
+    return al.get_alert(alerts, wanted["alert_id"] if wanted else "").drop("alert_id")
 
 
 @query
@@ -570,7 +570,10 @@ def instance_alerts(spark, folder):
 
 @query
 def active_alert_for(spark, folder):
-    return al.active_alert_for(_alerts(spark, folder), "cpu-any", "host-01", 13, fd.BASE + 1296.0)
+    """The active alert of the rule and instance that have the newest one."""
+    alerts = _alert_table(spark, folder)
+    newest = search.list_alerts(alerts, status="active", limit=1).rows.first()
+    return al.active_alert_for(alerts, *[newest[c] for c in ("rule_id", *INSTANCE)]) if newest else alerts.limit(0)
 
 
 @query
