@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block element. Lines of menus, headers, footers, sidebars,
 notices, adverts, forms and comments, known by their element or by class, id or role, become blank, as
-scripts and styles do. A line weighs its length without link texts. Over sliding windows of `WINDOW` lines the
+scripts and styles do. Embedded parts (drawings, frames, option lists) leave no line; formulas are text. A line weighs its length without link texts. Over sliding windows of `WINDOW` lines the
 weights are summed: text surges where a window passes `SURGE` and dives where the next windows are empty. The
 lines between surge and dive are kept, all of them, short ones too.
 
@@ -29,10 +29,12 @@ WINDOW, SURGE = 3, 80
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
+_ATTRIBUTES = r"(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*"  # never the '/' of a self-closing element
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    # Raw text: these hold no markup and run to their closing tag, or to the end of the page.
+    rf"|<(script|style|textarea|title)(?=[\s/>]){_ATTRIBUTES}(?:/>|>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))"
+    rf"|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES}/?)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -44,10 +46,14 @@ _OUT_WORDS = frozenset(
     " comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup"
     " login search pagination pager toolbar widget widgets skip contentinfo complementary copyright".split()
 )
+# Elements without text of the page that hold markup; they leave no blank line.
+_EMBEDDED = frozenset("noscript template svg iframe select object".split())
 _BLOCKS = frozenset(
     "p div section article main ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure"
     " figcaption address hr details summary fieldset legend body html center".split()
 ) | _OUT_ELEMENTS
+#: What the next element of that name does not reach through.
+_ENDS = {n: _EMBEDDED | (_BLOCKS - {"p"} if n == "p" else {"table"} if n == "tr" else {"ul", "ol", "table", "dl", "tr"}) for n in ("p", "li", "tr", "td", "th", "dt", "dd")}
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _MAIN = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("articlebody main".split())
@@ -79,7 +85,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
     at = 0
     outside = False  # inside a part that is left out
-    for token in _TOKENS.finditer(page):
+    tokens = list(_TOKENS.finditer(page))
+    unclosed = _unclosed(tokens)
+    for token in tokens:
         if token.start() > at and not outside:
             text = references.unescape(page[at : token.start()])
             held.append(text)
@@ -95,17 +103,16 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if name in _BLOCKS:
                 if not outside:
                     close_line()
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd"):  # these end where the next of them begins
-                    _end(open_, name, stop=_BLOCKS - {"p"} if name == "p" else frozenset(("ul", "ol", "table", "dl", "tr") if name != "tr" else ("table",)))
-            if name in _VOID or token.group(4).rstrip().endswith("/"):
+                if name in _ENDS:  # these end where the next of them begins
+                    _end(open_, name, stop=_ENDS[name])
+            if name in _VOID or token.group(4).rstrip().endswith("/") or token.start() in unclosed:
                 continue
             words = _words(token.group(4)) if token.group(4) else set()
             main = name in _MAIN or bool(words & _MAIN_WORDS)
             head = name == "header" and any(e[2] for e in open_)
-            left = outside or (name in _OUT_ELEMENTS and not head) or (bool(words & _OUT_WORDS) and not main and name not in ("body", "html"))
-            if left and not outside and name in _BLOCKS | {"span", "a", "iframe"}:
-                if name in _BLOCKS:
-                    out.append(("", 0, any(e[2] for e in open_), True))
+            left = outside or name in _EMBEDDED or (name in _OUT_ELEMENTS and not head) or (bool(words & _OUT_WORDS) and not main and name not in ("body", "html"))
+            if left and not outside and name in _BLOCKS:
+                out.append(("", 0, any(e[2] for e in open_), True))
             open_.append((name, left, main, name == "a"))
             outside = left
         else:
@@ -119,6 +126,20 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def _unclosed(tokens: list[re.Match]) -> set[int]:
+    """Where embedded parts begin that no closing tag ends: they are empty, or they would take the page with them."""
+    begun: dict[str, list[int]] = {n: [] for n in _EMBEDDED}
+    for token in tokens:
+        name = (token.group(3) or "").lower()
+        if name in _EMBEDDED:
+            if not token.group(2):
+                if not token.group(4).rstrip().endswith("/"):
+                    begun[name].append(token.start())
+            elif begun[name]:
+                begun[name].pop()
+    return {at for places in begun.values() for at in places}
+
+
 def _end(open_: list, name: str, stop: frozenset) -> None:
     """Closes the innermost element of that name and what is open in it, if none of stop is in between."""
     for k in range(len(open_) - 1, -1, -1):

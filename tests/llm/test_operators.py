@@ -241,6 +241,22 @@ def test_html():
     assert html_text.main_text("plain") == "plain"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<h1>T</h1><svg class="i" /><p>rest of page</p>', "T\nrest of page"),
+        ('<script src="a.js" /><h1>T</h1><object data="x"/><p>rest</p>', "T\nrest"),
+        ("<p>A <svg-icon name='x'></svg-icon>b</p><p>rest</p>", "A b\nrest"),
+        ("<title-bar>Bar</title-bar><select-menu></select-menu><style-guide></style-guide><template-x></template-x><p>rest</p>", "Bar\nrest"),
+        ("<p>sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is</p><math/><p>rest</p>", "sum x+y is\nrest"),
+        ("<p>a</p><object data=x><p>b</p><iframe src=x><p>c</p><iframe src=y>no frames</iframe><p>d</p>", "a\nb\nc\nd"),
+        ("<p>a</p><noscript><p>no</p><p>script</p></noscript><svg><svg></svg><text>no</text></svg><p>b</p><script>var x = '<p>';", "a\nb"),
+    ],
+)
+def test_html_embedded_parts_end(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 1), (None, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
