@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block element. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and comments, known by their element or by class, id or role, become blank, as
-scripts and styles do. Embedded parts (drawings, frames, option lists) leave no line; formulas are text. A line weighs its length without link texts. Over sliding windows of `WINDOW` lines the
-weights are summed: text surges where a window passes `SURGE` and dives where the next windows are empty. The
-lines between surge and dive are kept, all of them, short ones too.
+notices, adverts, forms and comments become blank. They are known by their element or by class, id or role, by
+such a name only if they do not hold most of the page's text. Scripts, styles and embedded parts (drawings,
+frames, option lists) leave no line; formulas are text. A line weighs its length without link texts. Over sliding
+windows of `WINDOW` lines the weights are summed: text surges where a window passes `SURGE` and dives where the
+next windows are empty. The lines between surge and dive are kept, all of them, short ones too.
 
 A page that marks its article or main part says where text is: outside it lines are blank, inside it every
 line is text, and what is left out there causes no dive. If no window surges, the run of lines with the most text is kept.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ _TOKENS = re.compile(
     rf"|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES}/?)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<=[\s\"'])(class|id|role|aria-label|data-role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Fixed words: elements and names of parts that are no article text.
 _OUT_ELEMENTS = frozenset("nav header footer aside form button dialog menu head".split())
 _OUT_WORDS = frozenset(
@@ -57,23 +59,63 @@ _ENDS = {n: _EMBEDDED | (_BLOCKS - {"p"} if n == "p" else {"table"} if n == "tr"
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _MAIN = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("articlebody main".split())
+#: A name ends with the word for what it names ('main-menu', 'cookie-banner') or begins with it and
+#: ends with one of these ('comment-list'). Any other name only speaks of such a part ('no-sidebar', 'comments-open').
+_HOLDERS = frozenset(
+    "area bar block body bottom box button buttons container content desktop feed form holder icons inner item items label layer left link"
+    " links list message mobile panel placeholder popup primary right row secondary section slot text top unit widget wrap wrapper zone".split()
+)
+#: Before such a word a name says how the page is laid out or what state it is in.
+_STATES = frozenset("no has have with without is not non hide hidden hides show shows toggle disable disabled enable enabled allow layout".split())
+#: These are no parts; the ids of texts are made from what they say.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 
+def _names_part(value: str) -> bool:
+    """Whether one class, id or role names a part that is left out."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w and not w.isdigit()]
+    if not 0 < len(parts) <= 3 or not _STATES.isdisjoint(parts):
+        return False
+    return parts[-1] in _OUT_WORDS or (len(parts) > 1 and parts[-1] in _HOLDERS and not _OUT_WORDS.isdisjoint(parts[:-1]))
 
-def _words(attributes: str) -> set[str]:
-    found = set()
-    for values in _NAMES.findall(attributes):
-        value = "".join(values)
-        found.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-        found.update(re.split(r"\s+", value.lower()))
-    return found
+
+@lru_cache(maxsize=4096)
+def _named(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names call it the main part, and whether they call it one that is left out."""
+    main = left = False
+    if name in _HEADINGS:
+        return main, left
+    for key, *values in _NAMES.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "id" and name == "p":
+            continue
+        for one in [value] if key == "aria-label" else value.split():
+            main = main or (key != "aria-label" and one.lower() in _MAIN_WORDS)
+            left = left or _names_part(one)
+    return main and not left, left
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines: text, weight, inside the marked main part, and blank for a part left out."""
+    tokens = list(_TOKENS.finditer(page))
+    unclosed = _unclosed(tokens)
+    # Names are only a hint: first all parts are read, then those that do not hold most of the text are left out.
+    found, named = _read(page, tokens, unclosed, None)
+    if not named:
+        return found
+    whole = sum(weight for _, weight, _, _ in found)
+    return _read(page, tokens, unclosed, {at for at, weight in named.items() if 2 * weight <= whole})[0]
+
+
+def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[int] | None) -> tuple[list[tuple[str, int, bool, bool]], dict[int, int]]:
+    """The lines without the elements that begin at named_out; if that is None, with all that are named as parts
+    to leave out, and the weight of the lines in each of them by its begin."""
+    named: dict[int, int] = {}
     out: list[tuple[str, int, bool, bool]] = []
     held: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, left out, main, link
+    # name, left out, main, link, and where it begins if it is weighed
+    open_: list[tuple[str, bool, bool, bool, int]] = []
 
     def close_line() -> None:
         nonlocal linked
@@ -85,14 +127,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
     at = 0
     outside = False  # inside a part that is left out
-    tokens = list(_TOKENS.finditer(page))
-    unclosed = _unclosed(tokens)
     for token in tokens:
         if token.start() > at and not outside:
             text = references.unescape(page[at : token.start()])
             held.append(text)
+            size = len(" ".join(text.split()))
             if any(e[3] for e in open_):
-                linked += len(" ".join(text.split()))
+                linked += size
+            elif named:
+                for e in open_:
+                    if e[4] >= 0:
+                        named[e[4]] += size
         at = token.end()
         name = (token.group(3) or "").lower()
         if not name:
@@ -107,13 +152,23 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     _end(open_, name, stop=_ENDS[name])
             if name in _VOID or token.group(4).rstrip().endswith("/") or token.start() in unclosed:
                 continue
-            words = _words(token.group(4)) if token.group(4) else set()
-            main = name in _MAIN or bool(words & _MAIN_WORDS)
+            attributes = token.group(4)
+            # Long ones (data in an address) are not remembered.
+            main, by_name = (_named if len(attributes) < 500 else _named.__wrapped__)(name, attributes) if attributes else (False, False)
+            main = name in _MAIN or main
+            by_name = by_name and name not in _MAIN and name not in ("body", "html")
             head = name == "header" and any(e[2] for e in open_)
-            left = outside or name in _EMBEDDED or (name in _OUT_ELEMENTS and not head) or (bool(words & _OUT_WORDS) and not main and name not in ("body", "html"))
+            left = outside or name in _EMBEDDED or (name in _OUT_ELEMENTS and not head)
+            weighed = -1
+            if by_name and not left:
+                if named_out is None:
+                    weighed = token.start()
+                    named[weighed] = 0
+                else:
+                    left = token.start() in named_out
             if left and not outside and name in _BLOCKS:
                 out.append(("", 0, any(e[2] for e in open_), True))
-            open_.append((name, left, main, name == "a"))
+            open_.append((name, left, main, name == "a", weighed))
             outside = left
         else:
             if name in _BLOCKS and not outside:
@@ -123,7 +178,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     if not outside:
         held.append(references.unescape(page[at:]))
     close_line()
-    return out
+    return out, named
 
 
 def _unclosed(tokens: list[re.Match]) -> set[int]:

@@ -257,6 +257,30 @@ def test_html_embedded_parts_end(page, want):
     assert html_text.main_text(page) == want
 
 
+PARA = "A long paragraph of the article, with a good many words and without any link in it at all. "
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        *(
+            (f'<body><div class="{menu}"><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div><h2>T</h2><p>{PARA}</p></div>', f"T\n{PARA.strip()}")
+            for menu in ("main-menu", "main-nav", "main-header", "main menu")
+        ),
+        ('<article><p>Text of it.</p><div class="main-menu"><a href=a>Home</a></div><p>More.</p></article><div class="main-nav"><a href=a>Home</a></div>', "Text of it.\nMore."),
+        *(
+            (f'<div id="content" class="{name}"><p>{PARA}</p><p>End.</p></div>', f"{PARA.strip()}\nEnd.")
+            for name in ("no-sidebar", "has-sidebar", "comments-open", "share-enabled", "post sidebar", "social")
+        ),
+        ('<article><h2 id="search">Search</h2><p id="cookies">Text.</p><h2 class="page-header">On menus</h2><p>See <a href="/p?id=menu">menus</a>.</p></article>', "Search\nText.\nOn menus\nSee menus."),
+        (f'<article><p>{PARA}</p><div class="ad-slot">Buy now</div><div class="cookie-banner">Accept</div><div id="sidebar-2">x</div></article>', PARA.strip()),
+        (f'<div id="nav">x</div><div role="main"><p>Text.</p></div><div><p>{PARA}</p></div>', "Text."),
+    ],
+)
+def test_html_names_of_parts(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 1), (None, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
