@@ -5,7 +5,9 @@ notices, adverts, forms and comments become blank. They are known by their eleme
 such a name only if they do not hold most of the page's text. Scripts, styles and embedded parts (drawings,
 frames, option lists) leave no line; formulas are text. A line weighs its length without link texts. Over sliding
 windows of `WINDOW` lines the weights are summed: text surges where a window passes `SURGE` and dives where the
-next windows are empty. The lines between surge and dive are kept, all of them, short ones too.
+next windows are empty. The lines between surge and dive are kept, all of them, short ones too, with the lines
+that adjoin the surge (title, byline) and the lines of links that stand in the text's own container. A part left
+out is a gap of as many blank lines as a window has, unless text goes on after it in the same container.
 
 A page that marks its article or main part says where text is: outside it lines are blank, inside it every
 line is text, and what is left out there causes no dive. If no window surges, the run of lines with the most text is kept.
@@ -20,6 +22,7 @@ import html as references
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +74,26 @@ _STATES = frozenset("no has have with without is not non hide hidden hides show
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: A removed part that frames the page (2), or stands beside its text (1).
+_FRAME = re.compile(r"nav|menu|header|masthead|footer|contentinfo", re.I)
+_BESIDE = re.compile(r"sidebar|aside|complementary", re.I)
+#: Blocks that hold other blocks, as a page or an article does; body and html are the root, ROOT.
+_CONTAINERS = frozenset("div section article main td center form fieldset aside".split())
+ROOT = -1
+
+
+class Line(NamedTuple):
+    """A line, or the blank of a part left out. Its chain are the containers around it from the root on."""
+
+    text: str
+    weight: int
+    inside: bool  # of the marked main part
+    out: bool
+    chain: tuple[int, ...]
+    heading: bool = False
+    frame: int = 0
+
+
 def _names_part(value: str) -> bool:
     """Whether one class, id or role names a part that is left out."""
     parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w and not w.isdigit()]
@@ -95,33 +118,37 @@ def _named(name: str, attributes: str) -> tuple[bool, bool]:
     return main and not left, left
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines: text, weight, inside the marked main part, and blank for a part left out."""
+def lines(page: str) -> list[Line]:
+    """The page's lines, with a blank for each part left out."""
     tokens = list(_TOKENS.finditer(page))
     unclosed = _unclosed(tokens)
     # Names are only a hint: first all parts are read, then those that do not hold most of the text are left out.
     found, named = _read(page, tokens, unclosed, None)
     if not named:
         return found
-    whole = sum(weight for _, weight, _, _ in found)
+    whole = sum(line.weight for line in found)
     return _read(page, tokens, unclosed, {at for at, weight in named.items() if 2 * weight <= whole})[0]
 
 
-def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[int] | None) -> tuple[list[tuple[str, int, bool, bool]], dict[int, int]]:
+def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[int] | None) -> tuple[list[Line], dict[int, int]]:
     """The lines without the elements that begin at named_out; if that is None, with all that are named as parts
     to leave out, and the weight of the lines in each of them by its begin."""
     named: dict[int, int] = {}
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[Line] = []
     held: list[str] = []
     linked = 0
-    # name, left out, main, link, and where it begins if it is weighed
-    open_: list[tuple[str, bool, bool, bool, int]] = []
+    # name, left out, main, link, where it begins if it is weighed, and if it is a container
+    open_: list[tuple[str, bool, bool, bool, int, int]] = []
+
+    def chain() -> tuple[int, ...]:
+        return (ROOT, *[e[5] for e in open_ if e[5] >= 0])
 
     def close_line() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, max(0, len(text) - linked), any(e[2] for e in open_), False))
+            heading = any(e[0] in _HEADINGS for e in open_)
+            out.append(Line(text, max(0, len(text) - linked), any(e[2] for e in open_), False, chain(), heading))
         held.clear()
         linked = 0
 
@@ -167,8 +194,10 @@ def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[
                 else:
                     left = token.start() in named_out
             if left and not outside and name in _BLOCKS:
-                out.append(("", 0, any(e[2] for e in open_), True))
-            open_.append((name, left, main, name == "a", weighed))
+                said = f"{name} {attributes}"
+                frame = 2 if name == "head" or _FRAME.search(said) else 1 if _BESIDE.search(said) else 0
+                out.append(Line("", 0, any(e[2] for e in open_), True, chain(), False, frame))
+            open_.append((name, left, main, name == "a", weighed, token.start() if name in _CONTAINERS else -1))
             outside = left
         else:
             if name in _BLOCKS and not outside:
@@ -205,18 +234,78 @@ def _end(open_: list, name: str, stop: frozenset) -> None:
             return
 
 
+def _framed(found: list[Line]) -> set[int]:
+    """Containers that hold more than an article: the root, and all around a part that frames the page."""
+    return {ROOT}.union(*[line.chain for line in found if line.out and line.frame])
+
+
+def _flowing(found: list[Line], framed: set[int]) -> list[Line]:
+    """The lines without the blanks of parts in the flow of a text: text goes on after them in the same container."""
+    after: list[Line | None] = [None] * len(found)
+    following = None
+    for i in range(len(found) - 1, -1, -1):
+        after[i] = following
+        following = found[i] if found[i].text else following
+    out, before = [], None
+    for line, following in zip(found, after, strict=True):
+        if line.text:
+            before = line
+        elif before and following:
+            parent = line.chain[-1]
+            if parent in framed:
+                in_flow = before.chain[-1] == parent == following.chain[-1] and not (parent == ROOT and line.frame == 2)
+            else:
+                in_flow = parent in before.chain and parent in following.chain
+            if in_flow:
+                continue
+        out.append(line)
+    return out
+
+
+def _widened(spread: list[Line], spans: list[tuple[int, int]], framed: set[int]) -> list[tuple[int, int]]:
+    """The spans with what adjoins them: lines before that no window reaches, and lines of links in the text's own containers."""
+
+    def own(link: Line, text: Line) -> bool:
+        return link.chain[-1] in text.chain and link.chain[-1] not in framed
+
+    out, floor = [], 0
+    for n, (start, end) in enumerate(spans):
+        first, at = spread[start], start
+        while at > floor and spread[at - 1].text:
+            at -= 1
+            line = spread[at]
+            if line.weight or line.heading or own(line, first):
+                start = at
+            elif start - at >= WINDOW:
+                break
+        top = spans[n + 1][0] if n + 1 < len(spans) else len(spread)
+        last = next(spread[k] for k in range(end - 1, start - 1, -1) if spread[k].weight)
+        at = end
+        while at < top and spread[at].text:
+            line, at = spread[at], at + 1
+            if own(line, last) or (line.weight and (line.chain[-1] == last.chain[-1] or own(last, line))):
+                end = at
+            elif line.weight or line.chain[-1] != last.chain[-1]:
+                break
+        out.append((start, end))
+        floor = end
+    return out
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if any(inside and text for text, _, inside, _ in found):
+    marked = any(line.inside and line.text for line in found)
+    framed = _framed(found)
+    if marked:
         # Inside the marked part a line always surges and a part left out is skipped over.
-        rows = [(text, SURGE if inside and text else 0) for text, _, inside, out in found if not (out and inside)]
+        rows = [line._replace(weight=SURGE if line.inside and line.text else 0) for line in found if not (line.out and line.inside)]
     else:
-        rows = [(text, weight) for text, weight, _, _ in found]
-    spread: list[tuple[str, int]] = []
-    for text, weight in rows:
+        rows = _flowing(found, framed)
+    spread: list[Line] = []
+    for line in rows:
         # A part left out stands for as many blank lines as a window has.
-        spread += [(text, weight)] if text else [("", 0)] * WINDOW
-    weights = [w for _, w in spread]
+        spread += [line] if line.text else [line] * WINDOW
+    weights = [line.weight for line in spread]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     spans, i = [], 0
     while i < len(sums):
@@ -231,7 +320,7 @@ def main_text(page: str | None) -> str:
     if not spans:
         runs, start = [], 0
         for k in range(len(weights) + 1):
-            if k == len(weights) or not spread[k][0]:
+            if k == len(weights) or not spread[k].text:
                 if k > start:
                     runs.append((sum(weights[start:k]), -start, k))
                 start = k + 1
@@ -239,7 +328,9 @@ def main_text(page: str | None) -> str:
             return ""
         _, start, end = max(runs)
         spans = [(-start, end)]
-    return "\n".join(text for a, b in spans for text, _ in spread[a:b] if text)
+    elif not marked:
+        spans = _widened(spread, spans, framed)
+    return "\n".join(line.text for a, b in spans for line in spread[a:b] if line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

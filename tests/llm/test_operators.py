@@ -281,6 +281,32 @@ def test_html_names_of_parts(page, want):
     assert html_text.main_text(page) == want
 
 
+LINKS = "<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a><li><a href=d>Four</a></ul>"
+MENU = f'<div class="nav">{LINKS}</div>'
+
+
+@pytest.mark.parametrize("body", ["{}", '<div class="content">{}</div>', '<div><div class="x">{}</div></div>'])
+@pytest.mark.parametrize(
+    "flow, want",
+    [
+        ("<h1>T</h1><p>By me</p><p>Monday</p><p>Noon</p><p>{p}</p>", "T\nBy me\nMonday\nNoon\n{p}"),
+        ("<h1><a href=x>T</a></h1><p>By <a href=x>me</a></p><div class=share>x</div><p>Monday</p><p>Rome</p><p>{p}</p>", "T\nBy me\nMonday\nRome\n{p}"),
+        ("<p>{p}</p><div class=ad>Buy</div><p>Short end.</p>", "{p}\nShort end."),
+        ("<p>{p}</p><aside>Buy</aside><div class=ad>Buy</div><h2>H</h2><p>Short.</p><form>f</form><p>End.</p>", "{p}\nH\nShort.\nEnd."),
+        ("<p>{p}</p>{links}<p>Short end.</p>", "{p}\nOne\nTwo\nThree\nFour\nShort end."),
+    ],
+)
+def test_html_ends_of_text(body, flow, want):
+    page = "<body>" + MENU + body.format(flow.format(p=PARA, links=LINKS)) + f"<footer>Imprint</footer>{LINKS}</body>"
+    assert html_text.main_text(page) == want.format(p=PARA.strip())
+
+
+def test_html_links_of_text():
+    flow = f"<p>{PARA}</p><div class=ad>Buy</div>{LINKS}"
+    page = f'<body>{MENU}<div class="content">{flow}</div><div class="bottom">{LINKS}</div></body>'
+    assert html_text.main_text(page) == f"{PARA.strip()}\nOne\nTwo\nThree\nFour"
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x</p>", 1), (1, "u", "<p>x</p>", 1), (None, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
