@@ -10,7 +10,8 @@ faster from the same ranks in `tiktoken`: both agree on a text if the file has n
 no prefix space, its merges are in the order of their ids, and each token, encoded alone, is
 itself (`ranked`, checked when a task loads the file). Then a state of the merging that
 offers another split of a token cannot arise. Texts with characters beyond U+024F, whose class
-may depend on a library's Unicode version, and texts with a special string go to `tokenizers`.
+may depend on a library's Unicode version, texts with a special string, and texts with a run of more than
+`SPACE_RUN` white-space characters, which `tiktoken` refuses from about a million on, go to `tokenizers`.
 
 Defined cases: a null or empty text has only the end id and is one piece of length 1. Rows that
 are repeated are packed each for itself. An empty table gives no pieces.
@@ -35,6 +36,7 @@ LENGTH = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
 BEYOND = re.compile("[^\x00-\u024f]")
+SPACE_RUN = 100_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -93,12 +95,17 @@ def _ranked(parts: dict, library) -> bool:
     return all(len(library.model.tokenize(token)) == 1 for token in vocab)
 
 
+def _long_run(text: str) -> bool:
+    """Whether a run of white space is longer than SPACE_RUN."""
+    return len(text) > SPACE_RUN and any(m.end() - m.start() > SPACE_RUN for m in re.finditer(r"\s\s+", text))
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts without added tokens, as unsigned 32-bit numbers."""
     library, fast, special = _loaded(path)
     out = []
     for text in texts:
-        plain = fast is not None and not BEYOND.search(text) and not any(s in text for s in special)
+        plain = fast is not None and not BEYOND.search(text) and not any(s in text for s in special) and not _long_run(text)
         if plain:
             out.append(fast.encode_to_numpy(text, disallowed_special=()))
         else:

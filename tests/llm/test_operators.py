@@ -122,6 +122,20 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0 and packing.decompose(2048 * 2 + 5) == [2048, 2048, 4, 1]
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \t\r\n", "\x85"])
+def test_packing_long_white_space(space):
+    library = Tokenizer.from_file(BYTES)
+    for n in (packing.SPACE_RUN - 5, 1_200_000):
+        text = "a word" + space * (n // len(space)) + "and more"
+        assert packing.encode([text], BYTES)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_long_white_space_rows(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_200_000 + "b"), (2, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n, r.total) for r in packing.report(packing.pack_documents(docs)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("total")).collect()}
+    assert got[1] == (1_200_002, 1_200_002) and got[2] == (2, 2)
+
+
 def _groups(texts):
     sets = []
     for _, t in texts:
