@@ -28,6 +28,8 @@ class Layout:
         order = np.argsort(self.class_of, kind="stable")
         sizes = np.bincount(self.class_of, minlength=self.classes)
         self.members = np.split(order, np.cumsum(sizes)[:-1])
+        # Columns of each class: a slice, which copies nothing, where its members lie side by side.
+        self.columns = [slice(m[0], m[-1] + 1) if len(m) and m[-1] - m[0] + 1 == len(m) else m for m in self.members]
         self.place = np.zeros(len(self.class_of), np.int64)
         for m in self.members:
             self.place[m] = np.arange(len(m))
@@ -142,8 +144,8 @@ class Net:
         ends = np.cumsum(np.bincount(cls, minlength=layout.classes))
         begin = 0
         for k, end in enumerate(ends):
-            members = layout.members[k]
-            if end > begin and len(members) > 1:
+            members = layout.columns[k]
+            if end > begin and len(layout.members[k]) > 1:
                 at = order[begin:end]
                 hs, own = h[at], layout.place[target[at]]
                 weights = p["ww"][:, members]

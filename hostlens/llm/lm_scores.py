@@ -3,16 +3,18 @@
 Words are split at white space, ASCII letters lower-cased; an end token closes each document.
 
 1. The training documents' words are counted: a count for each distinct word of a task, summed by a shuffle.
-2. The `HEAD` most frequent words are the network's symbols, in classes of equal share. All others fall into
-   `TAILS` tail classes by their last two bytes; within a tail class a word has its add-one share, with one
-   place for words not seen in training. So the model is a proper distribution over all words.
+2. The words seen more than once, the about `HEAD` most frequent ones if there are more, are the network's
+   symbols, in classes by frequency. All others fall into `TAILS` tail classes by their last two bytes; within a
+   tail class a word has its add-one share, with one place for words not seen in training. Words seen once are
+   left to the tails because from them the network learns how likely an unseen word is. So the model is a proper
+   distribution over all words.
 3. The network starts from a pilot of at most `PILOT` documents, so that all copies lie close together; then
    every task trains a copy on all its training documents, and the copies are averaged, weighted by tokens.
 4. Documents meet the counts of their own words block by block (a block is a part of an input partition), and
    the network runs over all documents of a block on parallel lanes.
 
-What is sent around is a block's distinct words, not its tokens; only the network's parameters and the tail
-classes' sums, of fixed size, pass through the driver.
+What is sent around is a block's distinct words, not its tokens; only the head, the network's parameters (33 for
+each of its words) and the tail classes' sums pass through the driver, all bounded by `HEAD`.
 
 Defined cases: null counts as empty; an empty text has the end token only; without training documents N and V are
 0 and base_score is 0; repeated rows are scored each for itself; an empty table gives an empty table.
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import chosen, kept, pieces_of
 from hostlens.llm.gated_net import Layout, Net
 
-HEAD, HEAD_CLASSES, TAILS = 1000, 32, 16
+HEAD, TAILS = 50_000, 16
+#: Parameters in a row when copies are averaged.
+CHUNK = 1024
 PILOT, PILOT_RATE, RATE = 2000, 0.01, 0.003
 #: Bytes of text in a block, and tokens that a task puts on lanes at a time.
 BLOCK_BYTES, LANE_TOKENS = 32 << 20, 4_000_000
@@ -51,7 +55,7 @@ def tail_of(word: bytes) -> int:
 
 @dataclass
 class Corpus:
-    """What scoring needs of the counts, all of fixed size."""
+    """What scoring needs of the counts, bounded by HEAD and TAILS."""
 
     head: list[bytes]
     head_counts: np.ndarray
@@ -73,12 +77,21 @@ class Corpus:
         return np.concatenate([[self.documents], self.head_counts, self.tail_tokens]).astype(float)
 
     def layout(self) -> Layout:
-        """The end token has a class; the head's words, by frequency, share the next; each tail is one."""
+        """The end token has a class; the head's words, by frequency, share the next; each tail is one.
+        Of some numbers of head classes, that with the least softmax terms for a token is taken."""
         weight = np.sqrt(self.head_counts + 1.0)
         share = (np.cumsum(weight) - weight) / max(weight.sum(), 1.0)
-        head = 1 + np.minimum((share * HEAD_CLASSES).astype(int), HEAD_CLASSES - 1)
-        tails = 1 + HEAD_CLASSES + np.arange(TAILS)
-        return Layout(np.concatenate([[0], head, tails]).astype(np.int64), 1 + HEAD_CLASSES + TAILS)
+
+        def dealt(classes: int) -> np.ndarray:
+            return np.minimum((share * classes).astype(int), classes - 1)
+
+        def terms(classes: int) -> float:
+            at = dealt(classes)
+            return classes + float(np.bincount(at, self.head_counts) @ np.bincount(at)) / max(self.tokens, 1)
+
+        classes = min((2**k for k in range(10)), key=terms) if self.head else 1
+        tails = 1 + classes + np.arange(TAILS)
+        return Layout(np.concatenate([[0], 1 + dealt(classes), tails]).astype(np.int64), 1 + classes + TAILS)
 
     def symbols(self) -> Symbols:
         return Symbols({w: i + 1 for i, w in enumerate(self.head)}, len(self.head) + 1)
@@ -138,9 +151,20 @@ def block_words(blocks: DataFrame, training: Column) -> DataFrame:
 
 
 def gather(counts: DataFrame, documents: int) -> Corpus:
-    """Head and tail sums of word counts (word, c); at most HEAD + TAILS rows come to the driver."""
+    """Head and tail sums of word counts (word, c); about HEAD + TAILS rows come to the driver."""
     seen = counts.filter("c > 0")
-    head = seen.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # Words by steps of their frequency: the lowest step that has no room as a whole gives a part by hash.
+    step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("long")
+    sizes = seen.filter("c > 1").groupBy(step.alias("step")).count().collect()  # at most 64 rows for each power of two
+    room, lowest, share = HEAD, 0, 1.0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        lowest, share = r["step"], min(1.0, room / r["count"])
+        room -= r["count"]
+        if room <= 0:
+            break
+    chance = F.pmod(F.xxhash64("word"), F.lit(1 << 20))
+    taken = seen.filter((F.col("c") > 1) & ((step > lowest) | ((step == lowest) & (chance < int(share * (1 << 20))))))
+    head = sorted(taken.collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     tail_key = (F.crc32(F.expr("substring(word, -2, 2)")) % TAILS).cast("int")
     everything = {
         r["tail"]: (r["tokens"], r["distinct"])
@@ -169,6 +193,15 @@ def _sequences(texts: Iterator[str | None], symbols: Symbols) -> Iterator[list[n
         yield lot
 
 
+def _mean(copies: pa.Table) -> pa.Table:
+    """The mean, by weight, of one chunk's copies."""
+    weights, total = copies.column("weight").to_pylist(), 0.0
+    for part, weight in zip(copies.column("part").to_pylist(), weights, strict=True):
+        total = total + weight * np.frombuffer(part, "<f4").astype(float)
+    mean = (total / sum(weights)).astype("<f4").tobytes()
+    return pa.table({"at": copies.column("at").slice(0, 1), "part": pa.array([mean], pa.binary())})
+
+
 def train(blocks: DataFrame, training: Column, corpus: Corpus, pilot: int = PILOT) -> np.ndarray:
     """Parameters of the network: a pilot pass, then one pass over all training documents by averaged copies."""
     layout = corpus.layout()
@@ -185,18 +218,20 @@ def train(blocks: DataFrame, training: Column, corpus: Corpus, pilot: int = PILO
                 net.learn(lot, memory, rate)
                 seen += sum(map(len, lot))
             if seen:
+                places = range(0, len(begin), CHUNK)
+                parts = [net.flat[at : at + CHUNK].astype("<f4").tobytes() for at in places]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(begin), dtype=np.int32)), pa.array(net.flat.astype(float) * seen), pa.array(np.full(len(begin), float(seen)))],
-                    ["i", "total", "weight"],
+                    [pa.array(places, pa.int32()), pa.array(parts, pa.binary()), pa.array([float(seen)] * len(parts))], ["at", "part", "weight"]
                 )
 
         return run
 
     def averaged(rows: DataFrame, start: np.ndarray, rate: float) -> np.ndarray:
-        copies = rows.select("text").mapInArrow(learner(start, rate), "i int, total double, weight double")
-        found = copies.groupBy("i").agg((F.sum("total") / F.sum("weight")).alias("value")).toPandas()  # one row for each parameter
+        copies = rows.select("text").mapInArrow(learner(start, rate), "at int, part binary, weight double")
         out = start.copy()
-        out[found["i"].to_numpy(int)] = found["value"].to_numpy(np.float32)
+        for r in copies.groupBy("at").applyInArrow(_mean, "at int, part binary").collect():  # one row for CHUNK parameters
+            part = np.frombuffer(r["part"], "<f4")
+            out[r["at"] : r["at"] + len(part)] = part
         return out
 
     rows = blocks.filter(training)

@@ -366,6 +366,22 @@ def test_lm_scores(spark, odd, none):
     assert lm_scores.score_documents(none, F.lit(False)).count() == 0
 
 
+def test_lm_head_grows_with_vocabulary(spark, monkeypatch):
+    """Every word seen more than once is a symbol of the network, or as many as HEAD has room for."""
+    rows = [(f"w{i}".encode(), 2 + i % 5) for i in range(3000)] + [(f"once{i}".encode(), 1) for i in range(50)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    corpus = lm_scores.gather(counts, 10)
+    assert len(corpus.head) == 3000 and corpus.tail_tokens.sum() == corpus.tail_words.sum() == 50
+    assert corpus.tokens == sum(c for _, c in rows) + 10 and corpus.distinct == len(rows) + 1
+    layout = corpus.layout()
+    assert len(layout.class_of) == 1 + 3000 + lm_scores.TAILS and max(map(len, layout.members)) < 500
+    monkeypatch.setattr(lm_scores, "HEAD", 900)
+    few = lm_scores.gather(counts, 10)
+    assert 800 < len(few.head) < 1000 and set(few.head_counts[:600]) == {6} and set(few.head_counts[600:]) == {5}
+    assert (few.tokens, few.distinct) == (corpus.tokens, corpus.distinct)
+    assert few.symbols()[few.head[0]] == 1 and few.symbols()[b"never seen"] > len(few.head)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = docs
