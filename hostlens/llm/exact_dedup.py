@@ -9,7 +9,8 @@ SHA-256 of that normal form.
 2. The candidates' rows are counted and their smallest id is found; partial sums are formed
    before the shuffle. The result is a table of at most 1/support rows, whatever the input.
 3. That table is broadcast: rows of frequent digests get their group's figures in place and
-   are never shuffled.
+   are not shuffled. Only the rows of the kept ids among them are counted, by partial sums, since
+   one of them is kept if there are several.
 4. The other digests are counted by an ordinary shuffle and joined back. No group of that path
    holds more than `support` of the rows.
 
@@ -44,8 +45,6 @@ def _figures(rows: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame, support: float = SUPPORT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of documents."""
     table = kept(digests(documents), "digests")
-    # One row for equal (id, digest) pairs: repeated rows can be told apart only by counting them.
-    rows = table.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
     candidates = (
         table.stat.freqItems(["text_sha256"], support)
         .select(F.explode("text_sha256_freqItems").alias("text_sha256"))
@@ -57,28 +56,28 @@ def deduplicate(documents: DataFrame, support: float = SUPPORT) -> DataFrame:
         F.broadcast(candidates), "text_sha256", "left_semi"
     )
     heavy = kept(_figures(of_candidates), "heavy")
-    marked = rows.join(
+    marked = table.join(
         F.broadcast(heavy.withColumnRenamed("keep_id", "heavy_id").withColumnRenamed("group_size", "heavy_size")),
         "text_sha256",
         "left",
     )
     frequent = marked.filter(F.col("heavy_size").isNotNull()).select(
-        "text_sha256", "doc_id", "copies", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size")
+        "text_sha256", "doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size")
     )
-    other = marked.filter(F.col("heavy_size").isNull()).select("text_sha256", "doc_id", "copies")
+    keeps = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # One row for equal (id, digest) pairs: repeated rows can be told apart only by counting them.
+    names = ["text_sha256", "doc_id", "keep_id", "group_size"]
+    first = frequent.filter(keeps).groupBy(*names).agg(F.count("*").alias("copies"))
+    other = marked.filter(F.col("heavy_size").isNull()).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
     rare = other.join(_figures(other), "text_sha256")
     # The k-th of the repeated rows of the kept id is kept for k = 1 only.
-    return (
-        frequent.unionByName(rare)
+    counted = (
+        first.unionByName(rare)
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("k"))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)).alias("kept"),
-            "text_sha256",
-        )
+        .withColumn("kept", keeps & (F.col("k") == 1))
     )
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    return counted.select(columns).unionByName(frequent.filter(~keeps).withColumn("kept", F.lit(False)).select(columns))
 
 
 def distinct_documents(documents: DataFrame, support: float = SUPPORT) -> DataFrame:

@@ -72,6 +72,28 @@ def test_exact_dedup_heavy_group(spark):
     assert len(heavy) == 1000 and {r.keep_id for r in heavy} == {0} and sum(r.kept for r in heavy) == 1
 
 
+def test_exact_dedup_shuffles_no_frequent_rows(spark):
+    """Rows of a frequent digest come through without a shuffle; repeated rows of its kept id are still told apart."""
+    text = F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string"))
+    docs = spark.range(2000).select(F.when(F.col("id") < 10, 0).otherwise(F.col("id")).alias("doc_id"), text.alias("text"))
+    found = exact_dedup.deduplicate(docs, 0.01)
+    rows = [r for r in found.collect() if r.group_size > 1]
+    assert len(rows) == 1000 and {r.keep_id for r in rows} == {0} and sum(r.kept for r in rows) == 1
+    whole = found._jdf.queryExecution().optimizedPlan()
+
+    def in_place(plan, above):
+        """Whether some scan of all rows reaches the result without an aggregate."""
+        name = plan.nodeName()
+        if name in ("Aggregate", "Generate"):
+            return False
+        kids = plan.children()
+        if kids.isEmpty():
+            return "doc_id" in plan.output().mkString(",")
+        return any(in_place(kids.apply(i), name) for i in range(1 if name == "Join" else kids.size()))
+
+    assert in_place(whole, "")
+
+
 def test_token_counts(odd, none):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = sorted(token_counts.count_tokens(odd, chunk=500, overlap=4).collect(), key=str)
