@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import exact_dedup, html_text, jaccard, language, lm_scores, packing, pieces, quality, token_counts, top_k
+from hostlens.llm import (
+    exact_dedup, fill_middle, html_text, jaccard, language, lm_scores, packing, pieces, quality, resampling, token_counts, top_k, url_filter,
+)
 from hostlens.llm.common import fold, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,18 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(packing.pack_documents(table(spark, folder, "documents")))
+
+
+@_query
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.report(fill_middle.store(table(spark, folder, "documents")))
+
+
+@_query
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
