@@ -222,7 +222,7 @@ PAGES = [
     (10, "http://third.net", _link("single.net")), (11, None, _link("bad.example.com")), (12, "nothing here", _link("bad.example.com")), (12, "://", None),
     (13, "https://fr.com/fr/1", "<a href=//third.net>x"), (13, "https://fr.com/fr/1", "<a href=//third.net>x"), (None, "ftp://user@h.org:21/x?y", "<a "*9),
     (14, "http://example.org/es", None), (15, "http://notexample.org/es/1", None), (16, "http://single.net?x://y.org/", "<abbr href='//z.net'><a data-href='//w.net'>"),
-    (17, "http://www.friend2.example.net:80/a\nb", _link("bad.example.com")),
+    (17, "http://www.friend2.example.net:80/a\nb", _link("Lost.NET")),
 ]
 
 
