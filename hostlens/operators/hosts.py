@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import freshness
+from hostlens.operators.keys import in_receipt
 from hostlens.params import Params, activity_bucket
 
 ACTIVITY_POINTS = 13
@@ -99,7 +100,7 @@ def host_activity(registry: DataFrame, samples: DataFrame, now: float, lookback:
     first = int(start / width)
     slot = F.floor(F.col("received_at") / width)
     counts = (
-        samples.filter(F.col("received_at") >= start)
+        in_receipt(samples, start)
         .groupBy("host", slot.alias("slot"))
         .agg(F.count("*").alias("value"))
     )

@@ -34,16 +34,25 @@ def instance_parts(inst: str = "inst") -> dict[str, Column]:
     }
 
 
-def in_time(df: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Rows with ``start <= timestamp <= end``; a table partitioned by ``date`` reads only those days."""
+def _within(df: DataFrame, clock: str, day: str, start: float | None, end: float | None) -> DataFrame:
     for bound, keep in ((start, Column.__ge__), (end, Column.__le__)):
         if bound is not None:
-            df = df.filter(keep(F.col("timestamp"), F.lit(float(bound))))
-            if "date" in df.columns:
-                df = df.filter(keep(F.col("date"), F.to_date(F.timestamp_seconds(F.floor(F.lit(float(bound)))))))
+            df = df.filter(keep(F.col(clock), F.lit(float(bound))))
+            if day in df.columns:
+                df = df.filter(keep(F.col(day), F.to_date(F.timestamp_seconds(F.floor(F.lit(float(bound)))))))
     return df
 
 
+def in_time(df: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Rows with ``start <= timestamp <= end``; a table partitioned by ``date`` reads only those days."""
+    return _within(df, "timestamp", "date", start, end)
+
+
+def in_receipt(df: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Rows with ``start <= received_at <= end``; a table partitioned by ``received_date`` reads only those days."""
+    return _within(df, "received_at", "received_date", start, end)
+
+
 def first_per_key(df: DataFrame, keys: list, order: list, k: int = 1, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key. Spark applies the limit before and after the shuffle."""
     name = rank or "__rank"

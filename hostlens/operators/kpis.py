@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import freshness, settled
 from hostlens.operators.hosts import cpu_total, memory_total, reading_age
+from hostlens.operators.keys import in_receipt
 from hostlens.operators.snapshot import latest_samples
 from hostlens.params import Params
 
@@ -40,7 +41,7 @@ def kpi_summary(
             settled(memory_total(), 2).alias("memory"),
         )
     )
-    received = samples.filter(F.col("received_at") >= now - lookback).agg(F.count("*"))
+    received = in_receipt(samples, now - lookback).agg(F.count("*"))
     active = alerts.filter(F.col("status") == "active").agg(F.count("*"))
     rows = hosts.withColumns(
         {"__load": load.scalar(), "samples_received": received.scalar(), "active_alerts": active.scalar()}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.exprs import instance_id, sample_search
-from hostlens.operators.keys import first_per_key, in_time, oldest_per_key, with_instance
+from hostlens.operators.keys import first_per_key, in_receipt, in_time, oldest_per_key, with_instance
 from hostlens.params import Params
 
 
@@ -25,7 +25,7 @@ def newest_first() -> list[Column]:
 
 def latest_samples(samples: DataFrame, now: float, lookback: float = 86_400, host: str | None = None) -> DataFrame:
     """Newest sample per instance among those received within the lookback."""
-    recent = samples.filter(F.col("received_at") >= now - lookback)
+    recent = in_receipt(samples, now - lookback)
     if host:
         recent = recent.filter(F.col("host") == host)
     return first_per_key(with_instance(recent), ["inst"], newest_first()).drop("inst")

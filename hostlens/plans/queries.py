@@ -22,6 +22,7 @@ from hostlens.schemas import ALERT_KEY, IDENTITY, INSTANCE, SAMPLE_COLUMNS
 from hostlens.session import configure, work_folder
 from hostlens.sources import feed as fd
 from hostlens.sources import spool as sp
+from hostlens.sources import stored
 from hostlens.sources.envelopes import envelope_samples, read_envelopes
 from hostlens.sources.rule_files import read_rules
 from hostlens.streaming import pipeline as st
@@ -79,7 +80,7 @@ def append_samples(spark, folder):
     """The second half of the feed, written to a table that holds the first."""
     raw, path = fd.feed(spark, folder), work_folder(spark, "append")
     stored = ing.append_samples(raw.filter(F.col("received_at") < HALF), path, 0)
-    return ing.append_samples(raw.filter(F.col("received_at") >= HALF), path, 1, stored).drop("date")
+    return ing.append_samples(raw.filter(F.col("received_at") >= HALF), path, 1, stored).select(*SAMPLE_COLUMNS)
 
 
 @query
@@ -164,6 +165,26 @@ def prune_samples(spark, folder):
     return pruned.kept.select("seq", *IDENTITY).withColumn("deleted_count", pruned.deleted.scalar())
 
 
+@query
+def maintained_samples(spark, folder):
+    """The feed stretched to 30 days, ingested in three batches; after each, upkeep with a horizon of 15 days.
+
+    ``deleted_again`` is what a further run at the same time removes.
+    """
+    slow = lambda name: (F.lit(float(fd.BASE)) + (F.col(name) - fd.BASE) * 1000).alias(name)
+    raw = fd.feed(spark, folder).withColumns({n: slow(n) for n in ("timestamp", "received_at")})
+    root, width = work_folder(spark, "upkeep"), fd.SPAN * 1000.0
+    number = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("received_at") - fd.BASE) / F.lit(width / 3))))
+    for batch in range(3):
+        new = raw.filter(number == batch).withColumn("batch_id", _batch_id())
+        ing.append_samples(new, f"{root}/samples", batch, stored.read_current(spark, root, batch) if batch else None)
+        stored.upkeep(spark, root, fd.BASE + width * (batch + 1) / 3, 15, 1)
+    again = stored.upkeep(spark, root, fd.BASE + width, 15, 1)
+    stored.drop_unused(spark, root, 1, 2)
+    rows = stored.read_current(spark, root)
+    return rows.select("seq", *IDENTITY, "cpu_percent").withColumn("deleted_again", F.lit(again.deleted).cast("long"))
+
+
 # --- envelopes and spools --------------------------------------------------------
 
 

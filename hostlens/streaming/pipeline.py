@@ -20,22 +20,21 @@ from hostlens.operators.keys import first_per_key, instance_key
 from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, SAMPLE
 from hostlens.sources.envelopes import envelope_samples, parse_envelopes, stream_lines
+from hostlens.sources.stored import LOG_SCHEMA, read_current
 from hostlens.streaming.alerting import STATE_OUTPUT, AlertProcessor
 
 # Rules are shipped to every task with the processor.
 MAX_RULES = 10_000
 RETENTION = "30 days"
-TABLE_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SAMPLE.fields)
-PARTITIONS = "ingest_batch bigint, date date"
 
 
 def read_table(spark: SparkSession, folder: str) -> DataFrame:
     """The accepted samples of a table folder."""
-    return spark.read.schema(f"batch_id string, {TABLE_SCHEMA}, {PARTITIONS}").parquet(folder)
+    return spark.read.schema(LOG_SCHEMA).parquet(folder)
 
 
 def stream_table(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(f"batch_id string, {TABLE_SCHEMA}, {PARTITIONS}")
+    reader = spark.readStream.schema(LOG_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)
@@ -62,7 +61,7 @@ def _ingest_batch(table: str, max_samples: int, replay: bool):
             new = envelope_samples(envelopes)
             stored = None
             if number > 0:
-                stored = read_table(spark, folder).filter(F.col("ingest_batch") < number)
+                stored = read_current(spark, table, before=number)
             _write_once(accept_samples(new, stored), f"{folder}/ingest_batch={number}", write_samples)
             accepted = read_table(spark, folder).filter(F.col("ingest_batch") == number)
             _write_once(ingest_receipts(new, accepted), f"{table}/receipts/ingest_batch={number}", _as_parquet)
