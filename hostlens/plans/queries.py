@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from hostlens.functions import exprs
 from hostlens.operators import alerts as al
@@ -17,7 +18,7 @@ from hostlens.operators import rules as ru
 from hostlens.operators import snapshot as sn
 from hostlens.operators import validate as va
 from hostlens.params import Params
-from hostlens.plans.replay import envelopes, replay
+from hostlens.plans.replay import Replay, envelopes, replay
 from hostlens.schemas import ALERT_KEY, IDENTITY, INSTANCE, SAMPLE_COLUMNS
 from hostlens.session import configure, work_folder
 from hostlens.sources import feed as fd
@@ -736,6 +737,66 @@ def stream_transitions(spark, folder):
     return _stream_transitions(spark, folder)
 
 
+@query
+def stream_expiry(spark, folder):
+    """Transitions where an instance that is silent for ten minutes of receipt time starts anew."""
+    rules = fd.rules(spark)
+    start = lambda s, r: st.start_changes(st.stream_alerts(s, rules, 600.0, 0.0), r.changes, r.checkpoint)
+    return spark.read.parquet(replay(spark, folder, start).changes).drop("epoch")
+
+
+@query
+def stream_state(spark, folder):
+    """The state left of the same stream: instances heard of in the last ten minutes."""
+    rules = fd.rules(spark)
+    start = lambda s, r: st.start_changes(st.stream_alerts(s, rules, 600.0, 0.0), r.changes, r.checkpoint)
+    run = replay(spark, folder, start)
+    return st.alert_state_rows(spark, run.checkpoint).select(*INSTANCE, "rule_id", "true_since", "run", "last_at", "triggered_at")
+
+
+@query
+def stream_restart(spark, folder):
+    """The alert stream loses its checkpoint before the last slice and starts again from the stored samples' states."""
+    rules, parts = fd.rules(spark), []
+
+    def follow(stream: DataFrame, run: Replay) -> StreamingQuery:
+        seeds, number = None, len(parts)
+        if number == 2:
+            seen = run.samples.filter(F.col("ingest_batch") < number)
+            stream = stream.filter(F.col("ingest_batch") >= number)
+            seeds = st.alert_seeds(al.alert_states(seen, rules, SLICE))
+        parts.append(f"{run.changes}-{number // 2}")
+        return st.start_changes(st.stream_alerts(stream, rules, seeds=seeds), parts[-1], f"{run.checkpoint}-{number // 2}")
+
+    replay(spark, folder, follow)
+    return spark.read.parquet(parts[0]).unionByName(spark.read.parquet(parts[2])).drop("epoch")
+
+
+@query
+def stream_living_rules(spark, folder):
+    """Transitions where one rule is added after the first of three passes."""
+    rules, passes = fd.rules(spark), []
+
+    def follow(stream: DataFrame, run: Replay) -> StreamingQuery:
+        passes.append(run.changes)
+        known = rules if len(passes) > 1 else rules.filter(F.col("rule_id") != "cpu-any")
+        return st.start_changes(st.stream_alerts(stream, known), run.changes, run.checkpoint)
+
+    replay(spark, folder, follow)
+    return spark.read.parquet(passes[0]).drop("epoch")
+
+
+@query
+def stream_receipts(spark, folder):
+    """Per host what the receipts of the ingest stream say, alerts included."""
+    rules = fd.rules(spark)
+    run = replay(spark, folder, lambda s, r: st.start_changes(st.stream_alerts(s, rules), r.changes, r.checkpoint))
+    receipts = st.streamed_receipts(spark.read.parquet(f"{run.table}/receipts"), run.samples, spark.read.parquet(run.changes))
+    return receipts.groupBy("host").agg(
+        *[F.sum(n).alias(n) for n in ("accepted", "duplicates", "alerts_triggered")]
+    )
+
+
 @query
 def stream_alerts(spark, folder):
     return al.alerts_from_transitions(_stream_transitions(spark, folder), fd.rules(spark))

@@ -7,6 +7,7 @@ twice. Everything else streams from that table.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from hostlens.functions.exprs import event_time, settled
 from hostlens.operators.alerts import alerts_from_transitions
 from hostlens.operators.ingest import accept_samples, ingest_receipts, write_samples
-from hostlens.operators.keys import first_per_key, instance_key
+from hostlens.operators.keys import first_per_key, instance_key, instance_parts
 from hostlens.operators.outbox import notification_outbox, write_outbox
-from hostlens.schemas import IDENTITY, SAMPLE
+from hostlens.schemas import IDENTITY, INSTANCE, SAMPLE
 from hostlens.sources.envelopes import envelope_samples, parse_envelopes, stream_lines
 from hostlens.sources.stored import LOG_SCHEMA, read_current
-from hostlens.streaming.alerting import STATE_OUTPUT, AlertProcessor
+from hostlens.streaming.alerting import RULE_FIELDS, STATE_OUTPUT, AlertProcessor
 
-# Rules are shipped to every task with the processor.
-MAX_RULES = 10_000
 RETENTION = "30 days"
 
 
@@ -74,9 +73,10 @@ def _ingest_batch(table: str, max_samples: int, replay: bool):
 
 
 def stream_ingest(
-    spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1, max_samples: int = 500, replay: bool = False
+    spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 1, max_samples: int = 500, replay: bool = False,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Reads all envelope files present under ``source`` into ``table`` and stops.
+    """Reads the envelope files under ``source`` into ``table``: those present, or at an interval for good.
 
     Table and checkpoint belong together: a batch number that is complete in the table is not written again.
     """
@@ -84,7 +84,7 @@ def stream_ingest(
         stream_lines(spark, source, max_files)
         .writeStream.foreachBatch(_ingest_batch(table, max_samples, replay))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
@@ -99,19 +99,87 @@ def stream_dedup(samples: DataFrame, horizon: str = RETENTION) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def stream_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alert transitions as samples arrive; state per instance holds one entry per rule."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: run one query per part of the rules")
-    active = [row.asDict() for row in rows if row.enabled]
-    processor = AlertProcessor(active, [row.rule_id for row in rows])
-    columns = [f.name for f in SAMPLE.fields]
-    return (
-        samples.select(instance_key().alias("inst"), *columns)
-        .groupBy("inst")
-        .transformWithState(processor, STATE_OUTPUT, outputMode="Update", timeMode="None")
+def alert_seeds(states: DataFrame) -> DataFrame:
+    """Alert states (as from ``alert_states``) as the start of a stream: one row per instance.
+
+    Of active alerts without further state it is enough to give their key and ``active_triggered_at``: their next match updates
+    them and nothing fires twice.
+    """
+    given = {"true_since": "double", "consecutive_samples": "bigint", "last_sample_at": "double", "cooldown_until": "double"}
+    rows = states.withColumns({n: F.lit(None).cast(kind) for n, kind in given.items() if n not in states.columns})
+    entry = F.struct(
+        "rule_id",
+        F.col("true_since"),
+        F.coalesce("consecutive_samples", F.lit(0).cast("bigint")).alias("run"),
+        F.col("last_sample_at").alias("last_at"),
+        F.coalesce("cooldown_until", F.lit(0.0)).alias("quiet_until"),
+        F.col("active_triggered_at").alias("triggered_at"),
     )
+    heard = F.max(F.coalesce("last_sample_at", "active_triggered_at", F.lit(0.0))).alias("received")
+    return rows.groupBy(instance_key().alias("inst")).agg(F.collect_list(entry).alias("entries"), heard)
+
+
+def stream_alerts(
+    samples: DataFrame,
+    rules: DataFrame,
+    expire_after: float | None = None,
+    grace: float = 3_600.0,
+    seeds: DataFrame | None = None,
+) -> DataFrame:
+    """Alert transitions as samples arrive; state per instance holds one entry per rule.
+
+    The rules, some 20,000 at most (``MAX_BYTES`` when packed), are shipped to every task with the processor and are those of
+    the start of the query: ``follow_alerts`` starts one per pass. ``expire_after`` seconds of receipt time without a sample end an instance and free its state,
+    ``grace`` seconds after the newest receipt of all; by default state is kept. ``seeds`` (see ``alert_seeds``) are
+    the state of a query that starts without a checkpoint.
+    """
+    processor = AlertProcessor([row.asDict() for row in rules.select(*RULE_FIELDS).collect()], expire_after)
+    keyed = samples.select(instance_key().alias("inst"), *[f.name for f in SAMPLE.fields])
+    if expire_after is not None:
+        # The server's clock: no host's clock can make others' rows late.
+        keyed = keyed.withColumn("received_time", event_time(F.col("received_at")))
+        keyed = keyed.withWatermark("received_time", f"{int(grace * 1000)} milliseconds")
+    start = {"initialState": seeds.groupBy("inst")} if seeds is not None else {}
+    mode = "None" if expire_after is None else "EventTime"
+    return keyed.groupBy("inst").transformWithState(processor, STATE_OUTPUT, outputMode="Update", timeMode=mode, **start)
+
+
+def alert_state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream of alerts holds after its last trigger: one row per instance and rule."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "alerts").load()
+    rows = rows.select("key.inst", F.inline("value.entries"), F.col("value.received").alias("received"))
+    return rows.select(*[c.alias(n) for n, c in instance_parts().items()], *[c for c in rows.columns if c != "inst"])
+
+
+def follow_alerts(
+    samples: Callable[[], DataFrame],
+    rules: Callable[[], DataFrame],
+    folder: str,
+    checkpoint: str,
+    going_on: Callable[[], bool],
+    pause: float = 5.0,
+    **options: object,
+) -> None:
+    """Pass after pass over what has arrived, each with the rules as they are then, while ``going_on()``.
+
+    All passes share one checkpoint: state goes on, a new rule starts without state, a deleted one loses its own.
+    """
+    while going_on():
+        start_changes(stream_alerts(samples(), rules(), **options), folder, checkpoint).awaitTermination()
+        time.sleep(pause)
+
+
+def streamed_receipts(receipts: DataFrame, accepted: DataFrame, transitions: DataFrame) -> DataFrame:
+    """The receipts of the ingest stream with the alerts that each batch's accepted samples triggered.
+
+    A batch is answered when its alerts are evaluated: run it over batches that the alert stream has passed.
+    """
+    firing = [*INSTANCE, "triggered_at"]
+    fired = transitions.filter(F.col("transition") == "triggered").select(*firing)
+    marks = accepted.select("batch_id", "host", "pid", "create_time", F.col("timestamp").alias("triggered_at"))
+    counts = marks.join(fired, firing).groupBy("batch_id").agg(F.count("*").alias("fired"))
+    rows = receipts.drop("alerts_triggered").join(counts, "batch_id", "left")
+    return rows.withColumn("alerts_triggered", F.coalesce("fired", F.lit(0).cast("long"))).drop("fired")
 
 
 def stream_hosts(samples: DataFrame) -> DataFrame:
@@ -143,8 +211,13 @@ def stream_latest(samples: DataFrame) -> DataFrame:
     return samples.groupBy(instance_key().alias("inst")).agg(newest.alias("newest")).select("inst", "newest.row.*")
 
 
-def start_changes(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Writes the changed rows of every trigger to ``folder/epoch=<n>`` (safe to repeat) and stops."""
+def _trigger(every: str | None) -> dict:
+    """All that is there and then the end, or without end at an interval such as "10 seconds"."""
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
+def start_changes(stream: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes the changed rows of every trigger to ``folder/epoch=<n>`` (safe to repeat)."""
     def write(changes: DataFrame, number: int) -> None:
         changes.write.mode("overwrite").parquet(f"{folder}/epoch={number}")
 
@@ -152,7 +225,7 @@ def start_changes(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQ
         stream.writeStream.foreachBatch(write)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
@@ -163,7 +236,7 @@ def newest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_outbox(
-    transitions: DataFrame, rules: DataFrame, folder: str, checkpoint: str, **configured: bool
+    transitions: DataFrame, rules: DataFrame, folder: str, checkpoint: str, every: str | None = None, **configured: bool
 ) -> StreamingQuery:
     """Per trigger: first the transition log, then the messages of newly triggered alerts in order."""
     def write(changes: DataFrame, number: int) -> None:
@@ -177,6 +250,6 @@ def stream_outbox(
         transitions.writeStream.foreachBatch(write)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )

@@ -1,6 +1,6 @@
 import random
 
-from helpers import alert_tuples, frame_tuples, rules, samples, sequential
+from helpers import CREATED, alert_tuples, frame_tuples, rule, rules, sample, samples, sequential
 from hostlens.operators.alerts import alerts_from_transitions
 from hostlens.session import configure
 from hostlens.streaming import pipeline as st
@@ -59,3 +59,86 @@ def test_a_repeated_batch_leaves_the_table_as_it_is(spark, tmp_path):
     assert files() == known and st.read_table(spark, f"{table}/samples").count() == 3
     hosts = st.stream_hosts(st.read_table(spark, f"{table}/samples")).collect()
     assert [r.sample_count for r in hosts] == [3]
+
+
+def _stream_case(spark, tmp_path, batches, book, **options):
+    """Feeds the batches one trigger each; transitions and the state after every one."""
+    configure(spark, streaming=True)
+    table, changes, checkpoint = (str(tmp_path / n) for n in ("table", "changes", "checkpoint"))
+    held = []
+    for n, rows in enumerate(batches):
+        samples(spark, rows).selectExpr("'b' AS batch_id", "*").write.parquet(f"{table}/ingest_batch={n}/date=2023-11-14")
+        stream = st.stream_alerts(st.stream_table(spark, table), book, **options)
+        st.start_changes(stream, changes, checkpoint).awaitTermination()
+        held.append({(r.pid, r.rule_id) for r in st.alert_state_rows(spark, checkpoint).collect()})
+    moves = spark.read.parquet(changes).collect()
+    return held, sorted((r.pid, r.transition, r.seen_at - CREATED) for r in moves)
+
+
+def test_state_of_silent_instances_expires(spark, tmp_path):
+    """State goes when the horizon and the grace have passed; living instances keep theirs; off by default."""
+    hot = lambda n, pid, at: sample(n, pid=pid, cpu_percent=90.0, timestamp=CREATED + at)
+    batches = [
+        [hot(0, 1, 10), hot(1, 2, 10), hot(2, 3, 10)],
+        [hot(3, 2, 200), hot(4, 3, 230)],  # 1 is away for 220 s, less than horizon and grace
+        [hot(5, 2, 420), hot(6, 3, 330)],
+        [hot(7, 1, 450), hot(8, 3, 440)],  # 1 comes back and starts anew; 2 was away for 220 s within the rows
+    ]
+    book = rules(spark, rule())
+    held, moves = _stream_case(spark, tmp_path / "on", batches, book, expire_after=210.0, grace=50.0)
+    key = lambda *pids: {(p, "cpu-hot") for p in pids}
+    assert held == [key(1, 2, 3), key(1, 2, 3), key(2, 3), key(1, 2, 3)]
+    # A second match in a row fires: of 2 at 200 (190 s on), not at 420 (away for 220 s); of 3 not at 230; of 1 not at 450.
+    assert [m for m in moves if m[0] == 3] == [(3, "triggered", 330.0), (3, "updated", 440.0)]
+    assert [m for m in moves if m[0] != 3] == [(2, "triggered", 200.0)]
+    held, moves = _stream_case(spark, tmp_path / "off", batches, book)
+    assert held[-1] == key(1, 2, 3) and (1, "triggered", 450.0) in moves and (2, "updated", 420.0) in moves
+
+
+def test_a_restart_without_checkpoint_fires_nothing_twice(spark, tmp_path):
+    """Active alerts alone are enough as seeds: the next match updates them, a clear resolves them."""
+    book = rules(spark, rule(consecutive_samples=1))
+    active = spark.createDataFrame(
+        [("cpu-hot", "h1", 101, CREATED, CREATED + 5), ("gone", "h1", 101, CREATED, CREATED + 5), ("cpu-hot", "h1", 7, CREATED, CREATED + 6)],
+        "rule_id string, host string, pid long, create_time double, active_triggered_at double",
+    )
+    rows = [[sample(0, cpu_percent=90.0), sample(1, pid=8, cpu_percent=90.0)], [sample(2, cpu_percent=1.0, timestamp=CREATED + 20)]]
+    held, moves = _stream_case(spark, tmp_path, rows, book, seeds=st.alert_seeds(active))
+    assert moves == [(8, "triggered", 10.0), (101, "resolved", 20.0), (101, "updated", 10.0)]
+    assert held[-1] == {(101, "cpu-hot"), (7, "cpu-hot"), (8, "cpu-hot")}
+    fired = {(r.pid, r.triggered_at - CREATED) for r in spark.read.parquet(str(tmp_path / "changes")).collect()}
+    assert fired == {(8, 10.0), (101, 5.0)}
+
+
+def test_twenty_thousand_rules_and_a_new_one_between_passes(spark, tmp_path):
+    configure(spark, streaming=True)
+    table, changes, checkpoint = (str(tmp_path / n) for n in ("table", "changes", "checkpoint"))
+    many = [rule(rule_id=f"r{i}", threshold=float(i % 200), consecutive_samples=1) for i in range(20_000)]
+    books, passes = [rules(spark, *many), rules(spark, *many, rule(rule_id="new", threshold=1.0, consecutive_samples=1))], []
+
+    def going_on():
+        if len(passes) == 2:
+            return False
+        n = len(passes)
+        rows = [sample(n, cpu_percent=9.5, timestamp=CREATED + n)]
+        samples(spark, rows).selectExpr("'b' AS batch_id", "*").write.parquet(f"{table}/ingest_batch={n}/date=2023-11-14")
+        passes.append(n)
+        return True
+
+    st.follow_alerts(lambda: st.stream_table(spark, table), lambda: books[len(passes) - 1], changes, checkpoint, going_on, pause=0.0)
+    moves = spark.read.parquet(changes)
+    assert moves.filter("transition = 'triggered' and seen_at = 1.7e9").count() == 1_000
+    assert moves.filter("transition = 'updated'").count() == 1_000
+    assert [r.rule_id for r in moves.filter("transition = 'triggered' and seen_at > 1.7e9").collect()] == ["new"]
+
+
+def test_streamed_receipts_count_alerts(spark):
+    receipts = spark.createDataFrame([("a", "h1", 2, 0, 0), ("b", "h1", 1, 1, 0)], "batch_id string, host string, accepted long, duplicates long, alerts_triggered long")
+    accepted = samples(spark, [sample(0), sample(1, timestamp=CREATED + 11), sample(2, timestamp=CREATED + 12)])
+    accepted = accepted.selectExpr("CASE WHEN seq < 2 THEN 'a' ELSE 'b' END AS batch_id", "*")
+    moves = spark.createDataFrame(
+        [(f"r{i}", "h1", 101, CREATED, CREATED + at, kind) for i, (at, kind) in enumerate([(10, "triggered"), (11, "triggered"), (10, "updated")])],
+        "rule_id string, host string, pid long, create_time double, triggered_at double, transition string",
+    )
+    rows = {r.batch_id: r.alerts_triggered for r in st.streamed_receipts(receipts, accepted, moves).collect()}
+    assert rows == {"a": 2, "b": 0}
