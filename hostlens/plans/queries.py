@@ -208,6 +208,59 @@ def envelope_ingest(spark, folder):
     return envelope_samples(read_envelopes(spark, path, replay=True)).drop("batch_id")
 
 
+def _unstamped(spark, folder, follow=None) -> Replay:
+    """The feed through the ingest stream without replay fields: order comes from files, lines and triggers alone."""
+    return replay(spark, folder, follow, stamped=False)
+
+
+@query
+def envelope_alerts(spark, folder):
+    samples = _unstamped(spark, folder).samples
+    return al.evaluate_alerts(samples, fd.rules(spark), SLICE)
+
+
+@query
+def envelope_transitions(spark, folder):
+    rules = fd.rules(spark)
+    run = _unstamped(spark, folder, lambda s, r: st.start_changes(st.stream_alerts(s, rules), r.changes, r.checkpoint))
+    return spark.read.parquet(run.changes).drop("epoch")
+
+
+@query
+def arrival_numbers(spark, folder):
+    """Numbers of three triggers' samples: as many as samples were sent, without repeats, rising in each host's order."""
+    rows = _unstamped(spark, folder).samples
+    return rows.groupBy("host").agg(
+        F.count("*").alias("accepted"), F.countDistinct("seq").alias("numbers"), F.countDistinct("ingest_batch").alias("triggers")
+    )
+
+
+@query
+def typed_envelopes(spark, folder):
+    """Envelopes of one sample each whose values are written in every JSON type: why each is turned away."""
+    lines = _mistyped(fd.feed(spark, folder))
+    path = work_folder(spark, "typed")
+    lines.select("value").write.text(path)
+    rows = read_envelopes(spark, path).withColumn("event", F.regexp_extract("value", '"event": (-?[0-9]+)', 1).cast("long"))
+    return rows.select("event", "reason", F.array_join(F.array_sort(F.flatten("samples.errors")), ",").alias("errors"))
+
+
+def _mistyped(raw: DataFrame) -> DataFrame:
+    kind = F.pmod("seq", F.lit(16))
+
+    def odd(number: int, text: str, value: Column) -> Column:
+        return F.when(kind == number, F.lit(text)).otherwise(value)
+
+    quoted = F.concat(F.lit('"'), F.col("process_name"), F.lit('"'))
+    pid = odd(0, "7.5", odd(1, '"7"', odd(2, "true", odd(3, '"7.0"', odd(4, '"7e0"', odd(5, "[7]", odd(15, "4294967296", F.col("pid").cast("string"))))))))
+    name = odd(6, "12", odd(7, '{"a": 1}', odd(8, "null", odd(9, '" spaced "', quoted))))
+    cpu = odd(10, "NaN", odd(11, '"1e1"', odd(12, "null", odd(13, '"12d"', F.lit("1.5")))))
+    host = odd(14, "12", F.lit('"h"'))
+    body = ['{"event": ', F.col("seq").cast("string"), ', "host": ', host, ', "samples": [{"pid": ', pid, ', "process_name": ', name, ', "cpu_percent": ', cpu,
+            ', "create_time": 1, "timestamp": 2.5, "memory_percent": 3, "memory_rss": 4, "read_bytes": 5.0, "write_bytes": "6"}]}']
+    return raw.withColumn("value", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in body]))
+
+
 def _spooled(spark, folder, keep: int) -> DataFrame:
     """Spool files, one per host, each in arrival order; every seventh line is torn."""
     path = work_folder(spark, "spool")

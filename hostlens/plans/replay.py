@@ -52,9 +52,13 @@ def replay(
     folder: str,
     follow: Callable[[DataFrame, Replay], StreamingQuery] | None = None,
     slices: int = SLICES,
+    stamped: bool = True,
 ) -> Replay:
     """Feeds receipt-time slices one after another into the ingest stream; after each, runs ``follow``
-    on the stream of accepted samples up to the end of what is there."""
+    on the stream of accepted samples up to the end of what is there.
+
+    Without ``stamped`` receipt times and numbers of the feed do not count: a host's lines stand in one file in order.
+    """
     configure(spark, streaming=True)
     run = Replay(spark, work_folder(spark, "replay"))
     raw = feed.feed(spark, folder)
@@ -62,9 +66,11 @@ def replay(
     # The first and the last slice are open: rows outside the span are replayed too.
     number = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor((F.col("received_at") - feed.BASE) / F.lit(width))))
     for index in range(slices):
-        lines = envelopes(raw.filter(number == index)).select("value")
-        lines.write.text(f"{run.root}/incoming/slice={index}")
-        stream_ingest(spark, f"{run.root}/incoming", run.table, f"{run.root}/checkpoint-ingest", max_files=10_000, replay=True).awaitTermination()
+        lines = envelopes(raw.filter(number == index))
+        if not stamped:
+            lines = lines.withColumn("host", F.get_json_object("value", "$.host")).repartition("host").sortWithinPartitions("host", "chunk")
+        lines.select("value").write.text(f"{run.root}/incoming/slice={index}")
+        stream_ingest(spark, f"{run.root}/incoming", run.table, f"{run.root}/checkpoint-ingest", max_files=10_000, replay=stamped).awaitTermination()
         if follow is not None:
             follow(stream_table(spark, f"{run.table}/samples"), run).awaitTermination()
     return run

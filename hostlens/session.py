@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Of a key given twice in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Alert and incident stages do much work per byte: small partitions are worth a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Aggregations over rows that a window left sorted need no hash table.

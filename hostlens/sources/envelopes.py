@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.functions.checks import stripped
+from hostlens.functions.checks import errors_of, stripped
 from hostlens.operators.ingest import batch_verdict
-from hostlens.operators.validate import SAMPLE_FIELDS, clean_fields, field_errors, valid_host
+from hostlens.operators.validate import SAMPLE_FIELDS, field_errors, valid_host, whole_number
 
 # Older field names that are still read.
 SAMPLE_ALIASES = {"process_name": "name", "username": "user"}
@@ -17,93 +21,136 @@ BODY_NAMES = ["samples", "processes", "metrics"]
 # for a replay; an agent's payload cannot set the server's clock or order.
 REPLAY_FIELDS = {"received_at": "double", "seq": "bigint"}
 
-_TEXT_FIELDS = [*SAMPLE_FIELDS, *SAMPLE_ALIASES.values(), *REPLAY_FIELDS]
-_TEXT_SCHEMA = ", ".join(f"{name} string" for name in _TEXT_FIELDS)
+# Where a line stands: its file by age and name, and the block of the file; lines of a block are read in order.
+_FROM_FILE = {"modified": "timestamp", "file": "string", "block": "bigint"}
+PLACE = [*_FROM_FILE, "part"]
 
+# How whole numbers and numbers may be written as texts.
+_WHOLE, _NUMBER = r"^[+-]?[0-9]+(\.0*)?$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_WHOLE_FIELDS = ["pid", "memory_rss", "read_bytes", "write_bytes"]
+_NUMBER_FIELDS = ["create_time", "timestamp", "cpu_percent", "memory_percent"]
+_NULLABLE = ["username", "cpu_percent"]
 
-def resolve_aliases(lines: DataFrame) -> DataFrame:
-    """JSON lines (column ``value``) to ``host`` and ``body``; an alias counts only if the name itself is absent."""
-    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
 
-    def first_present(names: list[str]) -> Column:
-        found = F.lit(None).cast("string")
-        for name in reversed(names):
-            found = F.when(F.array_contains(keys, name), F.get_json_object("value", f"$.{name}")).otherwise(found)
-        return found
+def _member(value: Column | str, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
 
-    return lines.withColumns({"host": first_present(["host", HOST_ALIAS]), "body": first_present(BODY_NAMES)})
 
+def _first_given(value: Column | str, names: list[str]) -> Column:
+    """The first of the names that is present, be it null: an alias counts only if the name itself is absent."""
+    return F.coalesce(*[_member(value, name) for name in names])
 
-def _texts(item: Column) -> Column:
-    """The fields of one sample object as texts, with the names present in it."""
-    keys = F.coalesce(F.json_object_keys(item), F.array().cast("array<string>"))
-    return F.struct(F.from_json(item, _TEXT_SCHEMA).alias("texts"), keys.alias("keys"))
 
+class _Field:
+    """One JSON value with its type: absent and null are different things."""
 
-def _typed(item: Column, replay: bool) -> Column:
-    texts, keys = item["texts"], item["keys"]
+    def __init__(self, value: Column):
+        self.kind = F.schema_of_variant(value)
+        self.text = F.try_variant_get(value, "$", "string")
+        self.absent = value.isNull()
+        self.null = F.coalesce(self.kind == "VOID", F.lit(True))
 
-    def absent(name: str) -> Column:
-        return ~F.array_contains(keys, name)
+    def string(self) -> Column:
+        return F.when(self.kind == "STRING", self.text)
 
-    def raw(name: str) -> Column:
-        if name in SAMPLE_ALIASES:
-            return F.when(absent(name), texts[SAMPLE_ALIASES[name]]).otherwise(texts[name])
-        return texts[name]
+    def _from_text(self, pattern: str) -> Column:
+        text = stripped(self.text)
+        number = (self.kind == "BIGINT") | (self.kind == "DOUBLE") | self.kind.startswith("DECIMAL")
+        truth = F.when(self.text == "true", "1").otherwise("0")
+        return F.when(number, self.text).when(self.kind == "BOOLEAN", truth).when((self.kind == "STRING") & text.rlike(pattern), text)
 
-    given = [(texts[n] if replay else F.lit(None)).try_cast(kind).alias(n) for n, kind in REPLAY_FIELDS.items()]
-    return F.struct(*[c.alias(n) for n, c in clean_fields(raw, absent).items()], *given)
+    def whole(self) -> Column:
+        return whole_number(self._from_text(_WHOLE))
+
+    def number(self) -> Column:
+        return self._from_text(_NUMBER).try_cast("double")
+
+
+def _typed(item: Column, replay: bool) -> Column:
+    """The fields of one sample object, typed as JSON gives them; ``unreadable`` names those of a wrong type."""
+    fields = {n: _Field(_first_given(item, [n, *[a for name, a in SAMPLE_ALIASES.items() if name == n]])) for n in SAMPLE_FIELDS}
+    values = {
+        n: f.whole() if n in _WHOLE_FIELDS else f.number() if n in _NUMBER_FIELDS else stripped(f.string()) for n, f in fields.items()
+    }
+    values["state"] = F.when(fields["state"].absent, "running").otherwise(values["state"])
+    values["cpu_given"] = ~fields["cpu_percent"].null
+    unreadable = errors_of({n: f.null | values[n].isNotNull() if n in _NULLABLE else values[n].isNotNull() for n, f in fields.items()})
+    given = [(_member(item, n, kind) if replay else F.lit(None).cast(kind)).alias(n) for n, kind in REPLAY_FIELDS.items()]
+    return F.struct(*[c.alias(n) for n, c in values.items()], *given, unreadable.alias("unreadable"))
 
 
 def _checked(item: Column) -> Column:
-    return F.struct(item.alias("sample"), field_errors(lambda name: item[name]).alias("errors"))
+    broken = F.array_union(field_errors(lambda name: item[name]), item["unreadable"])
+    return F.struct(item.alias("sample"), broken.alias("errors"))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines of files with their place."""
+    meta = F.col("_metadata")
+    places = [meta.file_modification_time.alias("modified"), meta.file_path.alias("file"), meta.file_block_start.alias("block")]
+    return lines.select("value", *places)
 
 
 def parse_envelopes(lines: DataFrame, max_samples: int = 500, replay: bool = False) -> DataFrame:
     """One row per envelope with its parsed samples and, if it is turned away, the ``reason``.
 
-    A batch is judged inside its own row, so admission needs no shuffle. ``batch_id`` is
-    the digest of the text: a retried payload is the same batch. ``line`` grows with the envelope's
-    place in its file.
+    A batch is judged inside its own row, so admission needs no shuffle. ``batch_id`` is the digest of the text: a
+    retried payload is the same batch. ``line`` grows with the envelope's place in its block of the file. Types are those of
+    the JSON text: a number is no name, an object no number; numerals in quotes are numbers, as are true and false.
+    Text that is not one JSON object (also with NaN in it, or more text behind it) is an invalid batch.
     """
-    lines = lines.withColumn("line", F.monotonically_increasing_id())
+    lines = lines.withColumns({n: F.lit(None).cast(kind) for n, kind in _FROM_FILE.items() if n not in lines.columns})
+    # The upper half of the line number tells partitions apart, for lines without a place.
+    rows = lines.withColumns({"line": F.monotonically_increasing_id(), "json": F.when(F.col("value").rlike(r"\}\s*$"), F.try_parse_json("value"))})
+    rows = rows.withColumn("part", F.shiftright("line", 33).cast("int"))
     # Each step reads the one before once, so a sample is parsed and typed a single time.
-    no_items = F.array().cast("array<string>")
-    rows = resolve_aliases(lines).select(
-        "line", "value", stripped(F.col("host")).alias("host"), F.coalesce(F.from_json("body", "array<string>"), no_items).alias("items")
-    )
-    rows = rows.withColumn("samples", F.transform("items", _texts))
-    rows = rows.withColumn("samples", F.transform("samples", lambda item: _typed(item, replay)))
+    rows = rows.withColumn("host", stripped(_Field(_first_given("json", ["host", HOST_ALIAS])).string()))
+    no_items = F.array().cast("array<variant>")
+    rows = rows.withColumn("items", F.coalesce(F.try_variant_get(_first_given("json", BODY_NAMES), "$", "array<variant>"), no_items))
+    rows = rows.withColumn("samples", F.transform("items", lambda item: _typed(item, replay)))
     rows = rows.withColumn("samples", F.transform("samples", _checked)).withColumn("batch_id", F.sha2("value", 256))
     all_valid = F.forall("samples", lambda s: F.size(s["errors"]) == 0) & valid_host(F.col("host"))
     reason = batch_verdict(F.size("samples"), all_valid, max_samples)
-    return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value", "line")
+    return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value", *PLACE, "line")
+
+
+def admitted(envelopes: DataFrame) -> DataFrame:
+    return envelopes.filter(F.col("reason").isNull())
 
 
-def envelope_samples(envelopes: DataFrame) -> DataFrame:
-    """One row per sample of the admitted envelopes, with its batch and arrival order."""
+def envelope_samples(envelopes: DataFrame, offset: int = 0) -> DataFrame:
+    """One row per sample of the admitted envelopes, with its batch and arrival number.
+
+    Numbers go on from ``offset`` without gaps: files by age, blocks and lines of a file in their order, samples of an
+    envelope in theirs. Each block is numbered by itself and shifted by the samples of the blocks before it.
+    """
     now = F.unix_micros(F.current_timestamp()) / F.lit(1e6)
-    rows = envelopes.filter(F.col("reason").isNull()).select(
-        "batch_id", "host", "line", F.posexplode("samples.sample").alias("position", "sample")
-    )
+    taken = admitted(envelopes).withColumn("size", F.size("samples"))
+    blocks = taken.groupBy(*PLACE).agg(F.sum("size").alias("all"))
+    earlier = W.orderBy(*PLACE).rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select(*[F.col(n).alias(f"at_{n}") for n in PLACE], F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("start"))
+    in_block = W.partitionBy(*PLACE).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    rows = taken.withColumn("before", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
+    rows = rows.join(starts, reduce(and_, [F.col(n).eqNullSafe(F.col(f"at_{n}")) for n in PLACE]))
+    number = F.lit(offset).cast("bigint") + F.col("start") + F.col("before")
+    rows = rows.select("batch_id", "host", number.alias("number"), F.posexplode("samples.sample").alias("position", "sample"))
     return rows.select(
         "batch_id",
         "host",
         *[F.col(f"sample.{n}").alias(n) for n in SAMPLE_FIELDS if n != "state"],
         F.coalesce(F.nullif(F.col("sample.state"), F.lit("")), F.lit("running")).alias("state"),
         F.coalesce("sample.received_at", now).alias("received_at"),
-        # Envelopes after one another, samples in their order: a batch has at most 10,000.
-        F.coalesce("sample.seq", F.col("line") * 16384 + F.col("position")).alias("seq"),
+        F.coalesce("sample.seq", F.col("number") + F.col("position")).alias("seq"),
     )
 
 
 def read_envelopes(spark: SparkSession, path: str, max_samples: int = 500, replay: bool = False) -> DataFrame:
-    return parse_envelopes(spark.read.text(path), max_samples, replay)
+    return parse_envelopes(_placed(spark.read.text(path)), max_samples, replay)
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """Envelope lines as a stream; they are parsed trigger by trigger, where a line's place is known."""
-    return spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path)
+    """Envelope lines and their places as a stream; they are parsed trigger by trigger."""
+    return _placed(spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path))
 
 
 def to_envelopes(samples: DataFrame, group: list[str]) -> DataFrame:

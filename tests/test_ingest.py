@@ -193,3 +193,83 @@ def test_payload_cannot_set_clock_or_order(spark, tmp_path):
     assert len({r.seq for r in rows}) == 4 and all(r.received_at > 1.7e9 and r.received_at < 1e11 for r in rows)
     again = en.envelope_samples(en.read_envelopes(spark, str(tmp_path), replay=True)).collect()
     assert {r.seq for r in again} == {10**12, -4}
+
+
+def _verdicts(spark, cases):
+    """Why envelopes with these values are turned away: reason and the names of bad fields."""
+    lines = [{"n": n, "host": c.get("host", "h"), "samples": [entry(**{k: v for k, v in c.items() if k != "host"})]} for n, c in enumerate(cases)]
+    rows = {json.loads(r.value)["n"]: r for r in parsed(spark, *lines).collect()}
+    return [(rows[n].reason, sorted(rows[n].samples[0].errors)) for n in range(len(cases))]
+
+
+def test_types_of_json_values_decide(spark):
+    good = [
+        {"pid": "7"}, {"pid": " 7 "}, {"pid": 7.0}, {"pid": True}, {"pid": "7.00"}, {"cpu_percent": "12.5"}, {"cpu_percent": False},
+        {"cpu_percent": None}, {"username": None}, {"timestamp": "1e3"}, {"timestamp": ".5"}, {"memory_rss": 2**63 - 1}, {"process_name": " x "},
+        {"process_name": "7"}, {"host": " h "}, {"host": "12"}, {"extra": {"a": [1]}}, {"state": "absent"}, {"cpu_percent": "absent"},
+    ]
+    bad = {
+        "pid": [7.5, "7.5", "7e0", "x", None, [7], {"a": 1}, -1, "absent", "0x1", 2**32, ""],
+        "process_name": [7, 7.5, True, None, ["x"], {"a": "x"}, "", " ", "a\u0007b", "absent", "x" * 513],
+        "username": [7, False, ["u"], "u" * 513], "state": [None, 1, "s" * 33],
+        "cpu_percent": ["", "12d", "1f", "NaN", "Infinity", -1, [1], 1001, "0x10"], "timestamp": [0, None, {"a": 1}, "absent", 5e9],
+        "memory_rss": [2**63, 1.5, "1e3", None], "memory_percent": [100.5, "much", None],
+    }
+    assert _verdicts(spark, good) == [(None, [])] * len(good)
+    cases = [{name: value} for name, values in bad.items() for value in values]
+    assert list(zip(cases, _verdicts(spark, cases))) == [(c, ("invalid", list(c))) for c in cases]
+    hosts = [{"host": h} for h in (5, None, True, ["h"], {"a": 1}, "", "  ", "a\u0001")]
+    assert _verdicts(spark, hosts) == [("invalid", [])] * len(hosts)
+
+
+def test_odd_json_texts(spark):
+    body = json.dumps(entry())
+    lines = {
+        '{"host": "h", "samples": [%s, 5]}' % body: "invalid", '{"host": "h", "samples": [null]}': "invalid", '{"host": "h", "samples": {"a": 1}}': "invalid",
+        '{"host": "h", "samples": [%s]} trailing' % body: "invalid", '[{"host": "h"}]': "invalid", '"text"': "invalid", "": "invalid", "null": "invalid",
+        '{"host": "h", "samples": null, "processes": [%s]}' % body: "invalid", '{"host": null, "hostname": "h", "samples": [%s]}' % body: "invalid",
+        '{"host": 1, "host": "h", "samples": [%s]}' % body: None, '{"host": "h", "samples": [%s]}' % body.replace('"pid": 1', '"pid": NaN'): "invalid",
+    }
+    assert {r.value: r.reason for r in parsed(spark, *lines).collect()} == lines
+
+
+def test_arrival_numbers_follow_files_blocks_and_lines(spark, tmp_path):
+    import os
+
+    def line(file, n):
+        return json.dumps({"host": "h", "samples": [entry(process_name=f"{file}-{n}-{i}", create_time=n + 1) for i in range(3)]})
+
+    names = ["late", "early", "middle"]
+    for name in names:
+        (tmp_path / name).write_text("\n".join([*(line(name, n) for n in range(40)), "{torn"]) + "\n")
+    for age, name in enumerate(["early", "middle", "late"]):
+        os.utime(tmp_path / name, (1_700_000_000 + age, 1_700_000_000 + age))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        envelopes = en.read_envelopes(spark, str(tmp_path))
+        assert envelopes.select("file", "block").distinct().count() > 3
+        rows = en.envelope_samples(envelopes, 100).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.process_name for r in rows] == [f"{f}-{n}-{i}" for f in ("early", "middle", "late") for n in range(40) for i in range(3)]
+    assert [r.seq for r in rows] == list(range(100, 100 + len(rows)))
+
+
+def test_arrival_numbers_go_on_over_triggers(spark, tmp_path):
+    from hostlens.session import configure
+    from hostlens.streaming import pipeline as st
+
+    configure(spark, streaming=True)
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    os_path = tmp_path / "in"
+    os_path.mkdir()
+    for n in range(3):
+        bodies = [] if n == 1 else [entry(process_name=f"{n}-{i}", timestamp=20 + n if i else 20) for i in range(2)]
+        (os_path / f"{n}.jsonl").write_text(json.dumps({"host": "h", "samples": bodies}) + "\n")
+        st.stream_ingest(spark, source, table, checkpoint).awaitTermination()
+    rows = st.read_table(spark, f"{table}/samples").orderBy("seq").collect()
+    # The copy within the second file keeps its number to itself; the empty batch has none.
+    assert [(r.process_name, r.seq) for r in rows] == [("0-0", 0), ("2-1", 3)]
+    order = {r.ingest_batch: r.next for r in spark.read.parquet(f"{table}/order").collect()}
+    assert order == {0: 2, 1: 2, 2: 4}
