@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.functions.checks import errors_of, stripped
+from hostlens.functions.checks import stripped
 from hostlens.operators.ingest import batch_verdict
 from hostlens.operators.validate import SAMPLE_FIELDS, field_errors, valid_host, whole_number
+from hostlens.schemas import MAX_BATCH
 
 # Older field names that are still read.
 SAMPLE_ALIASES = {"process_name": "name", "username": "user"}
@@ -41,14 +42,29 @@ def _first_given(value: Column | str, names: list[str]) -> Column:
     return F.coalesce(*[_member(value, name) for name in names])
 
 
+def _read(value: Column) -> Column:
+    """A JSON value as its text and its type."""
+    return F.struct(F.try_variant_get(value, "$", "string").alias("text"), F.schema_of_variant(value).alias("kind"))
+
+
+def _members(item: Column, replay: bool) -> Column:
+    given = [n for n in SAMPLE_FIELDS if n not in SAMPLE_ALIASES]
+    renamed = [_first_given(item, [n, old]).alias(n) for n, old in SAMPLE_ALIASES.items()]
+    stamps = [(_member(item, n, kind) if replay else F.lit(None).cast(kind)).alias(n) for n, kind in REPLAY_FIELDS.items()]
+    return F.struct(*[_member(item, n).alias(n) for n in given], *renamed, *stamps)
+
+
+def _texts(members: Column) -> Column:
+    return F.struct(*[_read(members[n]).alias(n) for n in SAMPLE_FIELDS], *[members[n].alias(n) for n in REPLAY_FIELDS])
+
+
 class _Field:
-    """One JSON value with its type: absent and null are different things."""
+    """One JSON value that was read: absent and null are different things."""
 
-    def __init__(self, value: Column):
-        self.kind = F.schema_of_variant(value)
-        self.text = F.try_variant_get(value, "$", "string")
-        self.absent = value.isNull()
-        self.null = F.coalesce(self.kind == "VOID", F.lit(True))
+    def __init__(self, read: Column):
+        self.kind, self.text = read["kind"], read["text"]
+        self.absent = self.kind.isNull()
+        self.null = self.absent | (self.kind == "VOID")
 
     def string(self) -> Column:
         return F.when(self.kind == "STRING", self.text)
@@ -66,17 +82,18 @@ class _Field:
         return self._from_text(_NUMBER).try_cast("double")
 
 
-def _typed(item: Column, replay: bool) -> Column:
+def _typed(texts: Column) -> Column:
     """The fields of one sample object, typed as JSON gives them; ``unreadable`` names those of a wrong type."""
-    fields = {n: _Field(_first_given(item, [n, *[a for name, a in SAMPLE_ALIASES.items() if name == n]])) for n in SAMPLE_FIELDS}
+    fields = {n: _Field(texts[n]) for n in SAMPLE_FIELDS}
     values = {
         n: f.whole() if n in _WHOLE_FIELDS else f.number() if n in _NUMBER_FIELDS else stripped(f.string()) for n, f in fields.items()
     }
     values["state"] = F.when(fields["state"].absent, "running").otherwise(values["state"])
     values["cpu_given"] = ~fields["cpu_percent"].null
-    unreadable = errors_of({n: f.null | values[n].isNotNull() if n in _NULLABLE else values[n].isNotNull() for n, f in fields.items()})
-    given = [(_member(item, n, kind) if replay else F.lit(None).cast(kind)).alias(n) for n, kind in REPLAY_FIELDS.items()]
-    return F.struct(*[c.alias(n) for n, c in values.items()], *given, unreadable.alias("unreadable"))
+    # Of the other fields a null already breaks a rule.
+    mistyped = [F.when(~fields[n].null & values[n].isNull(), F.lit(n)) for n in _NULLABLE]
+    stamps = [texts[n].alias(n) for n in REPLAY_FIELDS]
+    return F.struct(*[c.alias(n) for n, c in values.items()], *stamps, F.array_compact(F.array(*mistyped)).alias("unreadable"))
 
 
 def _checked(item: Column) -> Column:
@@ -104,35 +121,44 @@ def parse_envelopes(lines: DataFrame, max_samples: int = 500, replay: bool = Fal
     rows = lines.withColumns({"line": F.monotonically_increasing_id(), "json": F.when(F.col("value").rlike(r"\}\s*$"), F.try_parse_json("value"))})
     rows = rows.withColumn("part", F.shiftright("line", 33).cast("int"))
     # Each step reads the one before once, so a sample is parsed and typed a single time.
-    rows = rows.withColumn("host", stripped(_Field(_first_given("json", ["host", HOST_ALIAS])).string()))
+    rows = rows.withColumn("host", _read(_first_given("json", ["host", HOST_ALIAS])))
+    rows = rows.withColumn("host", stripped(_Field(F.col("host")).string()))
     no_items = F.array().cast("array<variant>")
     rows = rows.withColumn("items", F.coalesce(F.try_variant_get(_first_given("json", BODY_NAMES), "$", "array<variant>"), no_items))
-    rows = rows.withColumn("samples", F.transform("items", lambda item: _typed(item, replay)))
+    rows = rows.withColumn("samples", F.transform("items", lambda item: _members(item, replay)))
+    rows = rows.withColumn("samples", F.transform("samples", _texts)).withColumn("samples", F.transform("samples", _typed))
     rows = rows.withColumn("samples", F.transform("samples", _checked)).withColumn("batch_id", F.sha2("value", 256))
     all_valid = F.forall("samples", lambda s: F.size(s["errors"]) == 0) & valid_host(F.col("host"))
     reason = batch_verdict(F.size("samples"), all_valid, max_samples)
     return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value", *PLACE, "line")
 
 
-def admitted(envelopes: DataFrame) -> DataFrame:
-    return envelopes.filter(F.col("reason").isNull())
+def _blocks(envelopes: DataFrame) -> DataFrame:
+    """Per block its first line and its number of lines; only places are read for it."""
+    first, last = F.min("line"), F.max("line")
+    return envelopes.groupBy(*PLACE).agg(first.alias("first"), (last - first + 1).alias("lines"))
+
+
+def next_number(envelopes: DataFrame, offset: int = 0) -> DataFrame:
+    """Where the numbers of the envelopes that come after these begin."""
+    lines = F.coalesce(F.sum("lines"), F.lit(0))
+    return _blocks(envelopes).agg((lines * MAX_BATCH + F.lit(offset)).cast("bigint").alias("next"))
 
 
 def envelope_samples(envelopes: DataFrame, offset: int = 0) -> DataFrame:
     """One row per sample of the admitted envelopes, with its batch and arrival number.
 
-    Numbers go on from ``offset`` without gaps: files by age, blocks and lines of a file in their order, samples of an
-    envelope in theirs. Each block is numbered by itself and shifted by the samples of the blocks before it.
+    Numbers rise from ``offset``: files by age, blocks and lines of a file in their order, samples of an envelope in theirs.
+    Every line has room for the largest batch. What is summed up over all lines is one row per block of a file.
     """
     now = F.unix_micros(F.current_timestamp()) / F.lit(1e6)
-    taken = admitted(envelopes).withColumn("size", F.size("samples"))
-    blocks = taken.groupBy(*PLACE).agg(F.sum("size").alias("all"))
     earlier = W.orderBy(*PLACE).rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select(*[F.col(n).alias(f"at_{n}") for n in PLACE], F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("start"))
-    in_block = W.partitionBy(*PLACE).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    rows = taken.withColumn("before", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
+    starts = _blocks(envelopes).select(
+        *[F.col(n).alias(f"at_{n}") for n in PLACE], "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start")
+    )
+    rows = envelopes.filter(F.col("reason").isNull())
     rows = rows.join(starts, reduce(and_, [F.col(n).eqNullSafe(F.col(f"at_{n}")) for n in PLACE]))
-    number = F.lit(offset).cast("bigint") + F.col("start") + F.col("before")
+    number = (F.col("start") + F.col("line") - F.col("first")) * MAX_BATCH + F.lit(offset)
     rows = rows.select("batch_id", "host", number.alias("number"), F.posexplode("samples.sample").alias("position", "sample"))
     return rows.select(
         "batch_id",

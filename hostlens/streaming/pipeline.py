@@ -20,7 +20,7 @@ from hostlens.operators.ingest import accept_samples, ingest_receipts, write_sam
 from hostlens.operators.keys import first_per_key, instance_key, instance_parts
 from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, INSTANCE, SAMPLE
-from hostlens.sources.envelopes import admitted, envelope_samples, parse_envelopes, stream_lines
+from hostlens.sources.envelopes import envelope_samples, next_number, parse_envelopes, stream_lines
 from hostlens.sources.stored import LOG_SCHEMA, read_current
 from hostlens.streaming.alerting import RULE_FIELDS, STATE_OUTPUT, AlertProcessor
 
@@ -59,8 +59,7 @@ def _ingest_batch(table: str, max_samples: int, replay: bool):
         try:
             order = f"{table}/order/ingest_batch="
             offset = spark.read.parquet(f"{order}{number - 1}").first().next if number else 0
-            count = admitted(envelopes).agg((F.coalesce(F.sum(F.size("samples")), F.lit(0)) + offset).alias("next"))
-            _write_once(count, f"{order}{number}", _as_parquet)
+            _write_once(next_number(envelopes, offset), f"{order}{number}", _as_parquet)
             new = envelope_samples(envelopes, offset)
             stored = None
             if number > 0:
