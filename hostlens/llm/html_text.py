@@ -1,19 +1,20 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block element. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and comments become blank. They are known by their element or by class, id or role, by
-such a name only if they do not hold most of the page's text. Scripts, styles and embedded parts (drawings,
+notices, adverts, forms and comments become blank. They are known by their element or by class, id or role, an
+`article` too. Only where nothing stands outside the parts known by name, those that hold most of the text stay. Scripts, styles and embedded parts (drawings,
 frames, option lists) leave no line; formulas are text. A line weighs its length without link texts. Over sliding
 windows of `WINDOW` lines the weights are summed: text surges where a window passes `SURGE` and dives where the
 next windows are empty. The lines between surge and dive are kept, all of them, short ones too, with the lines
 that adjoin the surge (title, byline) and the lines of links that stand in the text's own container. A part left
 out is a gap of as many blank lines as a window has, unless text goes on after it in the same container.
 
-A page that marks its article or main part says where text is: outside it lines are blank, inside it every
-line is text, and what is left out there causes no dive. If no window surges, the run of lines with the most text is kept.
+A page that marks its main part, or else its articles, says where text is: outside it lines are blank. If no window surges,
+the run of lines with the most text is kept.
 
 Defined cases: null counts as empty; empty html, or html without text, gives an empty text; unclosed elements
-end with their parent; text without any markup is one block. Repeated rows are handled each for itself.
+end with their parent; text without any markup is one block. Repeated rows are handled each for itself, there are no ties;
+an empty table gives an empty table; a page may be as long as a row may be. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +61,6 @@ _BLOCKS = frozenset(
 #: What the next element of that name does not reach through.
 _ENDS = {n: _EMBEDDED | (_BLOCKS - {"p"} if n == "p" else {"table"} if n == "tr" else {"ul", "ol", "table", "dl", "tr"}) for n in ("p", "li", "tr", "td", "th", "dt", "dd")}
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_MAIN = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("articlebody main".split())
 #: A name ends with the word for what it names ('main-menu', 'cookie-banner') or begins with it and
 #: ends with one of these ('comment-list'). Any other name only speaks of such a part ('no-sidebar', 'comments-open').
@@ -69,6 +69,7 @@ _HOLDERS = frozenset(
     " links list message mobile panel placeholder popup primary right row secondary section slot text top unit widget wrap wrapper zone".split()
 )
 #: Before such a word a name says how the page is laid out or what state it is in.
+_TERMS = frozenset("category cat tag type format status term".split())  # of a post: these say what it is about
 _STATES = frozenset("no has have with without is not non hide hidden hides show shows toggle disable disabled enable enabled allow layout".split())
 #: These are no parts; the ids of texts are made from what they say.
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -87,7 +88,7 @@ class Line(NamedTuple):
 
     text: str
     weight: int
-    inside: bool  # of the marked main part
+    inside: int  # of a marked article (1), of the marked main part (2)
     out: bool
     chain: tuple[int, ...]
     heading: bool = False
@@ -97,7 +98,7 @@ class Line(NamedTuple):
 def _names_part(value: str) -> bool:
     """Whether one class, id or role names a part that is left out."""
     parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w and not w.isdigit()]
-    if not 0 < len(parts) <= 3 or not _STATES.isdisjoint(parts):
+    if not 0 < len(parts) <= 3 or not _STATES.isdisjoint(parts) or parts[0] in _TERMS:
         return False
     return parts[-1] in _OUT_WORDS or (len(parts) > 1 and parts[-1] in _HOLDERS and not _OUT_WORDS.isdisjoint(parts[:-1]))
 
@@ -114,7 +115,8 @@ def _named(name: str, attributes: str) -> tuple[bool, bool]:
             continue
         for one in [value] if key == "aria-label" else value.split():
             main = main or (key != "aria-label" and one.lower() in _MAIN_WORDS)
-            left = left or _names_part(one)
+            # An article's class may end with any word ('weather-notice'); one that begins with it is such a part.
+            left = left or (_names_part(one) and (name != "article" or re.split(r"[^a-z]", one.lower())[0] in _OUT_WORDS))
     return main and not left, left
 
 
@@ -122,10 +124,13 @@ def lines(page: str) -> list[Line]:
     """The page's lines, with a blank for each part left out."""
     tokens = list(_TOKENS.finditer(page))
     unclosed = _unclosed(tokens)
-    # Names are only a hint: first all parts are read, then those that do not hold most of the text are left out.
+    # Names are only a hint: first all parts are read, then they are left out if there is text outside them.
     found, named = _read(page, tokens, unclosed, None)
     if not named:
         return found
+    without = _read(page, tokens, unclosed, set(named))[0]
+    if any(line.weight for line in without):
+        return without
     whole = sum(line.weight for line in found)
     return _read(page, tokens, unclosed, {at for at, weight in named.items() if 2 * weight <= whole})[0]
 
@@ -138,7 +143,10 @@ def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[
     held: list[str] = []
     linked = 0
     # name, left out, main, link, where it begins if it is weighed, and if it is a container
-    open_: list[tuple[str, bool, bool, bool, int, int]] = []
+    open_: list[tuple[str, bool, int, bool, int, int]] = []
+
+    def inside() -> int:
+        return max((e[2] for e in open_), default=0)
 
     def chain() -> tuple[int, ...]:
         return (ROOT, *[e[5] for e in open_ if e[5] >= 0])
@@ -148,7 +156,7 @@ def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[
         text = " ".join("".join(held).split())
         if text:
             heading = any(e[0] in _HEADINGS for e in open_)
-            out.append(Line(text, max(0, len(text) - linked), any(e[2] for e in open_), False, chain(), heading))
+            out.append(Line(text, max(0, len(text) - linked), inside(), False, chain(), heading))
         held.clear()
         linked = 0
 
@@ -182,8 +190,8 @@ def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[
             attributes = token.group(4)
             # Long ones (data in an address) are not remembered.
             main, by_name = (_named if len(attributes) < 500 else _named.__wrapped__)(name, attributes) if attributes else (False, False)
-            main = name in _MAIN or main
-            by_name = by_name and name not in _MAIN and name not in ("body", "html")
+            by_name = by_name and name not in ("main", "body", "html")
+            main = 2 if main or name == "main" else 1 if name == "article" and not by_name else 0
             head = name == "header" and any(e[2] for e in open_)
             left = outside or name in _EMBEDDED or (name in _OUT_ELEMENTS and not head)
             weighed = -1
@@ -196,7 +204,7 @@ def _read(page: str, tokens: list[re.Match], unclosed: set[int], named_out: set[
             if left and not outside and name in _BLOCKS:
                 said = f"{name} {attributes}"
                 frame = 2 if name == "head" or _FRAME.search(said) else 1 if _BESIDE.search(said) else 0
-                out.append(Line("", 0, any(e[2] for e in open_), True, chain(), False, frame))
+                out.append(Line("", 0, inside(), True, chain(), False, frame))
             open_.append((name, left, main, name == "a", weighed, token.start() if name in _CONTAINERS else -1))
             outside = left
         else:
@@ -294,11 +302,12 @@ def _widened(spread: list[Line], spans: list[tuple[int, int]], framed: set[int])
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    marked = any(line.inside and line.text for line in found)
     framed = _framed(found)
+    marked = max((line.inside for line in found if line.text), default=0)
     if marked:
-        # Inside the marked part a line always surges and a part left out is skipped over.
-        rows = [line._replace(weight=SURGE if line.inside and line.text else 0) for line in found if not (line.out and line.inside)]
+        # What stands between two marked parts is a gap; what is left out inside one is none.
+        found = [line if line.inside >= marked else line._replace(text="", weight=0, out=True) for line in found]
+        rows = [line for line in found if not (line.out and line.inside >= marked)]
     else:
         rows = _flowing(found, framed)
     spread: list[Line] = []
@@ -328,7 +337,7 @@ def main_text(page: str | None) -> str:
             return ""
         _, start, end = max(runs)
         spans = [(-start, end)]
-    elif not marked:
+    else:
         spans = _widened(spread, spans, framed)
     return "\n".join(line.text for a, b in spans for line in spread[a:b] if line.text)
 
