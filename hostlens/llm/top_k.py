@@ -14,6 +14,9 @@ The pivots come from a bounded sample and only deal out work: every row is index
 Defined cases: vectors that are null or hold a null, a NaN or an infinity take no part, nor do rows without an id;
 shorter vectors are filled up with zeros; a query's own id is no candidate; repeated rows are candidates each for
 itself and one query together (that of the smallest vector, if they differ); equal scores rank by the smaller id.
+Where two vectors are so long that doubles do not hold their products, they are multiplied as whole numbers. Vectors whose
+products do not fit the long score (of a length from 3.0e9, in integers) are refused with an error. An empty table
+gives an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SCALE = 1024
 PIVOTS, SAMPLE = 64, 2048
 #: Rows of a block, queries that meet a block in one task, and vectors of a leaf.
 BLOCK, QUERY_BLOCK, LEAF, FAN = 8192, 4096, 48, 12
+#: Below this doubles hold whole numbers exactly; no score is as low as LOWEST.
+EXACT, LOWEST = 2.0**53, -(2**63)
 
 
 @dataclass
@@ -42,6 +47,7 @@ class Node:
     centre: np.ndarray
     norm: float
     radius: float
+    longest: float
     children: list[Node] = field(default_factory=list)
 
 
@@ -52,7 +58,8 @@ def cover_tree(vectors: np.ndarray, rows: np.ndarray | None = None) -> Node:
     own = vectors[rows]
     centre = own[0]
     away = np.sqrt(((own - centre) ** 2).sum(axis=1))
-    node = Node(rows, centre, float(np.sqrt((centre * centre).sum())), float(away.max()))
+    norm, radius = float(np.sqrt((centre * centre).sum())), float(away.max())
+    node = Node(rows, centre, norm, radius, (norm + radius) * (1 + 1e-9))
     if len(rows) <= LEAF or node.radius == 0:
         return node
     nearest, at = away, np.zeros(len(rows), np.int64)
@@ -77,7 +84,7 @@ class Search:
         self.queries, self.query_ids, self.candidates, self.ids, self.k = queries, query_ids, candidates, ids, k
         #: A score below which a candidate cannot be among the query's best.
         self.worst = known.copy()
-        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
         self.pairs = 0
 
     def run(self) -> None:
@@ -86,10 +93,10 @@ class Search:
 
     def _bound(self, q: Node, r: Node) -> float:
         top = float(q.centre @ r.centre) + q.norm * r.radius + r.norm * q.radius + q.radius * r.radius
-        return top + 1e-9 * abs(top) + 1e-6  # for the rounding of norms and radii
+        return top + 1e-9 * abs(top) + 1e-12 * q.longest * r.longest + 1e-6  # for the rounding of products, norms and radii
 
     def _walk(self, q: Node, r: Node) -> None:
-        if self._bound(q, r) < self.worst[q.rows].min():
+        if self._bound(q, r) < float(self.worst[q.rows].min()):
             return
         if not q.children and not r.children:
             self._leaves(q, r)
@@ -101,7 +108,11 @@ class Search:
                 self._walk(q, child)
 
     def _leaves(self, q: Node, r: Node) -> None:
-        scores = self.queries[q.rows] @ self.candidates[r.rows].T
+        asked, rows = self.queries[q.rows], self.candidates[r.rows]
+        if q.longest * r.longest < EXACT:
+            scores = (asked @ rows.T).astype(np.int64)
+        else:
+            scores = asked.astype(np.int64) @ rows.astype(np.int64).T
         ids = self.ids[r.rows]
         self.pairs += scores.size
         for i, row in enumerate(q.rows):
@@ -117,7 +128,7 @@ class Search:
 
 
 def _whole(batch_column: pa.Array, width: int) -> np.ndarray:
-    """Rows of integer lists as doubles, which hold them and their products exactly (see vectors)."""
+    """Rows of integer lists as doubles, which hold them exactly (see search)."""
     out = np.zeros((len(batch_column), width))
     sizes = np.diff(batch_column.offsets.to_numpy())
     flat = batch_column.flatten().to_numpy(zero_copy_only=False)
@@ -163,14 +174,14 @@ def _search(candidates: DataFrame, queries: DataFrame, k: int, width: int) -> Da
             _whole(rows.column("v").combine_chunks(), width),
             rows.column("vec_id").to_numpy(),
             k,
-            asked.column("worst").to_numpy().astype(float),
+            asked.column("worst").to_numpy().astype(np.int64),
         )
         search.run()
         sizes = [len(n) for _, n in search.best]
         return pa.table({
             "query_id": pa.array(np.repeat(search.query_ids, sizes)),
             "vec_id": pa.array(np.concatenate([n for _, n in search.best])),
-            "score": pa.array(np.concatenate([s for s, _ in search.best]).astype(np.int64)),
+            "score": pa.array(np.concatenate([s for s, _ in search.best])),
         })
 
     key = ["cell", "part", "lot"]
@@ -186,10 +197,11 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the best k rows for each row for which is_query, a condition on vec_id, holds."""
     spark = embeddings.sparkSession
     rows = kept(vectors(embeddings), "vectors")
-    shape = rows.agg(F.max(F.size("v")), F.max(F.greatest(F.abs(F.coalesce(F.array_min("v"), F.lit(0))), F.abs(F.coalesce(F.array_max("v"), F.lit(0)))))).first()
-    width, largest = max(shape[0] or 0, 1), shape[1] or 0
-    if width * largest * largest >= 2**53:
-        raise ValueError("inner products exceed what doubles hold exactly")
+    square = F.aggregate("v", F.lit(0.0), lambda total, e: total + e.cast("double") * e.cast("double"))
+    shape = rows.agg(F.max(F.size("v")), F.max(square)).first()
+    width, largest = max(shape[0] or 0, 1), shape[1] or 0.0
+    if largest >= 0.99 * 2.0**63:
+        raise ValueError("inner products exceed what a long holds")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if shape[0] is None:
         return empty
@@ -227,9 +239,10 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         dealt_out = queries.join(parts, "cell").select("cell", "vec_id", "v", "worst", in_parts, lot_of)
         return _search(blocks, dealt_out, k, width)
 
-    near = kept(meet(asked.withColumn("worst", F.lit(float("-inf")))), "near")
-    worst = _best(near, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("worst"))
-    known = asked.join(worst, "vec_id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+    lowest = F.lit(LOWEST).cast("long")
+    near = kept(meet(asked.withColumn("worst", lowest)), "near")
+    worst = _best(near, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
+    known = asked.join(worst, "vec_id", "left").withColumn("worst", F.coalesce("worst", lowest))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
@@ -239,11 +252,12 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
             least = batch.column("worst").to_numpy()
             length = np.sqrt((v * v).sum(axis=1))
             bound = v @ pivots.T + length[:, None] * radius
-            met = (bound + 1e-9 * np.abs(bound) + 1e-6 >= least[:, None]) & (radius >= 0)
+            slack = 1e-9 * np.abs(bound) + 1e-12 * length[:, None] * (norms + np.abs(radius)) + 1e-6
+            met = (bound + slack >= least[:, None].astype(float)) & (radius >= 0)
             met[np.arange(len(v)), own] = False
             row, cell = np.nonzero(met)
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([taken.column("vec_id"), taken.column("v"), pa.array(cell), taken.column("worst")], ["vec_id", "v", "cell", "worst"])
 
-    far = meet(known.select("vec_id", "v", "cell", "worst").mapInArrow(others, "vec_id long, v array<long>, cell long, worst double"))
+    far = meet(known.select("vec_id", "v", "cell", "worst").mapInArrow(others, "vec_id long, v array<long>, cell long, worst long"))
     return _best(near.unionByName(far), k).select("query_id", "rank", "vec_id", "score")
