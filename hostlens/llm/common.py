@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +52,32 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
+#: Rows that go to a Python worker at once where several stages share the workers.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Smaller batches for the workers of the session's next jobs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Hands freed memory back to the system: Spark uses a worker again, with what the task before it held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches: Iterator, *caches: dict) -> Iterator:
+    """The batches; after the task's last one the caches are emptied and their memory handed back."""
+    yield from batches
+    for cache in caches:
+        cache.clear()
+    release()
+
+
 def cuts(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold about most_bytes together (one long text is one slice)."""
     start, held = 0, 0

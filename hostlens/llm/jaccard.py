@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.llm.common import chosen, cuts, kept, pieces_of
+from hostlens.llm.common import chosen, cuts, kept, pieces_of, released
 from hostlens.llm.components import components
 
 WORDS = 5
@@ -150,7 +150,7 @@ def hot_shingles(rows: DataFrame) -> np.ndarray:
         if held:
             yield emit()
 
-    counted = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lambda batches: released(run(batches), _HASHES), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(HOT_MOST).toPandas()
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -189,7 +189,7 @@ def signatures(rows: DataFrame, hot: np.ndarray) -> DataFrame:
         if lot:
             yield emit()
 
-    return rows.mapInArrow(run, "doc_id long, n long, sig binary, sketch binary, prefix binary")
+    return rows.mapInArrow(lambda batches: released(run(batches), _HASHES), "doc_id long, n long, sig binary, sketch binary, prefix binary")
 
 
 def _entries(rows: DataFrame, buckets: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                     [part.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "tokens"]
                 )
 
-    rows = documents.withColumn("bit", bit("doc_id")).mapInArrow(run, "doc_id long, sig binary, tokens binary")
+    rows = documents.withColumn("bit", bit("doc_id")).mapInArrow(lambda batches: released(run(batches), _HASHES), "doc_id long, sig binary, tokens binary")
     match = rows.doc_id.eqNullSafe(own.rep) & (rows.sig == own.sig)
     return rows.join(own, match).select("cid", "tokens").dropDuplicates(["cid"])
 
