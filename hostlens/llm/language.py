@@ -43,7 +43,14 @@ _STEP = np.uint32(0x9E3779B1)
 
 def letters_only(text: str | None) -> str:
     """The text's words of letters, lower-cased, with one space around each; empty if it has no letter."""
-    words = _OTHER.sub(" ", text or "").strip().lower()
+    parts: list[str] = []
+    for start in range(0, len(text or ""), WINDOW):  # a substitution holds every word of what it works on
+        part = _OTHER.sub(" ", text[start : start + WINDOW])
+        if parts and parts[-1].endswith(" "):
+            part = part.removeprefix(" ")
+        if part:
+            parts.append(part)
+    words = "".join(parts).strip().lower()
     return f" {words} " if any(c.isalpha() for c in words) else ""
 
 

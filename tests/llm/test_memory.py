@@ -1,6 +1,7 @@
 """What a worker holds, and that windows change no result."""
 
 import random
+import re
 import resource
 import subprocess
 import sys
@@ -26,6 +27,8 @@ def test_scores_do_not_depend_on_windows(monkeypatch):
     names, scores = model.score(texts)
     monkeypatch.setattr(language, "WINDOW", 11)
     again, others = model.score(texts)
+    long = "1 ab, " * 30 + "Σ\u03a3 x"
+    assert language.letters_only(long) == " " + re.sub(r"[\W\d_]+", " ", long).strip().lower() + " "
     assert names == again and np.allclose(scores, others, rtol=1e-9) and names[:3] == ["und"] * 3
 
 
