@@ -424,7 +424,7 @@ def class_links(documents: DataFrame, classes: DataFrame, found: DataFrame) -> D
         links = kept(links.unionByName(_settled(open_, first, documents, classes)), "links")
         label = components(links)
     far = _several(kept(_marked(found.filter("kind = 1").select("token", "a", "rest", "n"), label, "a"), "far"))
-    # Entries meet their list's lead before they meet each other, as long as that joins at least half of those tried:
+    # Entries meet their list's lead before they meet each other, as long as that joins at least an eighth of those tried:
     # a large group of near copies then is one component, and nothing inside it is left to pair.
     joining = not far.isEmpty()
     while joining:
@@ -433,7 +433,7 @@ def class_links(documents: DataFrame, classes: DataFrame, found: DataFrame) -> D
         if joined:
             links = kept(links.unionByName(tried.filter("linked").select("a", "b")), "links")
             far = _several(_marked(far.drop("a_label"), components(links), "a"))
-        joining = joined > 0 and 2 * joined >= met and not far.isEmpty()
+        joining = joined > 0 and 8 * joined >= met and not far.isEmpty()
     open_ = kept(_crossing(far).join(pairs, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         links = links.unionByName(_settled(open_, first, documents, classes))
