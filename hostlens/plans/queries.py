@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,10 +381,22 @@ def instance_series(spark, folder):
 
 @query
 def history(spark, folder):
-    page = search.history(fd.samples(spark, folder), host="host-03", start=fd.BASE + 100, end=HALF, search="user-1", offset=5)
+    page = search.history(fd.samples(spark, folder), search.Cut(500, 5), (fd.BASE + 100, HALF), "user-1", host="host-03")
     return _with_total(page)
 
 
+@query
+def history_pages(spark, folder):
+    """Four pages of a table that three triggers have filled, each from behind the last row of the one before."""
+    samples, parts, last = replay(spark, folder).samples.select(*SAMPLE_COLUMNS), [], None
+    for number in range(4):
+        page = search.history(samples, search.Cut(40, after=last), host="host-03").rows.withColumn("page", F.lit(number))
+        parts.append(page)
+        end = page.agg(F.min(F.struct("timestamp", "seq")).alias("last")).first().last
+        last = tuple(end) if end else last
+    return reduce(DataFrame.unionByName, parts).select("page", "seq", *IDENTITY)
+
+
 # --- hosts, series, KPIs ----------------------------------------------------------------
 
 
@@ -597,7 +610,7 @@ def get_alert_state(spark, folder):
 def get_alert(spark, folder):
     """The newest alert of host-01, looked up by its id."""
     alerts = _alert_table(spark, folder)
-    newest = search.list_alerts(alerts, host="host-01", limit=1).rows
+    newest = search.list_alerts(alerts, search.Cut(1), host="host-01").rows
     wanted = al.with_alert_id(newest).first()
     return al.get_alert(alerts, wanted["alert_id"] if wanted else "").drop("alert_id")
 
@@ -616,7 +629,7 @@ def alerts_from_transitions(spark, folder):
 @query
 def list_alerts(spark, folder):
     page = search.list_alerts(
-        _alert_table(spark, folder), status="resolved", severity="warning", since=fd.BASE + 300.0, search="PROC-2", limit=50, offset=10
+        _alert_table(spark, folder), search.Cut(50, 10), since=fd.BASE + 300.0, text="PROC-2", status="resolved", severity="warning"
     )
     return _with_total(page)
 
@@ -624,7 +637,7 @@ def list_alerts(spark, folder):
 @query
 def list_alerts_active(spark, folder):
     """The six newest active alerts."""
-    return _with_total(search.list_alerts(_alert_table(spark, folder), status="active", limit=6))
+    return _with_total(search.list_alerts(_alert_table(spark, folder), search.Cut(6), status="active"))
 
 
 @query
@@ -647,7 +660,7 @@ def instance_alerts(spark, folder):
 def active_alert_for(spark, folder):
     """The active alert of the rule and instance that have the newest one."""
     alerts = _alert_table(spark, folder)
-    newest = search.list_alerts(alerts, status="active", limit=1).rows.first()
+    newest = search.list_alerts(alerts, search.Cut(1), status="active").rows.first()
     return al.active_alert_for(alerts, *[newest[c] for c in ("rule_id", *INSTANCE)]) if newest else alerts.limit(0)
 
 

@@ -97,7 +97,7 @@ def test_process_list_sorting_filters_and_pages(spark):
 def test_history_and_instances(spark):
     rows = [sample(i, timestamp=CREATED + i, create_time=CREATED + (0 if i < 5 else 4.5)) for i in range(10)]
     frame = samples(spark, rows)
-    page = search.history(frame, host="h1", pid=101, start=CREATED + 2, end=CREATED + 7, limit=2, offset=1)
+    page = search.history(frame, search.Cut(2, 1), (CREATED + 2, CREATED + 7), host="h1", pid=101)
     assert [r.seq for r in page.rows.collect()] == [6, 5] and page.total.first().total == 6
     assert sn.resolve_instance(frame, "h1", 101).first().create_time == CREATED + 4.5
     assert {r.seq for r in sn.instance_current(frame).collect()} == {4, 9}
@@ -205,3 +205,23 @@ def test_overview_keeps_hosts_whose_samples_were_pruned(spark):
     assert {r.host for r in hosts.collect()} == {"old", "new"}
     one = details.host_detail(left, alerts, "old", CREATED + 5001, registry=registry).summary
     assert [r.host for r in one.collect()] == ["old"]
+
+
+def test_pages_behind_a_row(spark):
+    """Rows that arrive between two pages, and rows of equal time, neither repeat nor hide any."""
+    rows = [sample(i, pid=i, timestamp=CREATED + i // 3) for i in range(20)]
+    frame, seen, last = samples(spark, rows), [], None
+    for _ in range(4):
+        page = search.history(frame, search.Cut(6, after=last), host="h1").rows.collect()
+        seen += [r.seq for r in page]
+        last = (page[-1].timestamp, page[-1].seq)
+        frame = frame.unionByName(samples(spark, [sample(100 + len(seen), timestamp=CREATED + 50)]))
+    assert seen == list(range(19, -1, -1))
+    assert search.history(frame, search.Cut(6, after=(CREATED, 0))).total.first().total == 0
+
+
+def test_filters_by_unknown_words_are_left_out(spark):
+    alerts = spark.createDataFrame([("active", "info", "h1", 5.0), ("resolved", "critical", "h2", 6.0)], "status string, severity string, host string, triggered_at double")
+    found = lambda **wanted: [r.host for r in search.alerts_with(alerts, **wanted).orderBy("host").collect()]
+    assert found(status="all", severity="loud") == found(host="", status=None) == ["h1", "h2"]
+    assert found(status="active") == ["h1"] and found(severity="critical", since=6.0) == ["h2"] and found(since=6.5) == []

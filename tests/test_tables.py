@@ -14,7 +14,7 @@ def test_reads_prune_days_columns_and_rows(spark, tmp_path):
     path = str(tmp_path / "samples")
     write_samples(samples(spark, [sample(i, timestamp=CREATED + i * 40_000.0) for i in range(10)]), path)
     stored = spark.read.parquet(path)
-    page = search.history(stored, host="h1", start=CREATED + 100_000, end=CREATED + 200_000)
+    page = search.history(stored, between=(CREATED + 100_000, CREATED + 200_000), host="h1")
     assert page.rows.count() == 3
     plan = plan_of(page.total)
     assert "PartitionFilters: [isnotnull(date" in plan and "IsNotNull(host)" in plan
