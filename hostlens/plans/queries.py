@@ -788,8 +788,14 @@ def stream_ingest(spark, folder):
 
 @query
 def stream_dedup(spark, folder):
-    run = replay(spark, folder, lambda s, r: st.start_changes(st.stream_dedup(s), r.changes, r.checkpoint))
-    return spark.read.parquet(run.changes).select(*IDENTITY, "cpu_percent")
+    """The feed as it was sent, copies included: the copies come in a trigger of their own, after all others."""
+    configure(spark, streaming=True)
+    root, raw = work_folder(spark, "sent"), fd.feed(spark, folder).withColumn("batch_id", F.lit("b"))
+    for batch, part in enumerate(["seq >= 0 AND seq % 2 = 0", "seq >= 0 AND seq % 2 = 1", "seq < 0"]):
+        ing.write_samples(raw.filter(part), f"{root}/samples/ingest_batch={batch}")
+        stream = st.stream_dedup(st.stream_table(spark, f"{root}/samples"))
+        st.start_changes(stream, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/changes").select(*IDENTITY, "cpu_percent")
 
 
 def _stream_transitions(spark, folder) -> DataFrame:
@@ -877,7 +883,7 @@ def stream_hosts(spark, folder):
 @query
 def stream_metric_series(spark, folder):
     run = replay(spark, folder, lambda s, r: st.start_changes(st.stream_metric_series(s, 60), r.changes, r.checkpoint))
-    return st.newest_rows(spark.read.parquet(run.changes), ["bucket"])
+    return st.combined_series(st.newest_rows(spark.read.parquet(run.changes), ["bucket", "received_day"]))
 
 
 @query

@@ -92,14 +92,14 @@ def stream_ingest(
     )
 
 
-def with_event_time(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("event_time", event_time(F.col("timestamp")))
+def on_server_clock(samples: DataFrame, horizon: str) -> DataFrame:
+    """With a watermark on the time of receipt: a host's clock, however wrong, makes no other host's rows late."""
+    return samples.withColumn("received_time", event_time(F.col("received_at"))).withWatermark("received_time", horizon)
 
 
 def stream_dedup(samples: DataFrame, horizon: str = RETENTION) -> DataFrame:
-    """One row per identity within the horizon, with bounded state."""
-    timed = with_event_time(samples).withWatermark("event_time", horizon)
-    return timed.dropDuplicatesWithinWatermark(IDENTITY)
+    """One row per identity, that of the earliest trigger, with state for the horizon of receipt time."""
+    return on_server_clock(samples, horizon).dropDuplicatesWithinWatermark(IDENTITY).drop("received_time")
 
 
 def alert_seeds(states: DataFrame) -> DataFrame:
@@ -193,20 +193,33 @@ def stream_hosts(samples: DataFrame) -> DataFrame:
     )
 
 
-def stream_metric_series(samples: DataFrame, width: int, horizon: str = RETENTION) -> DataFrame:
-    """Tumbling buckets; a bucket's state is dropped once it is older than the horizon."""
-    timed = with_event_time(samples).withWatermark("event_time", horizon)
+def stream_metric_series(samples: DataFrame, width: int, grace: str = "1 day") -> DataFrame:
+    """Sums of tumbling buckets, for each day of receipt by itself: see ``combined_series``.
+
+    A day's sums are final, and their state is dropped, ``grace`` after that day of the server's clock. So a bucket may
+    get rows for ever, and no row is late for having an old or a wrong clock.
+    """
+    timed = on_server_clock(samples, grace).withColumn("event_time", event_time(F.col("timestamp")))
+    bucket = F.floor(F.unix_micros("event_time") / F.lit(width * 1_000_000)) * F.lit(float(width))
     return (
-        timed.groupBy(F.window("event_time", f"{width} seconds").alias("w"))
+        timed.groupBy(F.window("received_time", "1 day").alias("day"), bucket.alias("bucket"))
         .agg(
-            settled(F.coalesce(F.avg("cpu_percent"), F.lit(0.0)), 3).alias("cpu"),
-            settled(F.coalesce(F.avg("memory_percent"), F.lit(0.0)), 3).alias("memory"),
+            F.sum("cpu_percent").alias("cpu_sum"),
+            F.count("cpu_percent").alias("cpu_rows"),
+            F.sum("memory_percent").alias("memory_sum"),
+            F.count("memory_percent").alias("memory_rows"),
             F.count("*").alias("activity"),
         )
-        .select(F.col("w.start").cast("long").cast("double").alias("bucket"), "cpu", "memory", "activity")
+        .select("bucket", F.col("day.start").cast("long").alias("received_day"), "cpu_sum", "cpu_rows", "memory_sum", "memory_rows", "activity")
     )
 
 
+def combined_series(sums: DataFrame) -> DataFrame:
+    """The series from the newest sums of every bucket and day of receipt."""
+    mean = lambda n: settled(F.coalesce(F.sum(f"{n}_sum") / F.nullif(F.sum(f"{n}_rows"), F.lit(0)), F.lit(0.0)), 3).alias(n)
+    return sums.groupBy("bucket").agg(mean("cpu"), mean("memory"), F.sum("activity").alias("activity"))
+
+
 def stream_latest(samples: DataFrame) -> DataFrame:
     """Newest sample per instance."""
     columns = [f.name for f in SAMPLE.fields]

@@ -142,3 +142,26 @@ def test_streamed_receipts_count_alerts(spark):
     )
     rows = {r.batch_id: r.alerts_triggered for r in st.streamed_receipts(receipts, accepted, moves).collect()}
     assert rows == {"a": 2, "b": 0}
+
+
+def test_a_wrong_clock_makes_no_other_row_late(spark, tmp_path):
+    """One host's clock stands in 2099, another's days back; copies come in later triggers."""
+    configure(spark, streaming=True)
+    table, day = str(tmp_path / "table"), 86_400.0
+    row = lambda n, **v: sample(n, received_at=CREATED + 100 * n, **v)
+    batches = [
+        [row(0), row(1, host="h2", timestamp=4_102_000_000.0)],
+        [row(2, pid=5, cpu_percent=3.5), row(3, cpu_percent=99.0), row(4, host="h3", timestamp=CREATED - 200 * day)],
+        [row(5, host="h2", timestamp=4_102_000_000.0, cpu_percent=1.0), row(6, timestamp=CREATED + 11, cpu_percent=None)],
+    ]
+    for n, rows in enumerate(batches):
+        samples(spark, rows).selectExpr("'b' AS batch_id", "*").write.parquet(f"{table}/ingest_batch={n}/date=2023-11-14")
+        for name, stream in (("dedup", st.stream_dedup(st.stream_table(spark, table), "1 hour")), ("series", st.stream_metric_series(st.stream_table(spark, table), 60, "1 hour"))):
+            st.start_changes(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+    once = spark.read.parquet(str(tmp_path / "dedup")).collect()
+    assert sorted((r.seq, r.cpu_percent) for r in once) == [(0, 12.5), (1, 12.5), (2, 3.5), (4, 12.5), (6, None)]
+    sums = st.newest_rows(spark.read.parquet(str(tmp_path / "series")), ["bucket", "received_day"])
+    rows = {r.bucket: r for r in st.combined_series(sums).collect()}
+    assert sum(r.activity for r in rows.values()) == 7 and len(rows) == 3
+    near = rows[(CREATED + 10) // 60 * 60]
+    assert (near.activity, near.cpu) == (4, round((12.5 + 3.5 + 99.0) / 3, 3))
