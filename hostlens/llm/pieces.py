@@ -19,7 +19,6 @@ lacks become byte ids; repeated rows are encoded each for itself; an empty table
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,12 +35,40 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs a worker remembers; beyond that it starts anew. This bounds memory, not results.
 WORDS, PAIRS = 500_000, 1_000_000
+#: Bits of a place in the table of pairs that batches of words share: a pair's place holds the last one met.
+PLACES = 21
 #: Words up to this length, so many at a time, share a table; longer ones have their own.
-TABLE_LENGTH, TABLE_WORDS = 32, 8192
+TABLE_LENGTH, TABLE_WORDS = 32, 32768
+#: Bytes of text that are split into words at a time.
+TOGETHER = 2 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+def split_words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts whose blanks are marks, and each text's first place among them (one more at the end).
+
+    A word begins with its text, or with a mark behind another character; marks at the end are a word of their own."""
+    encoded = [t.encode() for t in texts]
+    data = b"".join(encoded)
+    ends = np.cumsum([0, *map(len, encoded)], dtype=np.int64)
+    letters = np.frombuffer(data, np.uint8)
+    mark = MARK.encode()
+    is_mark = np.zeros(len(letters) + 3, bool)
+    if len(letters) >= 3:
+        is_mark[3:-2] = (letters[:-2] == mark[0]) & (letters[1:-1] == mark[1]) & (letters[2:] == mark[2])
+    begins = is_mark[3:] & ~is_mark[:-3]  # a mark, and none that ends right before it
+    begins[ends[:-1][ends[:-1] < ends[1:]]] = True
+    at = np.flatnonzero(begins)
+    offsets = np.append(at, len(data)).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    return found.dictionary_encode(), np.searchsorted(at, ends)
+
+
+def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Pieces:
@@ -91,6 +118,7 @@ class Pieces:
         self.automaton.make_automaton()
         self._lay_out_trie()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.table = np.full(1 << PLACES, -1, np.int64)
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _last_merge(self, text: str) -> tuple[int, int] | None:
@@ -153,17 +181,7 @@ class Pieces:
         for gap in range(1, n + 1):
             if last[gap] == -1:
                 last[gap], back[gap] = -2, gap - 1
-        ids: list[int] = []
-        at = n
-        while at:
-            start = back[at]
-            if last[at] >= 0:
-                ids.append(last[at])
-            else:
-                ids.extend(self.bytes[b] for b in reversed(text[start:at].encode()))
-            at = start
-        ids.reverse()
-        return ids
+        return self._read(text, last, back)
 
     def _lay_out_trie(self) -> None:
         """The automaton's forward edges as sorted arrays, for many words at once."""
@@ -183,8 +201,18 @@ class Pieces:
         self.piece_at = np.array(piece_at, np.int64)
 
     def _compatible_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pairs, places = np.unique(left << 32 | right, return_inverse=True)
-        return np.array([self.compatible(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], bool)[places]
+        """compatible() of each pair, by a table of remembered pairs; a pair is held as key and answer."""
+        keys = left << 32 | right
+        places = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
+        held = self.table[places]
+        fits = (held & 1).astype(bool)
+        unknown = np.flatnonzero(held >> 1 != keys)
+        if len(unknown):
+            pairs, first, back = np.unique(keys[unknown], return_index=True, return_inverse=True)
+            answers = np.array([self._compatible(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], bool)
+            fits[unknown] = answers[back]
+            self.table[places[unknown[first]]] = pairs << 1 | answers
+        return fits
 
     def many(self, words: list[str]) -> list[list[int]]:
         """word() of each word, place by place for all words together (words of similar, small length)."""
@@ -225,54 +253,70 @@ class Pieces:
                 last[end, rows], back[end, rows] = ids, start
             none = last[end] == -1
             last[end, none], back[end, none] = -2, end - 1
-        out = []
-        for word, column, origin in zip(words, last.T.tolist(), back.T.tolist(), strict=True):
-            ids, at = [], len(word)
-            while at:
-                if column[at] >= 0:
-                    ids.append(column[at])
-                else:
-                    ids.extend(self.bytes[b] for b in reversed(word[origin[at] : at].encode()))
-                at = origin[at]
-            ids.reverse()
-            out.append(ids)
+        # Read backwards, all words at once; -2 (characters as bytes) is rare and read word by word.
+        at, step = sizes.copy(), 0
+        tokens = np.zeros((n, most), np.int32)
+        every, sizes_out, plain = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+        while len(every):
+            ids = last[at[every], every]
+            plain[every[ids < 0]] = False
+            step += 1
+            tokens[every, most - step] = ids
+            sizes_out[every] = step
+            at[every] = back[at[every], every]
+            every = every[at[every] > 0]
+        out: list[list[int]] = [row[most - k :] for row, k in zip(tokens.tolist(), sizes_out.tolist(), strict=True)]
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = self._read(words[k], last[:, k].tolist(), back[:, k].tolist())
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        """Entries of words not met before; those of common length are remembered."""
-        if len(self.words) + len(words) > WORDS:
-            self.words.clear()
-        long = [w for w in words if len(w) > TABLE_LENGTH]
-        short = sorted((w for w in words if len(w) <= TABLE_LENGTH), key=len)
-        entries = {}
+    def _read(self, text: str, last: list[int], back: list[int]) -> list[int]:
+        """A word's ids from its table, read backwards."""
+        ids: list[int] = []
+        at = len(text)
+        while at:
+            start = back[at]
+            if last[at] >= 0:
+                ids.append(last[at])
+            else:
+                ids.extend(self.bytes[b] for b in reversed(text[start:at].encode()))
+            at = start
+        ids.reverse()
+        return ids
+
+    def _entries(self, words: list[str]) -> list[tuple[list[int], str]]:
+        """Ids, and the same as text, of different words; those met before are remembered."""
+        known = self.words
+        if len(known) > WORDS:
+            known.clear()
+        found = [known.get(w) for w in words]
+        new = sorted((k for k, e in enumerate(found) if e is None), key=lambda k: len(words[k]))
+        short = [k for k in new if len(words[k]) <= TABLE_LENGTH]
         for lot in (short[k : k + TABLE_WORDS] for k in range(0, len(short), TABLE_WORDS)):
-            for w, ids in zip(lot, self.many(lot), strict=True):
-                entries[w] = tuple(ids), " ".join(map(str, ids))
-        if len(entries) <= WORDS:
-            self.words.update(entries)
-        for w in long:
-            ids = self.word(w)
-            entries[w] = tuple(ids), " ".join(map(str, ids))
-        return entries
+            for k, ids in zip(lot, self.many([words[k] for k in lot]), strict=True):
+                found[k] = ids, " ".join(map(str, ids))
+        for k in new[len(short) :]:
+            ids = self.word(words[k])
+            found[k] = ids, " ".join(map(str, ids))
+        if len(short) <= WORDS:
+            known.update((words[k], found[k]) for k in short)
+        return found
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Of each text, ids with the end id and the same as text."""
-        split = [_WORDS.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
-        missing = {w for ws in split for w in ws if w not in known}
-        if missing:
-            new = self._learn(missing)
-            # What is remembered may have started anew: the batch's own entries are made complete.
-            rest = {w for ws in split for w in ws if w not in new and w not in known}
-            entry = {**self._learn(rest), **new} if rest else new
-            unkept = {w: e for w, e in entry.items() if w not in known}
-        else:
-            unkept = {}
-        for words in split:
-            found = [known.get(w) or unkept[w] for w in words] if unkept else [known[w] for w in words]
-            ids = list(chain.from_iterable([f[0] for f in found]))
-            ids.append(self.end)
-            yield ids, f"{' '.join([f[1] for f in found])} {self.end}".lstrip()
+        words, begins = split_words([self.prefix + t.replace(" ", MARK) if t else "" for t in texts])
+        entries = self._entries(words.dictionary.to_pylist())
+        place = words.indices.to_numpy()
+        sizes = np.fromiter((len(ids) for ids, _ in entries), np.int64, len(entries))
+        flat = np.fromiter(chain.from_iterable(ids for ids, _ in entries), np.int64, int(sizes.sum()))
+        each = sizes[place]
+        ids = flat[ragged((np.cumsum(sizes) - sizes)[place], each)]
+        ends = np.append(0, np.cumsum(each))[begins].tolist()
+        shown, place = [text for _, text in entries], place.tolist()
+        for k in range(len(texts)):
+            own = ids[ends[k] : ends[k + 1]].tolist()
+            own.append(self.end)
+            yield own, " ".join([*map(shown.__getitem__, place[begins[k] : begins[k + 1]]), str(self.end)])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         return next(self.encode_all([text]))
@@ -294,7 +338,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, with_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part in cuts(batch, "text", 1 << 20):
+            for part in cuts(batch, "text", TOGETHER):
                 rows = []
                 encoded = model.encode_all([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, (ids, shown) in zip(part.column("doc_id").to_pylist(), encoded, strict=True):

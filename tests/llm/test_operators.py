@@ -121,6 +121,29 @@ def test_pieces_equal_library():
     assert model.many(words) == [model.word(w) for w in words]
 
 
+def test_pieces_words():
+    """Words of a batch against the plain pattern, with marks in the text, at both ends and alone."""
+    r, letters = random.Random(8), "ab▁▁ é漢"
+    texts = ["", "▁", "▁▁▁", "a"] + ["".join(r.choices(letters, k=r.randrange(30))) for _ in range(300)]
+    marked = [t.replace(" ", "▁") for t in texts]
+    words, begins = pieces.split_words(marked)
+    plain = [re.findall("▁*[^▁]+|▁+", t) for t in marked]
+    assert words.to_pylist() == [w for ws in plain for w in ws]
+    assert np.diff(begins).tolist() == [len(ws) for ws in plain]
+
+
+def test_pieces_pairs_share_places():
+    """Answers do not depend on what the table of pairs holds."""
+    model, r = pieces.pieces(PIECES), random.Random(9)
+    ids = sorted(model.rank)
+    left, right = (np.array(r.choices(ids, k=4000), np.int64) for _ in range(2))
+    plain = [model._compatible(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    for _ in range(2):
+        assert model._compatible_many(left, right).tolist() == plain
+    model.table[:] = -1
+    assert model._compatible_many(left, right).tolist() == plain
+
+
 def test_pieces_edges(odd, none):
     rows = pieces.encode_documents(odd, with_ids=True).collect()
     assert len(rows) == len(TEXTS) and all(len(r.ids) == r.n_tokens for r in rows)
