@@ -262,35 +262,47 @@ def _pairs_of_bucket(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, tokens: the sets of the wanted classes (cid), from their representatives' texts.
+def _bit(c: Column | str) -> Column:
+    """An id's place in a filter of FILTER_BITS bits."""
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
-    A filter of fixed size keeps most other rows from being hashed; the join after it is exact.
-    """
-    own = classes.join(wanted, "cid", "left_semi").select("cid", "rep", "n", "sig")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+def _bits(ids: DataFrame, name: str) -> np.ndarray:
+    """The filter in which the places of all ids are set; its size does not depend on their number."""
     # The bitmap functions count from 1.
-    marked = own.select((bit("rep") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+    marked = ids.select((_bit(name) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
     )
-    size = FILTER_BITS // 8
-    bits = np.zeros(size + 4096, np.uint8)
+    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
     for part, data in marked.collect():  # FILTER_BITS bits in all
         bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(data, np.uint8)
+    return bits
+
+
+def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, tokens: the sets of the wanted classes (cid), from their representatives' texts.
+
+    A filter of fixed size keeps most other rows from being hashed; the join after it is exact.
+    """
+    own = classes.join(wanted, "cid", "left_semi").select("cid", "rep", "n", "sig")
+    bits = _bits(own, "rep")
     shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = batch.column("bit").to_numpy()
-            hit = (shared.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
-            for part in cuts(batch.filter(pa.array(hit.astype(bool))), "text"):
+            hit = _is_set(shared.value, batch.column("bit").to_numpy())
+            for part in cuts(batch.filter(pa.array(hit)), "text"):
                 sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
                 sigs = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "tokens"]
                 )
 
-    rows = documents.withColumn("bit", bit("doc_id")).mapInArrow(lambda batches: released(run(batches), _HASHES), "doc_id long, sig binary, tokens binary")
+    rows = documents.withColumn("bit", _bit("doc_id")).mapInArrow(lambda batches: released(run(batches), _HASHES), "doc_id long, sig binary, tokens binary")
     match = rows.doc_id.eqNullSafe(own.rep) & (rows.sig == own.sig)
     return rows.join(own, match).select("cid", "tokens").dropDuplicates(["cid"])
 
@@ -470,13 +482,23 @@ def groups(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay: the one with the smallest id of each component, with all columns.
 
-    Of repeated rows with that id one stays; so does one row of a component without ids.
+    Of repeated rows with that id one stays; so does one row of a component without ids. Most rows stay: those
+    whose ids are not in a filter of the ids to look at (which go, or occur several times) are passed on where they
+    are, and only the others' texts are shuffled to be joined with the ids that stay.
     """
     found = kept(groups(documents).select("doc_id", "component_id"), "components")
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n")
+    ids = kept(found.groupBy("doc_id").agg(own, F.count("*").alias("rows")), "ids")
+    shared = documents.sparkSession.sparkContext.broadcast(_bits(ids.filter("n != 1 or rows > 1"), "doc_id"))
+
+    @F.arrow_udf(T.BooleanType())
+    def open_(places: pa.Array) -> pa.Array:
+        return pa.array(_is_set(shared.value, places.to_numpy()))
+
     names = documents.columns
     whole = documents.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    single, several = stays.filter("n = 1"), stays.filter("n > 1")
-    keep = whole.join(single, whole.id.eqNullSafe(single.doc_id), "left_semi")
-    again = whole.join(several, whole.id.eqNullSafe(several.doc_id), "left_semi").dropDuplicates(["id"])
-    return keep.unionByName(again).select("row.*")
+    passed, looked_at = whole.filter(~open_(_bit("id"))), whole.filter(open_(_bit("id")))
+    single, several = ids.filter("n = 1"), ids.filter("n > 1")
+    keep = looked_at.join(single, looked_at.id.eqNullSafe(single.doc_id), "left_semi")
+    again = looked_at.join(several, looked_at.id.eqNullSafe(several.doc_id), "left_semi").dropDuplicates(["id"])
+    return passed.unionByName(keep).unionByName(again).select("row.*")
