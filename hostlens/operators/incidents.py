@@ -38,7 +38,8 @@ def _window_pairs(alerts: DataFrame, samples: DataFrame, window: int) -> DataFra
     """Each alert with the samples of its instance in the window that ends at the trigger.
 
     Time is cut into window-sized cells, an alert looks into the two it can touch: an
-    equi-join on (instance, cell) instead of all pairs of an instance.
+    equi-join on (instance, cell) instead of all pairs of an instance. It is a merge join: Spark judges a table of alerts by the
+    size of its files, and laid out in cells with long keys it takes many times that as a broadcast.
     """
     width = F.lit(float(window))
     cell = F.floor(F.col("timestamp") / width)
@@ -52,7 +53,7 @@ def _window_pairs(alerts: DataFrame, samples: DataFrame, window: int) -> DataFra
         "inst", cell.alias("__cell"), "timestamp", "seq", *METRICS, "state"
     )
     return (
-        wanted.join(points, ["inst", "__cell"])
+        wanted.hint("merge").join(points, ["inst", "__cell"])
         .filter(F.col("timestamp").between(F.col("triggered_at") - window, F.col("triggered_at")))
         .drop("__cell")
     )
@@ -68,13 +69,16 @@ def incident_samples(alerts: DataFrame, samples: DataFrame, window: int = WINDOW
     return first_per_key(pairs, ["alert_id"], _newest_first(), cap, "newest").withColumn("value", _selected_metric())
 
 
-def _facts(alerts: DataFrame, samples: DataFrame, window: int, cap: int) -> DataFrame:
-    """Everything the summary and the evidence texts need: one row per alert."""
+def _facts(alerts: DataFrame, samples: DataFrame, window: int, cap: int, points: int | None = None) -> DataFrame:
+    """Everything the summary and the evidence texts need: one row per alert; with ``points`` also its timeline."""
     window = clamp_incident_window(window)
     kept = incident_samples(alerts, samples, window, cap)
     backwards = W.partitionBy("alert_id").orderBy(*_newest_first()).rowsBetween(W.unboundedPreceding, 0)
     holds = F.coalesce(matches(F.col("operator"), F.col("value"), F.col("threshold")), F.lit(False))
-    kept = kept.withColumn("misses", F.count_if(~holds).over(backwards))
+    kept, more = kept.withColumn("misses", F.count_if(~holds).over(backwards)), []
+    if points is not None:
+        kept, shown = _placed(kept, points), F.when(F.col("position").isNotNull(), F.struct(*_timeline_columns()))
+        more = [F.array_sort(F.collect_list(shown)).alias("timeline")]
     point = F.struct("timestamp", "value", "memory_rss", "memory_percent", "state")
     stamp = F.col("timestamp")
     folded = kept.groupBy("alert_id").agg(
@@ -84,6 +88,7 @@ def _facts(alerts: DataFrame, samples: DataFrame, window: int, cap: int) -> Data
         F.max(F.when(F.col("value").isNotNull(), F.struct("value", (-stamp).alias("earlier")))).alias("peak"),
         F.min(stamp).alias("first_at"),
         F.min(F.when(F.col("misses") == 0, stamp)).alias("run_start"),
+        *more,
     )
     totals = _window_pairs(alerts, samples, window).groupBy("alert_id").agg(F.count("*").alias("total"))
     now_value = F.col("current.value")
@@ -157,7 +162,12 @@ def incident_timeline(
     points: int = TIMELINE_POINTS,
 ) -> DataFrame:
     """At most ``points`` evenly picked samples per alert, always with the last one."""
-    kept = incident_samples(alerts, samples, window, cap)
+    kept = _placed(incident_samples(alerts, samples, window, cap), points)
+    return kept.filter(F.col("position").isNotNull()).select("alert_id", *_timeline_columns())
+
+
+def _placed(kept: DataFrame, points: int) -> DataFrame:
+    """The samples of each alert with their position in its timeline, null if they are not shown."""
     count = F.count("*").over(W.partitionBy("alert_id"))
     kept = kept.withColumn("__n", count).withColumn("__index", F.col("__n") - F.col("newest"))
     picks = F.sequence(F.lit(0), F.lit(points - 2))
@@ -168,20 +178,22 @@ def incident_timeline(
         .when(F.col("newest") == 1, F.lit(points - 1))
         .otherwise(sampled)
     )
+    return kept.withColumn("position", position)
+
+
+def _timeline_columns() -> list[Column]:
     is_alert = F.col("newest") == 1
     is_start = (F.col("__index") == 0) & (F.abs(F.col("timestamp") - F.col("create_time")) < 5)
-    shown = kept.withColumn("position", position).filter(F.col("position").isNotNull())
-    return shown.select(
-        "alert_id",
+    return [
         F.col("position").cast("int").alias("position"),
-        "timestamp",
+        F.col("timestamp"),
         fmt_time(F.col("timestamp")).alias("time"),
-        *METRICS,
-        "state",
+        *[F.col(m) for m in METRICS],
+        F.col("state"),
         is_alert.alias("is_alert"),
         is_start.alias("is_start"),
         F.when(is_alert, "Alert triggered").when(is_start, "Process started").otherwise("").alias("label"),
-    )
+    ]
 
 
 def _text(*parts) -> Column:
@@ -284,21 +296,17 @@ def incident_documents(
     alerts: DataFrame, samples: DataFrame, window: int = WINDOW, cap: int = SAMPLE_CAP
 ) -> DataFrame:
     """One nested document per alert: incident, process, summary, timeline, evidence, window."""
-    facts = _with_shown(_facts(incident_header(alerts), samples, window, cap))
+    facts = _with_shown(_facts(incident_header(alerts), samples, window, cap, TIMELINE_POINTS))
     texts = facts.withColumn("summary", F.struct(*_summary_columns())).withColumn("evidence", _evidence_texts())
-    timeline = incident_timeline(alerts, samples, window, cap)
-    entry = [c for c in timeline.columns if c != "alert_id"]
-    timelines = timeline.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("timeline"))
     process = ["host", "pid", "create_time", "process_name", "username", "started_at", "started_time", "age_seconds_at_alert"]
     incident = [c for c in alerts.columns if c != "alert_id"]
     return (
-        texts.join(timelines, "alert_id", "left")
-        .select(
+        texts.select(
             "alert_id",
             F.struct(*incident).alias("incident"),
             F.struct(*process).alias("process"),
             "summary",
-            F.coalesce("timeline", F.array().cast(timelines.schema["timeline"].dataType)).alias("timeline"),
+            F.coalesce("timeline", F.array().cast(facts.schema["timeline"].dataType)).alias("timeline"),
             "evidence",
             F.struct(
                 F.col("summary.window_start").alias("start"),

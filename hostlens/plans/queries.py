@@ -49,12 +49,22 @@ def _alerts(spark: SparkSession, folder: str) -> DataFrame:
     return al.evaluate_alerts(fd.samples(spark, folder), fd.rules(spark), SLICE)
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a stored table, for what reads them more than once."""
+    spark = rows.sparkSession
+    path = work_folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _alert_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The alerts as a stored table, for reports that read them more than once."""
-    path = work_folder(spark, "alerts")
-    alerts = _alerts(spark, folder)
-    alerts.write.parquet(path)
-    return spark.read.schema(alerts.schema).parquet(path)
+    return _stored(_alerts(spark, folder), "alerts")
+
+
+def _alerts_and_samples(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both as stored tables: the copies are told apart once, not again for each pass over the samples."""
+    samples = _stored(fd.samples(spark, folder), "samples")
+    return _stored(al.evaluate_alerts(samples, fd.rules(spark), SLICE), "alerts"), samples
 
 
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
@@ -681,7 +691,7 @@ def notification_outbox(spark, folder):
 
 @query
 def incident_samples(spark, folder):
-    rows = inc.incident_samples(_alert_table(spark, folder), fd.samples(spark, folder), 600, cap=15)
+    rows = inc.incident_samples(*_alerts_and_samples(spark, folder), 600, cap=15)
     return rows.select(
         F.substring_index("alert_id", "|", 1).alias("rule_id"), "seq", "triggered_at", "timestamp", "newest", "value"
     )
@@ -689,12 +699,12 @@ def incident_samples(spark, folder):
 
 @query
 def incident_summary(spark, folder):
-    return inc.incident_summary(_alert_table(spark, folder), fd.samples(spark, folder))
+    return inc.incident_summary(*_alerts_and_samples(spark, folder))
 
 
 @query
 def incident_summary_hour(spark, folder):
-    return inc.incident_summary(_alert_table(spark, folder), fd.samples(spark, folder), 3600, cap=20)
+    return inc.incident_summary(*_alerts_and_samples(spark, folder), 3600, cap=20)
 
 
 @query
@@ -706,7 +716,7 @@ def incident_header(spark, folder):
 
 @query
 def incident_timeline(spark, folder):
-    rows = inc.incident_timeline(_alert_table(spark, folder), fd.samples(spark, folder), 3600)
+    rows = inc.incident_timeline(*_alerts_and_samples(spark, folder), 3600)
     key = F.split("alert_id", r"\|")
     return rows.select(
         key.getItem(0).alias("rule_id"),
@@ -719,18 +729,18 @@ def incident_timeline(spark, folder):
 
 @query
 def incident_evidence(spark, folder):
-    return inc.incident_evidence(_alert_table(spark, folder), fd.samples(spark, folder))
+    return inc.incident_evidence(*_alerts_and_samples(spark, folder))
 
 
 @query
 def incident_evidence_hour(spark, folder):
-    return inc.incident_evidence(_alert_table(spark, folder), fd.samples(spark, folder), 3600)
+    return inc.incident_evidence(*_alerts_and_samples(spark, folder), 3600)
 
 
 @query
 def incident_documents(spark, folder):
     """The nested documents, with a few of their parts laid open."""
-    docs = inc.incident_documents(_alert_table(spark, folder), fd.samples(spark, folder))
+    docs = inc.incident_documents(*_alerts_and_samples(spark, folder))
     last = F.element_at("timeline", -1)
     return docs.select(
         *[F.col(f"incident.{c}").alias(c) for c in ALERT_KEY],

@@ -116,3 +116,15 @@ def test_all_alerts_at_once(spark):
     assert len(got) == 30
     assert [g.sample_count for g in got[:7]] == [1, 3, 5, 7, 9, 11, 11]
     assert inc.incident_documents(alerts, frame, 10).filter(F.size("timeline") > 0).count() == 30
+
+
+def test_alerts_are_not_broadcast_to_the_samples(spark, tmp_path):
+    """A small file of alerts grows many times over when it is laid out in cells: the driver must not gather it."""
+    alert_at(spark, CREATED + 40).write.parquet(f"{tmp_path}/alerts")
+    series(spark, [10.0, 85.0], step=20.0).write.parquet(f"{tmp_path}/samples")
+    alerts, frame = spark.read.parquet(f"{tmp_path}/alerts"), spark.read.parquet(f"{tmp_path}/samples")
+    plan = inc.incident_samples(alerts, frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    document = inc.incident_documents(alerts, frame).first()
+    shown = inc.incident_timeline(alerts, frame).orderBy("position").drop("alert_id").collect()
+    assert document.timeline == shown and len(shown) == 2
