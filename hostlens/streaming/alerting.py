@@ -7,6 +7,7 @@ import math
 import sys
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -15,10 +16,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Workers get this module with the processor; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATE_OUTPUT = (
-    "rule_id string, host string, pid bigint, create_time double, triggered_at double,"
-    " transition string, seen_at double, value double, process_name string, username string"
+# Rows cross to the workers as JSON texts, samples one by one and changes by the thousand: a field by itself costs a conversion there.
+STATE_OUTPUT = "inst string, changes string"
+CHANGES = (
+    "array<struct<rule_id:string,triggered_at:double,transition:string,seen_at:double,value:double,"
+    "process_name:string,username:string>>"
 )
+CHANGES_A_ROW = 1_000
+SAMPLE_FIELDS = ["received_at", "seq", "timestamp", "process_name", "username"]
 ENTRY = "struct<rule_id:string,true_since:double,run:bigint,last_at:double,quiet_until:double,triggered_at:double>"
 ENTRY_FIELDS = ["true_since", "run", "last_at", "quiet_until", "triggered_at"]
 STATE_SCHEMA = f"entries array<{ENTRY}>, received double"
@@ -35,6 +40,20 @@ MAX_BYTES = 900_000
 _NEW = (None, 0, None, 0.0, None)
 
 
+class _Sample(NamedTuple):
+    received_at: float
+    seq: int
+    timestamp: float
+    process_name: str | None
+    username: str | None
+    values: dict
+
+
+def _sample(text: str) -> _Sample:
+    fields = json.loads(text)
+    return _Sample(*[fields.get(n) for n in SAMPLE_FIELDS], fields)
+
+
 class AlertProcessor(StatefulProcessor):
     """Per instance one value: the entries (rule, true_since, run, last_at, quiet_until, triggered_at) and the newest receipt time.
 
@@ -62,19 +81,26 @@ class AlertProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Rows of one trigger come unordered.
-        ordered = sorted(rows, key=lambda r: (r.received_at, r.seq))
+        ordered = sorted((_sample(row[1]) for row in rows), key=lambda s: (s.received_at, s.seq))
         held = self.state.get() if self.state.exists() else None
         entries = {e[0]: tuple(e[1:]) for e in held[0] or [] if e[0] in self.known_ids} if held else {}
         received = held[1] if held else None
+        changes: list = []
         for part in self._stays(ordered, received):
             if part is not ordered and part[0] is None:
                 entries, part = {}, part[1:]
             for rule in self.rules:
-                yield from self._follow(rule, part, entries)
+                for change in self._follow(rule, part, entries):
+                    changes.append(change)
+                    if len(changes) == CHANGES_A_ROW:
+                        yield Row(inst=key[0], changes=json.dumps(changes))
+                        changes = []
+        if changes:
+            yield Row(inst=key[0], changes=json.dumps(changes))
         newest = max([ordered[-1].received_at] + ([received] if received is not None else []))
         self._keep(entries, newest)
 
-    def _stays(self, rows: list[Row], received: float | None) -> Iterator[list]:
+    def _stays(self, rows: list[_Sample], received: float | None) -> Iterator[list]:
         """The rows cut where the instance was away too long; such parts begin with None."""
         if self.expire_after is None:
             yield rows
@@ -108,15 +134,17 @@ class AlertProcessor(StatefulProcessor):
         self.state.clear()
         return iter([])
 
-    def _follow(self, rule: dict, rows: list[Row], entries: dict) -> Iterator[Row]:
+    def _follow(self, rule: dict, rows: list[_Sample], entries: dict) -> Iterator[dict]:
         since, run, last_at, quiet_until, fired_at = entries.get(rule["rule_id"], _NEW)
-        touched = False
+        touched, metric, test = False, rule["metric"], _TESTS[rule["operator"]]
         for row in rows:
-            value, at = row[rule["metric"]], row.timestamp
+            value, at = row.values.get(metric), row.timestamp
             if value is None or (last_at is not None and at <= last_at):
                 continue
             touched, last_at, kind, alert = True, at, None, fired_at
-            if _TESTS[rule["operator"]](value, rule["threshold"]):
+            # Numbers that are not finite are texts in JSON.
+            value = float(value) if isinstance(value, str) else value
+            if test(value, rule["threshold"]):
                 since, run = (at if since is None else since), run + 1
                 if fired_at is not None:
                     kind = "updated"
@@ -127,11 +155,10 @@ class AlertProcessor(StatefulProcessor):
                 if fired_at is not None:
                     kind, quiet_until, fired_at = "resolved", at + rule["cooldown"], None
             if kind:
-                yield Row(
-                    rule_id=rule["rule_id"], host=row.host, pid=row.pid, create_time=row.create_time,
-                    triggered_at=alert, transition=kind, seen_at=at, value=float(value),
-                    process_name=row.process_name, username=row.username,
-                )
+                yield {
+                    "rule_id": rule["rule_id"], "triggered_at": alert, "transition": kind, "seen_at": at, "value": float(value),
+                    "process_name": row.process_name, "username": row.username,
+                }
         if touched:
             entries[rule["rule_id"]] = (since, run, last_at, quiet_until, fired_at)
 

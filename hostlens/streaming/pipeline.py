@@ -22,7 +22,7 @@ from hostlens.operators.outbox import notification_outbox, write_outbox
 from hostlens.schemas import IDENTITY, INSTANCE, SAMPLE
 from hostlens.sources.envelopes import envelope_samples, next_number, parse_envelopes, stream_lines
 from hostlens.sources.stored import LOG_SCHEMA, read_current
-from hostlens.streaming.alerting import RULE_FIELDS, STATE_OUTPUT, AlertProcessor
+from hostlens.streaming.alerting import CHANGES, RULE_FIELDS, SAMPLE_FIELDS, STATE_OUTPUT, AlertProcessor
 
 RETENTION = "30 days"
 
@@ -136,15 +136,23 @@ def stream_alerts(
     ``grace`` seconds after the newest receipt of all; by default state is kept. ``seeds`` (see ``alert_seeds``) are
     the state of a query that starts without a checkpoint.
     """
-    processor = AlertProcessor([row.asDict() for row in rules.select(*RULE_FIELDS).collect()], expire_after)
-    keyed = samples.select(instance_key().alias("inst"), *[f.name for f in SAMPLE.fields])
+    known = [row.asDict() for row in rules.select(*RULE_FIELDS).collect()]
+    processor = AlertProcessor(known, expire_after)
+    sample = F.to_json(F.struct(*SAMPLE_FIELDS, *sorted({rule["metric"] for rule in known})))
+    keyed = samples.select(instance_key().alias("inst"), sample.alias("sample"), "received_at")
     if expire_after is not None:
         # The server's clock: no host's clock can make others' rows late.
         keyed = keyed.withColumn("received_time", event_time(F.col("received_at")))
         keyed = keyed.withWatermark("received_time", f"{int(grace * 1000)} milliseconds")
+    keyed = keyed.drop("received_at")
     start = {"initialState": seeds.groupBy("inst")} if seeds is not None else {}
     mode = "None" if expire_after is None else "EventTime"
-    return keyed.groupBy("inst").transformWithState(processor, STATE_OUTPUT, outputMode="Update", timeMode=mode, **start)
+    packed = keyed.groupBy("inst").transformWithState(processor, STATE_OUTPUT, outputMode="Update", timeMode=mode, **start)
+    changes = packed.select("inst", F.inline(F.from_json("changes", CHANGES)))
+    return changes.select(
+        "rule_id", *[c.alias(n) for n, c in instance_parts().items()],
+        "triggered_at", "transition", "seen_at", "value", "process_name", "username",
+    )
 
 
 def alert_state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:

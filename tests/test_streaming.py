@@ -1,6 +1,6 @@
 import random
 
-from helpers import CREATED, alert_tuples, frame_tuples, rule, rules, sample, samples, sequential
+from helpers import CREATED, alert_tuples, frame_tuples, rule, rules, sample, samples, sequential, series
 from hostlens.operators.alerts import alerts_from_transitions
 from hostlens.session import configure
 from hostlens.streaming import pipeline as st
@@ -165,3 +165,18 @@ def test_a_wrong_clock_makes_no_other_row_late(spark, tmp_path):
     assert sum(r.activity for r in rows.values()) == 7 and len(rows) == 3
     near = rows[(CREATED + 10) // 60 * 60]
     assert (near.activity, near.cpu) == (4, round((12.5 + 3.5 + 99.0) / 3, 3))
+
+
+def test_samples_and_changes_cross_to_the_workers_packed(spark, tmp_path):
+    """A trigger's rows go to the workers as a key and one text each, and come back as one text for a thousand changes."""
+    readings = [float("nan"), 90.0, 10.0] + [90.0] * 1_500
+    series(spark, readings).write.parquet(f"{tmp_path}/samples")
+    known = rules(spark, rule(consecutive_samples=1, cooldown=0.0))
+    stream = st.stream_alerts(st.stream_table(spark, f"{tmp_path}/samples"), known)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "to_json" in plan and "from_json" in plan
+    st.start_changes(stream, f"{tmp_path}/changes", f"{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/changes").groupBy("host", "pid", "create_time", "transition").count().collect()
+    assert {(r.host, r.pid, r.create_time, r.transition, r["count"]) for r in rows} == {
+        ("h1", 101, CREATED, "triggered", 2), ("h1", 101, CREATED, "resolved", 1), ("h1", 101, CREATED, "updated", 1_499),
+    }
