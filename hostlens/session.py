@@ -67,3 +67,15 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark)}/hostlens-{name}-{uuid.uuid4().hex}"
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder, making the folders above the new name; false if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(source)):
+        return False
+    files.mkdirs(path(target).getParent())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"{source} was not renamed to {target}")
+    return True

@@ -185,5 +185,5 @@ def to_envelopes(samples: DataFrame, group: list[str]) -> DataFrame:
     return (
         samples.groupBy("host", *group)
         .agg(F.array_sort(F.collect_list(sample)).alias("samples"))
-        .select(*group, F.to_json(F.struct("host", "samples"), {"ignoreNullFields": "false"}).alias("value"))
+        .select("host", *group, F.to_json(F.struct("host", "samples"), {"ignoreNullFields": "false"}).alias("value"))
     )

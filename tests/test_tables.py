@@ -46,3 +46,16 @@ def test_first_per_key_is_limited_before_the_shuffle(spark):
     for plan in (plan_of(latest), plan_of(top_processes(latest)), plan_of(accept_samples(frame))):
         assert "row_number(), 1, Partial" in plan
     assert latest.filter(F.col("seq") >= 6).count() == 3
+
+
+def test_replay_makes_all_slices_in_one_pass(spark, monkeypatch):
+    """The feed is laid out in lines once for all slices, and every slice arrives whole."""
+    from hostlens.plans import replay as re
+
+    made, folder = [], "/root/testdata/sf0.001"
+    plain = re.envelopes
+    monkeypatch.setattr(re, "envelopes", lambda *a, **b: made.append(1) or plain(*a, **b))
+    run = re.replay(spark, folder)
+    assert made == [1]
+    sent = spark.read.text(f"{run.root}/incoming").groupBy("slice").count().count()
+    assert sent == re.SLICES and run.samples.count() == re.feed.samples(spark, folder).count()
