@@ -3,8 +3,8 @@
 Two sets link when 100 * |a and b| >= 75 * |a or b|. An n-gram stands for its 64-bit hash.
 
 1. Signatures. Each document's set is hashed to (size, digest); equal sets form a class and only classes are
-   joined. A set's order puts n-grams that are frequent within a task last (`hot`), so that passages
-   shared by many documents lie outside the prefixes.
+   joined. A set's order puts the n-grams last whose place in a table of counts over all rows is frequent, so
+   that passages shared by many documents lie outside the prefixes, however few of these documents a task holds.
 2. Index. A linked pair shares an n-gram among the first n - ceil(3n/4) + 1 of both sets. Prefix entries
    (n-gram, class, position, size) go to buckets by n-gram, packed, sorted by n-gram and size.
 3. Skipping in the lists. A list is cut off where the sizes differ too much, and an entry whose position
@@ -28,6 +28,7 @@ component of such rows only has a null id; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +44,9 @@ from hostlens.llm.components import components
 WORDS = 5
 #: Longest list whose pairs are all taken at once.
 SHORT = 8
-#: An n-gram that occurs so often within one task counts as hot; at most so many are ordered by count. The
-#: order decides how many candidates there are, never which pairs are found.
-HOT_COUNT, HOT_MOST = 12, 200_000
+#: N-grams are counted by the first bits of their hashes; places of a part that are summed together. The order made from
+#: the counts decides how many candidates there are, never which pairs are found.
+COUNT_BITS, COUNT_PART = 22, 1 << 14
 #: Prefix entries of a bucket, and bits of the filter for the rows that verification needs.
 BUCKET_ENTRIES, FILTER_BITS = 500_000, 1 << 23
 
@@ -128,40 +129,48 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str
             yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
 
 
-def hot_shingles(rows: DataFrame) -> np.ndarray:
-    """Frequent n-grams, the least frequent first: at most HOT_MOST hashes."""
+def _counted(held: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def emit() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= HOT_COUNT
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+def _summed(counts: pa.Table) -> pa.Table:
+    """The levels of one part's places: eight steps for each doubling of their counts."""
+    total = sum(np.frombuffer(zlib.decompress(c), "<u2").astype(np.int64) for c in counts.column("counts").to_pylist())
+    level = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+    return pa.table({"part": counts.column("part").slice(0, 1), "counts": pa.array([level.tobytes()], pa.binary())})
 
-        size = 0
+
+def frequency_levels(rows: DataFrame) -> np.ndarray:
+    """How frequent the n-grams of each place are in all rows; an n-gram's place is the first COUNT_BITS of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(1 << COUNT_BITS, np.uint32), [], 0
         for _, text in _texts(batches):
             held.append(shingles(text))
             size += len(held[-1])
-            if size > 8_000_000:
-                yield emit()
+            if size > 2_000_000:
+                total += _counted(held).astype(np.uint32)
+                held.clear()
                 size = 0
         if held:
-            yield emit()
+            total += _counted(held).astype(np.uint32)
+        # A task's counts end at 65,535: what is so frequent comes last in any case.
+        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(np.minimum(total, 65_535).astype("<u2"), len(total) // COUNT_PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
-    counted = rows.mapInArrow(lambda batches: released(run(batches), _HASHES), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT_MOST).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    counts = rows.mapInArrow(lambda batches: released(run(batches), _HASHES), "part int, counts binary")
+    levels = np.zeros(1 << COUNT_BITS, np.uint8)
+    for part, data in counts.groupBy("part").applyInArrow(_summed, "part int, counts binary").collect():  # 2 ** COUNT_BITS bytes in all
+        levels[part * COUNT_PART : (part + 1) * COUNT_PART] = np.frombuffer(data, np.uint8)
+    return levels
 
 
-def signatures(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
     """doc_id, n, sig, sketch, prefix of every row; all but the first two are null for a row without words."""
-    order = np.argsort(hot)
-    shared = rows.sparkSession.sparkContext.broadcast((hot[order], order))
+    shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        level = shared.value
         lot: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
@@ -178,11 +187,7 @@ def signatures(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                 lot.append((doc_id, 0, None, None, None))
             else:
                 sig, parities = hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sketch(found)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    is_hot = known[at] == found
-                    places = np.argsort(rank[at[is_hot]], kind="stable")
-                    found = np.concatenate([found[~is_hot], found[is_hot][places]])
+                found = found[np.argsort(level[found >> np.uint64(64 - COUNT_BITS)], kind="stable")]
                 lot.append((doc_id, n, sig, parities, found[: prefix_length(n)].tobytes()))
             if len(lot) >= 1000:
                 yield emit()
@@ -455,7 +460,7 @@ def class_links(documents: DataFrame, classes: DataFrame, found: DataFrame) -> D
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; class_size counts the rows with an equal set."""
     rows = chosen(documents, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    signed = kept(signatures(rows, hot_shingles(rows)), "signed")
+    signed = kept(signatures(rows, frequency_levels(rows)), "signed")
     grouped = signed.filter("n > 0").groupBy("n", "sig").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("sketch").alias("sketch")
     )

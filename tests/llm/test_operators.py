@@ -231,6 +231,19 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert tried[0].count() < 10 * len(texts)
 
 
+def test_jaccard_passage_rare_within_tasks(spark, monkeypatch):
+    """A passage that each of many tasks sees a few times only lies outside the prefixes: no list grows with the number of tasks."""
+    r, passage = random.Random(9), " ".join(f"p{k}" for k in range(40))
+    texts = [(i, " ".join(f"u{i}x{k}" for k in range(r.randint(100, 140))) + " " + passage) for i in range(160)]
+    found, pairs_of = [], jaccard._entries
+    monkeypatch.setattr(jaccard, "_entries", lambda rows, buckets: found.append(rows) or pairs_of(rows, buckets))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(32)
+    assert Counter(map(tuple, jaccard.groups(docs).drop("class_size").collect())) == _groups(texts)
+    shared = set(jaccard.shingles(passage).tolist())
+    prefixes = [np.frombuffer(x["prefix"], "<u8").tolist() for x in found[0].collect()]
+    assert len(prefixes) == len(texts) and not any(shared & set(p) for p in prefixes)
+
+
 @pytest.mark.parametrize("at_once", [0, 30, 1000])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(components, "TASK_EDGES", at_once)
