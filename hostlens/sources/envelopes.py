@@ -117,9 +117,7 @@ def parse_envelopes(lines: DataFrame, max_samples: int = 500, replay: bool = Fal
     Text that is not one JSON object (also with NaN in it, or more text behind it) is an invalid batch.
     """
     lines = lines.withColumns({n: F.lit(None).cast(kind) for n, kind in _FROM_FILE.items() if n not in lines.columns})
-    # The upper half of the line number tells partitions apart, for lines without a place.
-    rows = lines.withColumns({"line": F.monotonically_increasing_id(), "json": F.when(F.col("value").rlike(r"\}\s*$"), F.try_parse_json("value"))})
-    rows = rows.withColumn("part", F.shiftright("line", 33).cast("int"))
+    rows = lines.withColumn("json", F.when(F.col("value").rlike(r"\}\s*$"), F.try_parse_json("value")))
     # Each step reads the one before once, so a sample is parsed and typed a single time.
     rows = rows.withColumn("host", _read(_first_given("json", ["host", HOST_ALIAS])))
     rows = rows.withColumn("host", stripped(_Field(F.col("host")).string()))
@@ -129,8 +127,11 @@ def parse_envelopes(lines: DataFrame, max_samples: int = 500, replay: bool = Fal
     rows = rows.withColumn("samples", F.transform("samples", _texts)).withColumn("samples", F.transform("samples", _typed))
     rows = rows.withColumn("samples", F.transform("samples", _checked)).withColumn("batch_id", F.sha2("value", 256))
     all_valid = F.forall("samples", lambda s: F.size(s["errors"]) == 0) & valid_host(F.col("host"))
-    reason = batch_verdict(F.size("samples"), all_valid, max_samples)
-    return rows.withColumn("reason", reason).select("batch_id", "host", "samples", "reason", "value", *PLACE, "line")
+    rows = rows.withColumn("reason", batch_verdict(F.size("items"), all_valid, max_samples))
+    # The upper half of the line number tells partitions apart, for lines without a place. Lines are numbered last: a filter on
+    # the reason is not moved below the number, where the samples would be parsed once for each time the reason names them.
+    rows = rows.withColumn("line", F.monotonically_increasing_id()).withColumn("part", F.shiftright("line", 33).cast("int"))
+    return rows.select("batch_id", "host", "samples", "reason", "value", *PLACE, "line")
 
 
 def _blocks(envelopes: DataFrame) -> DataFrame:

@@ -93,6 +93,14 @@ def test_envelopes_resolve_old_names_only_when_the_new_are_absent(spark):
     assert rows[0].cpu_percent is None and rows[0].pid == 1 and rows[0].timestamp == 20.5
 
 
+def test_admission_does_not_parse_samples_again(spark, tmp_path):
+    """The filter on the reason stands above the parsed samples; below them it would parse them for each use of the reason."""
+    (tmp_path / "lines").write_text(json.dumps({"host": "h", "samples": [entry()]}) + "\n")
+    plan = en.envelope_samples(en.read_envelopes(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line.split("[")[0].split("(")[0]]
+    assert any("reason" in line for line in filters) and not any("variant" in line for line in filters)
+
+
 def test_envelope_reasons(spark):
     lines = [
         "{broken", {"host": "h", "samples": []}, {"samples": [entry()]}, {"host": "h", "samples": [entry(pid=1.5)]},
