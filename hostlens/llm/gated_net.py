@@ -1,9 +1,10 @@
 """A small gated recurrent network with a class-factored softmax, in numpy.
 
-A symbol's probability is that of its class times that within its class, both from the state. Documents
-lie one after another on parallel lanes; a lane's state is carried from window to window and cleared where a
-document begins, so a document's log-likelihood is complete however long it is. Training goes back through
-one window.
+A symbol's probability is that of its class's group, times that of the class within the group, times that within the
+class, all from the state. Documents lie one after another on parallel lanes; a lane's state is carried from window to
+window and cleared where a document begins, so a document's log-likelihood is complete however long it is. Training
+goes back through one window. Where few lanes go on (one document may be as long as many), windows are longer, so that
+each holds about as many tokens.
 """
 
 from __future__ import annotations
@@ -15,31 +16,34 @@ import numpy as np
 
 UNITS = 16
 LANES, WINDOW = 256, 32
+#: Tokens that a window holds at least, if lanes go on, when documents are scored; training takes half a full window.
+TOKENS = 1 << 16
+#: Terms of a softmax, and parameters of a step, at a time: they stay in the processor's cache.
+CELLS, STRIDE = 1 << 16, 1 << 15
 
 
 @dataclass
 class Layout:
-    """Symbols 0..n-1 with their classes; symbol n stands for the begin of a document."""
+    """Symbols 0..n-1 with their classes, which do not fall; symbol n stands for the begin of a document."""
 
     class_of: np.ndarray
     classes: int
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.class_of, kind="stable")
-        sizes = np.bincount(self.class_of, minlength=self.classes)
-        self.members = np.split(order, np.cumsum(sizes)[:-1])
-        # Columns of each class: a slice, which copies nothing, where its members lie side by side.
-        self.columns = [slice(m[0], m[-1] + 1) if len(m) and m[-1] - m[0] + 1 == len(m) else m for m in self.members]
-        self.place = np.zeros(len(self.class_of), np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        groups = max(1, round(self.classes**0.5))
+        self.group_of = np.arange(self.classes) * groups // self.classes
+        # Where the symbols of each class begin, and the classes of each group; behind the last, the end.
+        self.bounds = np.searchsorted(self.class_of, np.arange(self.classes + 1))
+        self.members = np.split(np.arange(len(self.class_of)), self.bounds[1:-1])
+        self.parts = np.searchsorted(self.group_of, np.arange(groups + 1))
 
     @property
     def shapes(self) -> dict[str, tuple[int, ...]]:
+        """Of wg, wc and ww, weights of the groups, classes and symbols, the last column is the bias."""
         n, u = len(self.class_of), UNITS
         return {
             "emb": (n + 1, u), "wx": (u, 3 * u), "wh": (u, 3 * u), "b": (3 * u,),
-            "wc": (u, self.classes), "bc": (self.classes,), "ww": (u, n), "bw": (n,),
+            "wg": (len(self.parts) - 1, u + 1), "wc": (self.classes, u + 1), "ww": (n, u + 1),
         }
 
     @property
@@ -57,13 +61,11 @@ class Layout:
         """Parameters to begin with: small random ones, and the symbols' shares as biases."""
         flat = np.random.default_rng(7).normal(0, 0.15, self.size).astype(np.float32)
         p = self.views(flat)
-        share = np.log(counts + 1.0)
-        p["bw"][:] = share
-        p["bc"][:] = [np.log((counts[m] + 1.0).sum()) if len(m) else -30.0 for m in self.members]
-        p["bc"] -= np.log((counts + 1.0).sum())
-        for m in self.members:
-            if len(m):
-                p["bw"][m] -= share[m].max()
+        held = np.bincount(self.class_of, counts + 1.0, self.classes)
+        p["ww"][:, UNITS] = np.log(counts + 1.0) - np.log(held[self.class_of])
+        group = np.bincount(self.group_of, held)
+        p["wc"][:, UNITS] = np.where(held > 0, np.log(np.maximum(held, 1.0)) - np.log(np.maximum(group, 1.0))[self.group_of], -30.0)
+        p["wg"][:, UNITS] = np.where(group > 0, np.log(np.maximum(group, 1.0)) - np.log(group.sum()), -30.0)
         p["b"][:] = 0
         return flat
 
@@ -104,82 +106,92 @@ class Net:
     def _forward(self, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray):
         p, u = self.p, UNITS
         x = p["emb"][inputs]
-        xg = x.reshape(-1, u) @ p["wx"] + p["b"]
-        xg = xg.reshape(*inputs.shape, 3 * u)
-        trace = []
-        states = np.empty((*inputs.shape, u), np.float32)
+        xg = (x.reshape(-1, u) @ p["wx"] + p["b"]).reshape(*inputs.shape, 3 * u)
+        begins = (keep == 0).any(axis=1)
+        states, before, new, hn = (np.empty((*inputs.shape, u), np.float32) for _ in range(4))
+        rz = np.empty((*inputs.shape, 2 * u), np.float32)
         for t in range(len(inputs)):
-            before = h * keep[t][:, None]
-            hg = before @ p["wh"]
-            rz = _sigmoid(xg[t, :, : 2 * u] + hg[:, : 2 * u])
-            r, z = rz[:, :u], rz[:, u:]
-            new = np.tanh(xg[t, :, 2 * u :] + r * hg[:, 2 * u :])
-            h = new + z * (before - new)
-            states[t] = h
-            trace.append((before, r, z, new, hg[:, 2 * u :]))
-        return h, states, x, trace
+            if begins[t]:
+                h = h * keep[t][:, None]
+            before[t] = h
+            hg = h @ p["wh"]
+            gates = _sigmoid(np.add(xg[t, :, : 2 * u], hg[:, : 2 * u], out=rz[t]))
+            hn[t] = hg[:, 2 * u :]
+            n = np.multiply(gates[:, :u], hn[t], out=new[t])
+            n += xg[t, :, 2 * u :]
+            np.tanh(n, out=n)
+            h = np.subtract(h, n, out=states[t])
+            h *= gates[:, u:]
+            h += n
+        return h, states, x, (begins, before, rz, new, hn)
+
+    def _level(self, name: str, rows: np.ndarray, at: np.ndarray, bounds: np.ndarray, log_p: np.ndarray, back: np.ndarray, gradients=None):
+        """Adds to each row's log-probability that of ``at`` (which does not fall) among the weights of its part, and
+        to ``back`` the gradients of the states; a part is what lies between two bounds."""
+        ends = np.searchsorted(at, bounds)
+        place = at - np.repeat(bounds[:-1], np.diff(ends))
+        # A part of one symbol has nothing to choose.
+        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(bounds) > 1)):
+            part = slice(bounds[k], bounds[k + 1])
+            w = self.p[name][part]
+            ones, most = np.ones(len(w), np.float32), max(64, CELLS // len(w))
+            for begin in range(ends[k], ends[k + 1], most):
+                cut = slice(begin, min(begin + most, ends[k + 1]))
+                h = rows[cut]
+                e = h @ w.T
+                e.clip(-50, 50, out=e)
+                chosen = np.arange(0, e.size, len(w)) + place[cut]
+                cells = e.reshape(-1)
+                log_p[cut] += cells[chosen]
+                np.exp(e, out=e)
+                sums = e @ ones  # faster than a sum by rows
+                log_p[cut] -= np.log(sums)
+                if gradients is not None:
+                    e *= (1 / sums)[:, None]
+                    cells[chosen] -= 1
+                    back[cut] += e @ w[:, :UNITS]
+                    gradients[name][part] += e.T @ h
 
     def _output(self, h: np.ndarray, target: np.ndarray, gradients: dict[str, np.ndarray] | None = None):
         """Natural log-probability of each target; with gradients, adds to them and returns the states' too."""
-        p, layout = self.p, self.layout
-        rows = np.arange(len(target))
-        cls = layout.class_of[target]
-
-        def softmax(logits, at):
-            np.clip(logits, -50, 50, out=logits)
-            chosen = logits[np.arange(len(at)), at]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1, keepdims=True)
-            return chosen - np.log(total[:, 0]), logits, total
-
-        log_p, e, total = softmax(h @ p["wc"] + p["bc"], cls)
-        dh = None
-        if gradients is not None:
-            e /= total
-            e[rows, cls] -= 1
-            gradients["wc"] += h.T @ e
-            gradients["bc"] += e.sum(axis=0)
-            dh = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.cumsum(np.bincount(cls, minlength=layout.classes))
-        begin = 0
-        for k, end in enumerate(ends):
-            members = layout.columns[k]
-            if end > begin and len(layout.members[k]) > 1:
-                at = order[begin:end]
-                hs, own = h[at], layout.place[target[at]]
-                weights = p["ww"][:, members]
-                inner, e, total = softmax(hs @ weights + p["bw"][members], own)
-                log_p[at] += inner
-                if gradients is not None:
-                    e /= total
-                    e[np.arange(len(at)), own] -= 1
-                    gradients["ww"][:, members] += hs.T @ e
-                    gradients["bw"][members] += e.sum(axis=0)
-                    dh[at] += e @ weights.T
-            begin = end
+        layout = self.layout
+        # Rows by symbol, so that those of a class lie side by side.
+        order = np.argsort(target.astype(np.min_scalar_type(len(layout.class_of))), kind="stable")
+        rows = np.empty((len(h), UNITS + 1), np.float32)
+        rows[:, :UNITS], rows[:, UNITS] = h[order], 1
+        symbol = target[order].astype(np.int64)
+        cls = layout.class_of[symbol]
+        found, back = np.zeros(len(h), np.float32), np.zeros((len(h), UNITS), np.float32)
+        every = np.array([0, len(layout.parts) - 1])
+        for name, at, bounds in (("wg", layout.group_of[cls], every), ("wc", cls, layout.parts), ("ww", symbol, layout.bounds)):
+            self._level(name, rows, at, bounds, found, back, gradients)
+        log_p, dh = np.empty_like(found), np.empty_like(back)
+        log_p[order], dh[order] = found, back
         return log_p, dh
 
-    def _windows(self, documents: list[np.ndarray], count: int, width: int):
+    def _windows(self, documents: list[np.ndarray], count: int, width: int, tokens: int = 1):
         target, owner, begin = lanes(documents, count)
         start = len(self.layout.class_of)
-        for at in range(0, len(target), width):
+        at = end = 0
+        while end < len(target):
+            at = end
             live = int((target[at] >= 0).sum())  # lanes that go on, which are the first ones
-            t = target[at : at + width, :live]
+            end = at + max(width, tokens // live)
+            t = target[at:end, :live]
             inputs = np.full(t.shape, start, np.int64)
             if at:
                 inputs[0] = target[at - 1, :live]
             inputs[1:] = np.where(t[:-1] < 0, start, t[:-1])
-            b = begin[at : at + width, :live]
+            b = begin[at:end, :live]
             inputs[b] = start
-            yield t, owner[at : at + width, :live], inputs, (~b).astype(np.float32)
+            yield t, owner[at:end, :live], inputs, (~b).astype(np.float32)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each sequence of symbols."""
         out = np.zeros(len(documents))
         count = min(LANES, max(1, len(documents)))
         h = np.zeros((count, UNITS), np.float32)
-        for target, owner, inputs, keep in self._windows(documents, count, 2 * WINDOW):
+        for target, owner, inputs, keep in self._windows(documents, count, 2 * WINDOW, TOKENS):
             h, states, _, _ = self._forward(h[: target.shape[1]], inputs, keep)
             valid = target >= 0
             log_p, _ = self._output(states[valid], target[valid])
@@ -195,40 +207,70 @@ class Net:
         log_p, d = self._output(states[valid], target[valid], g)
         ds = np.zeros_like(states)
         ds[valid] = d
-        dxg = np.empty((*target.shape, 3 * u), np.float32)
-        back = np.zeros_like(h)
+        begins, before, rz, new, hn = trace
+        r, z = rz[..., :u], rz[..., u:]
+        # What a state's gradient is multiplied by, for all steps at once; only the sum over time runs step by step.
+        by_new = (1 - z) * (1 - new * new)
+        by_r, by_z = by_new * hn * r * (1 - r), (before - new) * z * (1 - z)
+        factors = np.concatenate([by_r, by_z, by_new * r], axis=2).reshape(*target.shape, 3, u)
+        dhg, dhs = np.empty((*target.shape, 3, u), np.float32), np.empty_like(states)
+        back, wh = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
         for t in range(len(target) - 1, -1, -1):
-            before, r, z, new, hn = trace[t]
-            dh = ds[t] + back
-            dn = dh * (1 - z) * (1 - new * new)
-            dxg[t, :, :u] = dn * hn * r * (1 - r)
-            dxg[t, :, u : 2 * u] = dh * (before - new) * z * (1 - z)
-            dxg[t, :, 2 * u :] = dn
-            dhg = dxg[t].copy()
-            dhg[:, 2 * u :] *= r
-            g["wh"] += before.T @ dhg
-            back = (dh * z + dhg @ p["wh"].T) * keep[t][:, None]
-        flat_dx = dxg.reshape(-1, 3 * u)
+            dh = np.add(ds[t], back, out=dhs[t])
+            g_t = np.multiply(dh[:, None, :], factors[t], out=dhg[t])
+            back = g_t.reshape(-1, 3 * u) @ wh
+            back += dh * z[t]
+            if begins[t]:
+                back *= keep[t][:, None]
+        g["wh"] += before.reshape(-1, u).T @ dhg.reshape(-1, 3 * u)
+        dhg[:, :, 2] = dhs * by_new
+        flat_dx = dhg.reshape(-1, 3 * u)
         g["wx"] += x.reshape(-1, u).T @ flat_dx
         g["b"] += flat_dx.sum(axis=0)
-        dx, ids = flat_dx @ p["wx"].T, inputs.ravel()
-        for k in range(u):
-            g["emb"][:, k] = np.bincount(ids, dx[:, k], len(g["emb"]))
+        ids = inputs.ravel().astype(np.min_scalar_type(len(g["emb"])))
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=ids[:1] + 1))
+        g["emb"][ids[first]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], first, axis=0)
         return last, flat, log_p
 
     def learn(self, documents: list[np.ndarray], memory: dict, rate: float) -> None:
-        """One pass over the documents, by Adam; memory carries its averages between calls."""
+        """One pass over the documents, by Adam; memory carries its averages between calls. Of the embeddings, most
+        of which a window does not meet, only the rows that it meets are moved."""
         count = min(2 * LANES, max(1, len(documents)))
         h = np.zeros((count, UNITS), np.float32)
         m = memory.setdefault("m", np.zeros_like(self.flat))
         v = memory.setdefault("v", np.zeros_like(self.flat))
-        for target, _, inputs, keep in self._windows(documents, count, WINDOW):
+        rows = self.p["emb"].size
+        tables = [a[:rows].reshape(-1, UNITS) for a in (self.flat, m, v)]
+        for target, _, inputs, keep in self._windows(documents, count, WINDOW, count * WINDOW // 2):
             n = int((target >= 0).sum())
             h, g, _ = self._gradient(h[: target.shape[1]], target, inputs, keep)
-            g /= max(n, 1)
             memory["t"] = step = memory.get("t", 0) + 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
             # A window with few tokens moves the parameters little.
             size = rate * min(1.0, n / (0.5 * count * WINDOW))
-            self.flat -= size * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            met = np.zeros(len(tables[0]), bool)
+            met[inputs.ravel()] = True
+            met = np.flatnonzero(met)
+            own = [a[met] for a in tables]
+            _adam(*own, g[:rows].reshape(-1, UNITS)[met], n, size, step)
+            for a, part in zip(tables, own, strict=True):
+                a[met] = part
+            for at in range(rows, len(g), STRIDE):
+                _adam(*(a[at : at + STRIDE] for a in (self.flat, m, v, g)), n, size, step)
+
+
+def _adam(flat: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, tokens: int, size: float, step: int) -> None:
+    g *= np.float32(1 / max(tokens, 1))
+    m *= np.float32(0.9)
+    m += np.float32(0.1) * g
+    g *= g
+    g *= np.float32(0.001)
+    v *= np.float32(0.999)
+    v += g
+    np.multiply(v, np.float32(1 / (1 - 0.999**step)), out=g)
+    np.sqrt(g, out=g)
+    g += np.float32(1e-8)
+    np.divide(m, g, out=g)
+    g *= np.float32(size / (1 - 0.9**step))
+    flat -= g

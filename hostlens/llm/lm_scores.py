@@ -10,11 +10,12 @@ Words are split at white space, ASCII letters lower-cased; an end token closes e
    distribution over all words.
 3. The network starts from a pilot of at most `PILOT` documents, so that all copies lie close together; then
    every task trains a copy on all its training documents, and the copies are averaged, weighted by tokens.
-4. Documents meet the counts of their own words block by block (a block is a part of an input partition), and
-   the network runs over all documents of a block on parallel lanes.
+4. The network runs over the documents where they lie, on parallel lanes. What it cannot know is how often the words
+   beyond its symbols were seen: these words alone meet the counts of their block's words (a block is a part of an
+   input partition), and what they add is added to the document's scores.
 
-What is sent around is a block's distinct words, not its tokens; only the head, the network's parameters (33 for
-each of its words) and the tail classes' sums pass through the driver, all bounded by `HEAD`.
+What is sent around is a block's distinct words and its documents' words beyond the head, not its texts; only the head,
+the network's parameters (33 for each of its words) and the tail classes' sums pass through the driver, all bounded by `HEAD`.
 
 Defined cases: null counts as empty; an empty text has the end token only; without training documents N and V are
 0 and base_score is 0; repeated rows are scored each for itself; an empty table gives an empty table.
@@ -22,6 +23,7 @@ Defined cases: null counts as empty; an empty text has the end token only; witho
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,18 +31,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import chosen, kept, pieces_of
+from hostlens.llm.common import chosen, cuts, kept, pieces_of
 from hostlens.llm.gated_net import Layout, Net
 
 HEAD, TAILS = 50_000, 16
 #: Parameters in a row when copies are averaged.
 CHUNK = 1024
 PILOT, PILOT_RATE, RATE = 2000, 0.01, 0.003
+#: What looking at a class of a window costs, in softmax terms for each of the window's tokens.
+CLASS_TERMS = 0.2
 #: Bytes of text in a block, and tokens that a task puts on lanes at a time.
-BLOCK_BYTES, LANE_TOKENS = 32 << 20, 4_000_000
+BLOCK_BYTES, LANE_TOKENS = 32 << 20, 8_000_000
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -49,6 +55,15 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the number of the text that each is from."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    # White space at either end of a text leaves an empty piece.
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+
+
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
@@ -87,35 +102,51 @@ class Corpus:
 
         def terms(classes: int) -> float:
             at = dealt(classes)
-            return classes + float(np.bincount(at, self.head_counts) @ np.bincount(at)) / max(self.tokens, 1)
+            return 2 * classes**0.5 + classes * CLASS_TERMS + float(np.bincount(at, self.head_counts) @ np.bincount(at)) / max(self.tokens, 1)
 
         classes = min((2**k for k in range(10)), key=terms) if self.head else 1
         tails = 1 + classes + np.arange(TAILS)
         return Layout(np.concatenate([[0], 1 + dealt(classes), tails]).astype(np.int64), 1 + classes + TAILS)
 
     def symbols(self) -> Symbols:
-        return Symbols({w: i + 1 for i, w in enumerate(self.head)}, len(self.head) + 1)
+        return Symbols(self.head, len(self.head) + 1)
+
+
+@functools.cache
+def _tails() -> tuple[np.ndarray, np.ndarray]:
+    """Tail of words of one byte, and of those that end in two bytes."""
+    one = np.array([tail_of(bytes([a])) for a in range(256)])
+    return one, np.array([tail_of(bytes([a, b])) for a in range(256) for b in range(256)])
 
 
-class Symbols(dict):
-    """Symbol of each word; a limited number of the tail's words is remembered."""
+class Symbols:
+    """Symbol of each word."""
 
-    def __init__(self, head: dict[bytes, int], first: int):
-        super().__init__(head)
-        self.first = first
+    def __init__(self, head: list[bytes], first: int):
+        self.head, self.first = pa.array(head, pa.binary()).cast(pa.string()), first
 
-    def __missing__(self, word: bytes) -> int:
-        found = self.first + tail_of(word)
-        if len(self) < 300_000:
-            self[word] = found
-        return found
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.of(pa.array([word], pa.binary()).cast(pa.string()))[0])
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(tokens) + 1, np.int32)  # the last is the end token
-        out[:-1] = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+    def of(self, words: pa.Array) -> np.ndarray:
+        out = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False) + np.int32(1)
+        beyond = out == 0
+        rest = words.filter(pa.array(beyond))
+        if len(rest):
+            ends = np.frombuffer(rest.buffers()[1], np.int32)[rest.offset : rest.offset + len(rest) + 1]
+            data, (one, two) = np.frombuffer(rest.buffers()[2], np.uint8), _tails()
+            last, before = data[ends[1:] - 1], data[ends[1:] - 2].astype(int)
+            out[beyond] = self.first + np.where(np.diff(ends) > 1, two[before * 256 + last], one[last])
         return out
 
 
+def _sequences(symbols: np.ndarray, owner: np.ndarray, texts: int) -> list[np.ndarray]:
+    """The symbols of each text, closed by the end token."""
+    out = np.zeros(len(symbols) + texts, np.int32)
+    out[np.arange(len(symbols)) + owner] = symbols
+    return np.split(out, np.cumsum(np.bincount(owner, minlength=texts) + 1)[:-1])
+
+
 def block_words(blocks: DataFrame, training: Column) -> DataFrame:
     """block, word, n: the distinct words of each task's blocks and how often training documents have them."""
 
@@ -150,11 +181,15 @@ def block_words(blocks: DataFrame, training: Column) -> DataFrame:
     return rows.mapInArrow(run, "block long, word binary, n long")
 
 
+def _step(count: Column) -> Column:
+    return F.floor(F.log2(count.cast("double")) * 64).cast("long")
+
+
 def gather(counts: DataFrame, documents: int) -> Corpus:
     """Head and tail sums of word counts (word, c); about HEAD + TAILS rows come to the driver."""
     seen = counts.filter("c > 0")
     # Words by steps of their frequency: the lowest step that has no room as a whole gives a part by hash.
-    step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("long")
+    step = _step(F.col("c"))
     sizes = seen.filter("c > 1").groupBy(step.alias("step")).count().collect()  # at most 64 rows for each power of two
     room, lowest, share = HEAD, 0, 1.0
     for r in sorted(sizes, key=lambda r: -r["step"]):
@@ -180,19 +215,6 @@ def gather(counts: DataFrame, documents: int) -> Corpus:
     return Corpus([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], float), documents, tokens, distinct)
 
 
-def _sequences(texts: Iterator[str | None], symbols: Symbols) -> Iterator[list[np.ndarray]]:
-    """Symbol sequences in lots of about LANE_TOKENS."""
-    lot, size = [], 0
-    for text in texts:
-        lot.append(symbols.of(words(text)))
-        size += len(lot[-1])
-        if size >= LANE_TOKENS:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
-
-
 def _mean(copies: pa.Table) -> pa.Table:
     """The mean, by weight, of one chunk's copies."""
     weights, total = copies.column("weight").to_pylist(), 0.0
@@ -213,10 +235,17 @@ def train(blocks: DataFrame, training: Column, corpus: Corpus, pilot: int = PILO
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, begin = shared.value
             net, memory, seen = Net(own.layout(), begin.copy()), {}, 0
-            texts = (t for batch in batches for t in batch.column("text").to_pylist())
-            for lot in _sequences(texts, own.symbols()):
+            symbols, lot, size = own.symbols(), [], 0
+            for batch in (part for whole in batches for part in cuts(whole, "text")):
+                found, owner = split(batch.column("text"))
+                lot += _sequences(symbols.of(found), owner, batch.num_rows)
+                size += len(found) + batch.num_rows
+                if size >= LANE_TOKENS:
+                    net.learn(lot, memory, rate)
+                    lot, size, seen = [], 0, seen + size
+            if lot:
                 net.learn(lot, memory, rate)
-                seen += sum(map(len, lot))
+                seen += size
             if seen:
                 places = range(0, len(begin), CHUNK)
                 parts = [net.flat[at : at + CHUNK].astype("<f4").tobytes() for at in places]
@@ -244,65 +273,88 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     """The scores of every row; rows for which held_out (a condition on doc_id) fails are learned from."""
     rows = chosen(documents, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, rows.rdd.getNumPartitions())
-    split = pieces_of(size, parts * BLOCK_BYTES)
-    block = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id"), F.lit(split))
+    # Partitions of about a block, if all cores have one: a long document takes as many steps on few lanes as on many.
+    parts = max(1, min(rows.rdd.getNumPartitions(), max(pieces_of(size, BLOCK_BYTES), rows.sparkSession.sparkContext.defaultParallelism)))
+    pieces = pieces_of(size, parts * BLOCK_BYTES)
+    block = F.spark_partition_id().cast("long") * pieces + F.pmod(F.xxhash64("doc_id"), F.lit(pieces))
     # Written once, so that a document's block stays what it is.
-    blocks = kept(rows.withColumn("block", block), "blocks")
+    blocks = kept(rows.coalesce(parts).withColumn("block", block), "blocks")
     training = ~held_out
-    own = kept(block_words(blocks, training), "block-words")
-    counts = kept(own.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    corpus = gather(counts, blocks.filter(training).count())
+    by_word = W.partitionBy("word").orderBy("block")
+    everywhere = by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = block_words(blocks, training).select(
+        "block", "word", F.sum("n").over(everywhere).alias("c"), (F.row_number().over(by_word) == 1).alias("first")
+    )
+    counted = kept(counted, "block-words")
+    corpus = gather(counted.filter("first").select("word", "c"), blocks.filter(training).count())
     flat = train(blocks, training, corpus)
     shared = blocks.sparkSession.sparkContext.broadcast((corpus, flat))
 
-    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The scores as far as the head's counts and the tails' sums give them, and the other words."""
         own, parameters = shared.value
         net, symbols = Net(own.layout(), parameters), own.symbols()
-        count_of = dict(zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True))
-        floor = np.log10(own.tokens + own.distinct + 1.0)
-        places = np.log10(own.tail_tokens + own.tail_words + 1.0)
         first = len(own.head) + 1
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        floor = np.log10(own.tokens + own.distinct + 1.0)
+        # By symbol: what a token adds to base_score, and to score beside the network's part.
+        base = np.concatenate([np.log10(np.concatenate([[own.documents], own.head_counts]) + 1.0), np.zeros(TAILS)]) - floor
+        inner = np.concatenate([np.zeros(first), -np.log10(own.tail_tokens + own.tail_words + 1.0)])
         lot: list[np.ndarray] = []
-        inner: list[float] = []
+        rows: list[pa.RecordBatch] = []
 
-        def flush() -> None:
-            if lot:
-                out["score"] += (net.score(lot) / np.log(10.0) + np.array(inner)).tolist()
-                lot.clear()
-                inner.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            scores = net.score(lot) / np.log(10.0)
+            lot.clear()
+            for part in rows:
+                at = part.schema.get_field_index("score")
+                yield part.set_column(at, "score", pa.array(part.column(at).to_numpy() + scores[: part.num_rows]))
+                scores = scores[part.num_rows :]
+            rows.clear()
 
         size = 0
-        for chunk in texts.column("text").chunks:
-            for text in chunk.to_pylist():
-                tokens = words(text)
-                c = np.fromiter(map(count_of.__getitem__, tokens), np.float64, len(tokens))
-                logs = np.log10(c + 1.0)
-                sequence = symbols.of(tokens)
-                tail = sequence[:-1] - first
-                is_tail = tail >= 0
-                lot.append(sequence)
-                inner.append(float((logs[is_tail] - places[tail[is_tail]]).sum()))
-                out["n_tokens"].append(len(sequence))
-                out["n_known"].append(int((c > 0).sum()) + (own.documents > 0))
-                out["base_score"].append(float(logs.sum() + np.log10(own.documents + 1.0) - len(sequence) * floor))
-                size += len(sequence)
-                if size >= LANE_TOKENS:
-                    flush()
-                    size = 0
-        flush()
+        for batch in (part for whole in batches for part in cuts(whole, "text")):
+            found, owner = split(batch.column("text"))
+            n, of = batch.num_rows, symbols.of(found)
+            beyond = of >= first
+            at = np.concatenate([[0], np.cumsum(np.bincount(owner[beyond], minlength=n))])
+            rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), found.filter(pa.array(beyond))), " ")
+            lot += _sequences(of, owner, n)
+            size += len(found) + n
+            values = {
+                "n_tokens": pa.array(np.bincount(owner, minlength=n) + 1),
+                "n_known": pa.array(np.bincount(owner[~beyond], minlength=n) + (own.documents > 0)),
+                "base_score": pa.array(np.bincount(owner, base[of], n) + base[0]),
+                "score": pa.array(np.bincount(owner, inner[of], n)),
+                "rest": rest,
+            }
+            kept_columns = {c: batch.column(c) for c in ("block", "doc_id", "held_out")}
+            rows.append(pa.RecordBatch.from_pydict({**kept_columns, **values}))
+            if size >= LANE_TOKENS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
+        """Adds what the words beyond the head do."""
+        found, owner = split(rows.column("rest").combine_chunks())
+        at = pc.index_in(found, value_set=table.column("word").combine_chunks().cast(pa.string()))
+        if at.null_count:
+            raise ValueError("a word of a block has no count")
+        c = table.column("c").to_numpy()[at.to_numpy()]
+        n, logs, own = rows.num_rows, np.log10(c + 1.0), shared.value[0]
         return pa.table({
-            "doc_id": texts.column("doc_id"),
-            "held_out": texts.column("held_out"),
-            "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-            "n_known": pa.array(out["n_known"], pa.int64()),
-            "train_tokens": pa.array([own.tokens] * texts.num_rows, pa.int64()),
-            "base_score": pa.array(out["base_score"], pa.float64()),
-            "score": pa.array(out["score"], pa.float64()),
+            "doc_id": rows.column("doc_id"),
+            "held_out": rows.column("held_out"),
+            "n_tokens": rows.column("n_tokens"),
+            "n_known": pa.array(rows.column("n_known").to_numpy() + np.bincount(owner[c > 0], minlength=n)),
+            "train_tokens": pa.array([own.tokens] * n, pa.int64()),
+            "base_score": pa.array(rows.column("base_score").to_numpy() + np.bincount(owner, logs, n)),
+            "score": pa.array(rows.column("score").to_numpy() + np.bincount(owner, logs, n)),
         })
 
-    left = blocks.withColumn("held_out", held_out).groupBy("block")
-    # A word that a task has emitted twice for a block is looked up alike.
-    right = own.select("block", "word").join(counts, "word").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, SCHEMA)
+    kinds = "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest string"
+    left = blocks.withColumn("held_out", held_out).mapInArrow(known, kinds).groupBy("block")
+    right = counted.select("block", "word", "c")
+    if corpus.head:  # words of a higher step are all in the head
+        right = right.filter(F.coalesce(_step(F.col("c")), F.lit(0)) <= _step(F.lit(int(corpus.head_counts.min()))))
+    return left.cogroup(right.groupBy("block")).applyInArrow(run, SCHEMA)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -440,6 +441,52 @@ def test_lm_head_grows_with_vocabulary(spark, monkeypatch):
     assert few.symbols()[few.head[0]] == 1 and few.symbols()[b"never seen"] > len(few.head)
 
 
+def test_lm_words_and_symbols():
+    """The words of many texts at once are those of each text; symbols too, also of a slice and of words of one byte."""
+    texts = ["", None, " a  B\x0b\x0cc\x1c\x85 d \n", "\t \n", "Ärger É x ÄRGER", "one two\xa0three " * 3]
+    found, owner = lm_scores.split(pa.array(texts))
+    assert list(zip(owner, (w.encode() for w in found.to_pylist()))) == [(i, w) for i, t in enumerate(texts) for w in lm_scores.words(t)]
+    symbols = lm_scores.Symbols([b"one", b"c\x1c\xc2\x85"], 3)
+    known = {b"one": 1, b"c\x1c\xc2\x85": 2}
+    want = [known.get(w, 3 + lm_scores.tail_of(w)) for t in texts for w in lm_scores.words(t)]
+    assert symbols.of(found).tolist() == want and symbols.of(found.slice(2, 5)).tolist() == want[2:7]
+
+
+def test_lm_scores_send_no_texts(spark):
+    """Only the words beyond the head, and a block's words with their counts, go to another task."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = lm_scores.score_documents(docs, fold(F.col("doc_id"), 7) == 2)._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    sides = [plan.children().apply(i).output().mkString(" ") for i in (0, 1)]
+    assert "rest#" in sides[0] and not any("text#" in side for side in sides)
+
+
+def test_net_follows_the_plain_recurrence():
+    """Scores are those of one step after another, symbol by symbol; long documents do not make many small windows."""
+    layout, r = Layout(np.repeat(np.arange(9), [1, 3, 2, 5, 1, 4, 1, 2, 6]), 9), np.random.default_rng(3)
+    net = Net(layout, layout.start(r.integers(1, 50, 25).astype(float)))
+    net.flat += r.normal(0, 0.5, layout.size).astype(np.float32)
+    p, docs = {k: v.astype(float) for k, v in net.p.items()}, [r.integers(0, 25, k) for k in (700, 1, 40, 3)]
+
+    def chosen(h, weights, at):
+        z = weights @ np.append(h, 1.0)
+        return z[at] - np.log(np.exp(z).sum())
+
+    for doc, score in zip(docs, net.score(docs)):
+        h, total, before = np.zeros(16), 0.0, 25
+        for symbol in doc:
+            xg, hg = p["emb"][before] @ p["wx"] + p["b"], h @ p["wh"]
+            gate = 1 / (1 + np.exp(-(xg[:32] + hg[:32])))
+            new = np.tanh(xg[32:] + gate[:16] * hg[32:])
+            h, before = new + gate[16:] * (h - new), symbol
+            c, g = layout.class_of[symbol], layout.group_of[layout.class_of[symbol]]
+            classes, members = np.flatnonzero(layout.group_of == g), layout.members[c]
+            total += chosen(h, p["wg"], g) + chosen(h, p["wc"][classes], c - classes[0]) + chosen(h, p["ww"][members], symbol - members[0])
+        assert abs(total - score) < 1e-3 * abs(total)
+    assert len(list(net._windows([r.integers(0, 25, 20_000), *docs], 5, 32, 8192))) <= 4
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = docs
