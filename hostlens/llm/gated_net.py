@@ -17,7 +17,7 @@ import numpy as np
 UNITS = 16
 LANES, WINDOW = 256, 32
 #: Tokens that a window holds at least, if lanes go on, when documents are scored; training takes half a full window.
-TOKENS = 1 << 16
+TOKENS = 1 << 15
 #: Terms of a softmax, and parameters of a step, at a time: they stay in the processor's cache.
 CELLS, STRIDE = 1 << 16, 1 << 15
 

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import chosen, cuts, kept, pieces_of
+from hostlens.llm.common import chosen, cuts, kept, pieces_of, released
 from hostlens.llm.gated_net import Layout, Net
 
 HEAD, TAILS = 50_000, 16
@@ -46,7 +45,7 @@ PILOT, PILOT_RATE, RATE = 2000, 0.01, 0.003
 #: What looking at a class of a window costs, in softmax terms for each of the window's tokens.
 CLASS_TERMS = 0.2
 #: Bytes of text in a block, and tokens that a task puts on lanes at a time.
-BLOCK_BYTES, LANE_TOKENS = 32 << 20, 8_000_000
+BLOCK_BYTES, LANE_TOKENS = 32 << 20, 6_000_000
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -151,34 +150,35 @@ def block_words(blocks: DataFrame, training: Column) -> DataFrame:
     """block, word, n: the distinct words of each task's blocks and how often training documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
+        held: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for block, counts in held.items():
-                every = list(counts)
+            for block, parts in held.items():
+                found = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+                learned = found.indices.to_numpy()[np.concatenate([t for _, t in parts])]
+                every, counts = found.dictionary.cast(pa.binary()), np.bincount(learned, minlength=len(found.dictionary))
                 for at in range(0, len(every), 100_000):
-                    lot = every[at : at + 100_000]
+                    lot = every.slice(at, 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(lot), pa.int64()), pa.array(lot, pa.binary()), pa.array([counts[w] for w in lot], pa.int64())],
-                        ["block", "word", "n"],
+                        [pa.array(np.full(len(lot), block)), lot, pa.array(counts[at : at + len(lot)])], ["block", "word", "n"]
                     )
             held.clear()
 
-        for batch in batches:
-            for block, train, text in zip(*(batch.column(c).to_pylist() for c in ("block", "train", "text")), strict=True):
-                counts = held.setdefault(block, Counter())
-                found = words(text)
-                if train:
-                    counts.update(found)
-                else:
-                    for w in set(found):
-                        counts[w] += 0
-            if sum(map(len, held.values())) > 1_000_000:
+        size = 0
+        for batch in (part for whole in batches for part in cuts(whole, "text")):
+            block, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "train"))
+            for own in np.unique(block):
+                at = np.flatnonzero(block == own)
+                found, owner = split(batch.column("text").take(pa.array(at)))
+                held.setdefault(int(own), []).append((found, train[at][owner].astype(bool)))
+                size += len(found)
+            if size > LANE_TOKENS:
                 yield from emit()
+                size = 0
         yield from emit()
 
-    rows = blocks.select("block", "text", training.alias("train"))
-    return rows.mapInArrow(run, "block long, word binary, n long")
+    rows = blocks.select("block", "text", F.coalesce(training, F.lit(False)).alias("train"))
+    return rows.mapInArrow(lambda batches: released(run(batches)), "block long, word binary, n long")
 
 
 def _step(count: Column) -> Column:
@@ -253,7 +253,7 @@ def train(blocks: DataFrame, training: Column, corpus: Corpus, pilot: int = PILO
                     [pa.array(places, pa.int32()), pa.array(parts, pa.binary()), pa.array([float(seen)] * len(parts))], ["at", "part", "weight"]
                 )
 
-        return run
+        return lambda batches: released(run(batches))
 
     def averaged(rows: DataFrame, start: np.ndarray, rate: float) -> np.ndarray:
         copies = rows.select("text").mapInArrow(learner(start, rate), "at int, part binary, weight double")
@@ -273,7 +273,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     """The scores of every row; rows for which held_out (a condition on doc_id) fails are learned from."""
     rows = chosen(documents, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Partitions of about a block, if all cores have one: a long document takes as many steps on few lanes as on many.
+    # Partitions of about a block, if all cores have one.
     parts = max(1, min(rows.rdd.getNumPartitions(), max(pieces_of(size, BLOCK_BYTES), rows.sparkSession.sparkContext.defaultParallelism)))
     pieces = pieces_of(size, parts * BLOCK_BYTES)
     block = F.spark_partition_id().cast("long") * pieces + F.pmod(F.xxhash64("doc_id"), F.lit(pieces))
@@ -353,7 +353,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
         })
 
     kinds = "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest string"
-    left = blocks.withColumn("held_out", held_out).mapInArrow(known, kinds).groupBy("block")
+    left = blocks.withColumn("held_out", held_out).mapInArrow(lambda batches: released(known(batches)), kinds).groupBy("block")
     right = counted.select("block", "word", "c")
     if corpus.head:  # words of a higher step are all in the head
         right = right.filter(F.coalesce(_step(F.col("c")), F.lit(0)) <= _step(F.lit(int(corpus.head_counts.min()))))
